@@ -7,21 +7,37 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from robustspark.llm import bpe, jaccard, media
+from robustspark.llm import bpe, chunking, decontaminate, jaccard, media, pii, suffix
 from robustspark.llm.common import read_table
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_report(read_table(spark, sf_dir, "documents"))
+
+
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(read_table(spark, sf_dir, "documents"))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(read_table(spark, sf_dir, "documents"), keep_media=False)
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.suffix_dedup(read_table(spark, sf_dir, "documents"))
+
+
+def op8_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.chunk_dedup(read_table(spark, sf_dir, "documents"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_columns(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), keep_ids=False)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_jaccard, op5_media, op10_bpe)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_pii, op3_jaccard, op4_decontaminate, op5_media, op7_suffix_dedup, op8_chunk_dedup, op10_bpe)}
 ORACLES: dict[str, str] = {}

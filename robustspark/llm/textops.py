@@ -17,6 +17,9 @@ S30, S27, S31 = np.uint64(30), np.uint64(27), np.uint64(31)
 
 NONSPACE = np.ones(256, bool)
 NONSPACE[[0x20, *range(0x09, 0x0E)]] = False
+#: Letters and digits of ASCII, and all bytes of other characters.
+ALNUM = np.zeros(256, bool)
+ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -79,9 +82,9 @@ def chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK) -> Iterator[p
         lo = hi
 
 
-def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the maximal runs of non-space bytes inside each document, and the documents' offsets among them."""
-    full = NONSPACE[data]
+def words(data: np.ndarray, off: np.ndarray, inside: np.ndarray = NONSPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the maximal runs of ``inside`` bytes (non-space) of each document, and the documents' offsets among them."""
+    full = inside[data]
     start, end = full.copy(), full.copy()
     start[1:] &= ~full[:-1]
     end[:-1] &= ~full[1:]
@@ -94,9 +97,9 @@ def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return s, e, np.searchsorted(s, off)
 
 
-def word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, off: np.ndarray, inside: np.ndarray = NONSPACE) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words, A-Z lower-cased, and the documents' offsets among them."""
-    s, e, at = words(data, off)
+    s, e, at = words(data, off, inside)
     return range_hashes(prefix_hashes(LOWER[data]), s, e), at
 
 
