@@ -8,7 +8,13 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from robustspark.llm import bpe, jaccard
+from robustspark.llm import bpe, decontaminate, jaccard, pii, quality
+from robustspark.llm.common import read_table
+
+
+def accepted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go; its labels come from the folder's table."""
+    return quality.keep_accepted(docs, read_table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -16,12 +22,22 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return jaccard.keep_one_of_each_component(docs)
 
 
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold an item of the folder's benchmark go."""
+    return decontaminate.without_leaks(docs, read_table(spark, sf_dir, "benchmark"))
+
+
+def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in the texts is replaced by its kind; n_chars follows."""
+    return pii.redacted(docs)
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of what is left."""
     return bpe.bpe_columns(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), keep_ids=False)
 
 
-STAGES = [("near_duplicates", near_duplicates), ("bpe", encode)]
+STAGES = [("quality", accepted), ("near_duplicates", near_duplicates), ("decontamination", decontaminated), ("pii", redacted), ("bpe", encode)]
 
 #: Jaccard links, a trained classifier and merges are beyond SQL; tests hold the rows against a brute-force version.
 ORACLE_SQL = None

@@ -7,10 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from robustspark.llm import bpe, chunking, decontaminate, jaccard, media, pii, suffix
+from robustspark.llm import bpe, chunking, decontaminate, jaccard, lm, media, pii, quality, suffix
 from robustspark.llm.common import read_table
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_report(read_table(spark, sf_dir, "documents"))
 
@@ -35,9 +39,13 @@ def op8_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunk_dedup(read_table(spark, sf_dir, "documents"))
 
 
+def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.lm_scores(read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_columns(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), keep_ids=False)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_pii, op3_jaccard, op4_decontaminate, op5_media, op7_suffix_dedup, op8_chunk_dedup, op10_bpe)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_pii, op3_jaccard, op4_decontaminate, op5_media, op7_suffix_dedup, op8_chunk_dedup, op9_lm_scores, op10_bpe)}
 ORACLES: dict[str, str] = {}

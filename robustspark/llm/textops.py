@@ -131,3 +131,32 @@ def shingle_sets(data: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
         else:
             out.append(np.zeros(0, np.uint64))
     return out
+
+
+class Lookup:
+    """A fixed hash table from 64-bit keys to numbers; absent keys give ``missing``."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray, missing: float) -> None:
+        size = 1 << max(4, (4 * len(keys)).bit_length())
+        self.mask, self.missing = np.uint64(size - 1), missing
+        self.keys, self.values, self.used = np.zeros(size, np.uint64), np.full(size, missing, values.dtype), np.zeros(size, bool)
+        slot = keys & self.mask
+        while len(keys):  # every round each free slot takes one key, the others move on
+            free = np.flatnonzero(~self.used[slot])
+            take = free[np.unique(slot[free], return_index=True)[1]]
+            self.keys[slot[take]], self.values[slot[take]], self.used[slot[take]] = keys[take], values[take], True
+            stay = np.ones(len(keys), bool)
+            stay[take] = False
+            keys, values, slot = keys[stay], values[stay], slot[stay] + np.uint64(1) & self.mask
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        slot = keys & self.mask
+        same = self.used[slot] & (self.keys[slot] == keys)
+        out = np.where(same, self.values[slot], self.missing)
+        rest = np.flatnonzero(self.used[slot] & ~same)
+        while len(rest):
+            slot[rest] = slot[rest] + np.uint64(1) & self.mask
+            hit = self.used[slot[rest]] & (self.keys[slot[rest]] == keys[rest])
+            out[rest[hit]] = self.values[slot[rest[hit]]]
+            rest = rest[self.used[slot[rest]] & ~hit]
+        return out
