@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from robustspark.llm import bpe, chunking, decontaminate, jaccard, lm, media, pii, quality, suffix
+from robustspark.llm import bpe, chunking, decontaminate, html, jaccard, lm, media, pii, quality, suffix
 from robustspark.llm.common import read_table
 
 
@@ -31,6 +31,10 @@ def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(read_table(spark, sf_dir, "documents"), keep_media=False)
 
 
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_pages(read_table(spark, sf_dir, "pages"))
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.suffix_dedup(read_table(spark, sf_dir, "documents"))
 
@@ -47,5 +51,5 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_columns(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), keep_ids=False)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_pii, op3_jaccard, op4_decontaminate, op5_media, op7_suffix_dedup, op8_chunk_dedup, op9_lm_scores, op10_bpe)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_pii, op3_jaccard, op4_decontaminate, op5_media, op6_main_text, op7_suffix_dedup, op8_chunk_dedup, op9_lm_scores, op10_bpe)}
 ORACLES: dict[str, str] = {}
