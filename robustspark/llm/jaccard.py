@@ -10,10 +10,11 @@ the shingle domain is partitioned by hash:
   n1 - k or more projections, and so share one of the first k + 1 in any common order of projections. The order takes
   the projections with the most shingles first, which are the most selective.
 
-Sets that are equal become one class first, and each task signs a class once. Classes that share a signature are linked
-to the least and the greatest class of that signature (two candidates a member, not all pairs) and checked exactly;
-connected components follow. Only where the members of a signature are then still in different components are pairs
-across components checked, behind an exact bound on the number of differences. So no link between components is lost.
+Sets that are equal become one class first, and each task signs a class once. Classes that share a signature are tried
+against the least and the greatest class of that signature (not all pairs); connected components follow. Only where other
+members of a signature are then still in different components are pairs of these tried. Every pair has to pass an exact
+bound first: hashing the shingles to ``PARITY`` slots, the slots whose counts differ in parity are at most the shingles
+that differ. So no link between components is lost, and few pairs fetch their sets.
 
 Null or empty texts, and texts of spaces, have no shingles and stand alone; repeated rows give repeated rows; extra
 columns are ignored. Identities are 64-bit hashes.
@@ -27,7 +28,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from robustspark.llm.common import cut
@@ -38,7 +39,7 @@ from robustspark.llm.textops import chunks, mix, shingle_sets, utf8
 PERCENT = 80
 SMALL = (4, 9, 14, 18, 27, 41)
 RATIO, SLACK = 1.6, 1.15
-SKETCH = 64
+PARITY = 1024
 
 
 def band_starts(limit: int) -> list[int]:
@@ -105,9 +106,10 @@ def class_of(items: np.ndarray) -> int:
     return int(mix(np.array([np.add.reduce(mix(items)) + np.uint64(len(items))], np.uint64)).view(np.int64)[0])
 
 
-def sketch(items: np.ndarray) -> list[int]:
-    """Numbers of shingles by hash; the sum of the differences of two sketches is at most the number of differences."""
-    return np.bincount((items >> np.uint64(40)).astype(np.int64) % SKETCH, minlength=SKETCH).tolist()
+def parity(items: np.ndarray) -> np.ndarray:
+    """Of every slot whether it holds an odd number of shingles, as 64-bit numbers."""
+    odd = np.bincount((items >> np.uint64(40)).astype(np.int64) % PARITY, minlength=PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def _sets(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
@@ -138,18 +140,28 @@ def _signature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for part, sets in _sets(whole):
-            rows = [(c, len(x), x.view(np.int64), sketch(x)) for c, x in zip(part.column("cls").to_pylist(), sets, strict=True) if len(x) and class_of(x) == c]
+            rows = [(c, len(x), x.view(np.int64), parity(x)) for c, x in zip(part.column("cls").to_pylist(), sets, strict=True) if len(x) and class_of(x) == c]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32())), strict=True)], ["cls", "n", "items", "sketch"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())), strict=True)], ["cls", "n", "items", "odd"])
+
+
+def _near(n_a: str, n_b: str, odd_a: str, odd_b: str) -> Column:
+    """Whether sizes and parities leave it open that two sets link."""
+    apart = sum((F.bit_count(F.col(odd_a)[k].bitwiseXOR(F.col(odd_b)[k])) for k in range(1, PARITY // 64)), F.bit_count(F.col(odd_a)[0].bitwiseXOR(F.col(odd_b)[0])))
+    return (100 * F.least(n_a, n_b) >= PERCENT * F.greatest(n_a, n_b)) & (9 * apart <= F.col(n_a) + F.col(n_b))
+
+
+def _side(sets: DataFrame, side: str, *columns: str) -> DataFrame:
+    return sets.select(F.col("cls").alias(f"cls_{side}"), *(F.col(c).alias(f"{c}_{side}") for c in columns))
 
 
 def _checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) of classes that link."""
-    left = sets.select(F.col("cls").alias("ca"), F.col("n").alias("na"), F.col("items").alias("ia"))
-    right = sets.select(F.col("cls").alias("cb"), F.col("n").alias("nb"), F.col("items").alias("ib"))
-    both = pairs.join(left, F.col("a") == F.col("ca")).join(right, F.col("b") == F.col("cb"))
-    common = both.filter("100 * least(na, nb) >= 80 * greatest(na, nb)").select("a", "b", (F.col("na") + F.col("nb")).alias("total"), F.size(F.array_intersect("ia", "ib")).cast("long").alias("common"))
-    return common.filter(F.lit(100) * F.col("common") >= F.lit(PERCENT) * (F.col("total") - F.col("common"))).select("a", "b")
+    open_ = pairs.join(_side(sets, "a", "n", "odd"), F.col("a") == F.col("cls_a")).join(_side(sets, "b", "n", "odd"), F.col("b") == F.col("cls_b"))
+    open_ = open_.filter(_near("n_a", "n_b", "odd_a", "odd_b")).select("a", "b")
+    both = open_.join(_side(sets, "a", "n", "items"), F.col("a") == F.col("cls_a")).join(_side(sets, "b", "n", "items"), F.col("b") == F.col("cls_b"))
+    common = both.select("a", "b", (F.col("n_a") + F.col("n_b")).alias("total"), F.size(F.array_intersect("items_a", "items_b")).cast("long").alias("common"))
+    return common.filter(100 * F.col("common") >= PERCENT * (F.col("total") - F.col("common"))).select("a", "b")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -165,21 +177,20 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     wanted = members.select("cls").distinct().join(classes, "cls").select(F.col("rep").alias("id"), "cls")
     texts = rows.join(wanted, "id").select("cls", "text")
-    sets = cut(texts.mapInArrow(_set_rows, "cls long, n long, items array<long>, sketch array<int>"))
+    sets = cut(texts.mapInArrow(_set_rows, "cls long, n long, items array<long>, odd array<long>"))
 
-    stars = members.select(F.explode(F.array(F.struct(F.col("low").alias("a"), F.col("cls").alias("b")), F.struct(F.col("cls").alias("a"), F.col("high").alias("b")))).alias("p"))
-    tried = cut(stars.select("p.a", "p.b").filter("a <> b").distinct())
+    ends = [F.struct(F.col(x).alias("a"), F.col(y).alias("b")) for x, y in (("low", "cls"), ("cls", "high"), ("low", "high"))]
+    tried = cut(members.select(F.explode(F.array(*ends)).alias("p")).select("p.a", "p.b").filter("a <> b").distinct())
     links = cut(_checked(tried, sets))
     found = cut(connected_components(links))
 
-    grouped = members.select("token", "cls").join(found, F.col("cls") == F.col("node"), "left").select("token", "cls", F.coalesce("component", "cls").alias("comp"))
-    split = grouped.withColumn("least", F.min("comp").over(same)).withColumn("most", F.max("comp").over(same)).filter("least <> most").join(sets.select("cls", "n", "sketch"), "cls")
-    split = cut(split.select("token", "cls", "comp", "n", "sketch"))
-    one = split.select("token", *(F.col(c).alias(f"{c}_a") for c in ("cls", "comp", "n", "sketch")))
-    two = split.select(F.col("token").alias("token_b"), *(F.col(c).alias(f"{c}_b") for c in ("cls", "comp", "n", "sketch")))
-    apart = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
-    near = (F.col("token") == F.col("token_b")) & (F.col("cls_a") < F.col("cls_b")) & (F.col("comp_a") != F.col("comp_b")) & F.expr("100 * least(n_a, n_b) >= 80 * greatest(n_a, n_b)") & (9 * apart <= F.col("n_a") + F.col("n_b"))
-    across = one.join(two, near).select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).distinct()
+    middle = members.filter("cls <> low and cls <> high").select("token", "cls")
+    middle = middle.join(found, F.col("cls") == F.col("node"), "left").select("token", "cls", F.coalesce("component", "cls").alias("comp"))
+    split = middle.withColumn("least", F.min("comp").over(same)).withColumn("most", F.max("comp").over(same)).filter("least <> most")
+    split = cut(split.select("token", "cls", "comp").join(sets.select("cls", "n", "odd"), "cls"))
+    one, two = (split.select(*(F.col(c).alias(f"{c}_{side}") for c in ("token", "cls", "comp", "n", "odd"))) for side in "ab")
+    across = one.join(two, (F.col("token_a") == F.col("token_b")) & (F.col("cls_a") < F.col("cls_b")) & (F.col("comp_a") != F.col("comp_b")) & _near("n_a", "n_b", "odd_a", "odd_b"))
+    across = across.select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).distinct()
     more = _checked(across.join(tried, ["a", "b"], "left_anti"), sets)
     final = cut(connected_components(links.unionByName(more)))
 
