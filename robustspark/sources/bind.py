@@ -22,7 +22,7 @@ def segment(x: str) -> str:
 
 def stratum(a: int, b: int) -> str:
     """A point of a Latin hypercube column: the stratum is an affine bijection of the world's number."""
-    return f"((({a} * world_id + {b}) % n) + 0.5) / n"
+    return f"(cast(({a} * world_id + {b}) % n as double) + 0.5e0) / n"
 
 
 BINDINGS = {
@@ -42,8 +42,8 @@ BINDINGS = {
     "fund": "select cast(floor(sum(cost) * 4 / 10) as bigint) as budget from measures",
     "readings": """select n_nationkey as unit_id, dimension_id, case when (n_nationkey + dim_no) % 3 = 0 then null else (n_nationkey * 2 + dim_no) % 5 + 1 end as s_level,
         case when (n_nationkey + dim_no) % 4 = 0 then null else (n_nationkey + dim_no * 3) % 3 + 1 end as ca_level from nation cross join dims where (n_nationkey + dim_no) % 5 <> 0""",
-    "worlds": f"""select world_id, scenario, 0.5 + 0.4 * {stratum(7919, 3)} as w_vuln, 0.05 + 0.25 * {stratum(6607, 11)} as w_rec, case when {stratum(5417, 29)} < 0.5 then 1 else 2 end as gamma,
-        0.2 + 0.6 * {stratum(4409, 5)} as penalty, 0.3 * {stratum(3301, 17)} as cob_w, 0.5 + 0.5 * {stratum(2207, 23)} as mismatch_w, {stratum(1103, 41)} as u_eff, {stratum(9001, 7)} as u_dim
+    "worlds": f"""select world_id, scenario, 0.5e0 + 0.4e0 * {stratum(7919, 3)} as w_vuln, 0.05e0 + 0.25e0 * {stratum(6607, 11)} as w_rec, case when {stratum(5417, 29)} < 0.5e0 then 1 else 2 end as gamma,
+        0.2e0 + 0.6e0 * {stratum(4409, 5)} as penalty, 0.3e0 * {stratum(3301, 17)} as cob_w, 0.5e0 + 0.5e0 * {stratum(2207, 23)} as mismatch_w, {stratum(1103, 41)} as u_eff, {stratum(9001, 7)} as u_dim
         from (select event_id as world_id, cast(event_id % 2 as int) as scenario from events) e cross join (select count(*) as n from events) c""",
 }
 
