@@ -23,6 +23,9 @@ LAYOUTS = (
     '<nav><ul><li><a href="/a">#1</a></li></ul></nav><div class="ad">@14</div><div class="ad">@22</div><article><p Y>@5</p><p Y>@15</p><div class="ad">@12</div><p Y>@24</p></article><div class="ad">@6</div><footer>&copy; #2 &middot; @12</footer>',
     '<p Y>@40</p><p Y>@35</p><p Y>@50</p>',
     '<div><h1 Y>#6</h1><p Y>@30</p><p Y>@26</p><p Y>@33</p></div><div><a href="/a">#1</a> <a href="/b">#1</a> <a href="/c">#2</a></div>',
+    '<article><p Y>#3</p></article><footer>&copy; #1</footer>',
+    '<nav><ul><li><a href="/a">#1</a></li></ul></nav><article><h1 Y>#2</h1><p Y>#1</p><p Y>#2</p></article>',
+    '<div class="ad">@3</div><article><p Y>#1</p></article><footer>@4</footer>',
     '<section class="hero"><a href="/go">#2</a></section><article><section><h2 Y>#3</h2><p Y>@20</p></section><section><h2 Y>#3</h2><p Y>@24</p></section><section class="comments"><h3>#1</h3><p>@16</p><p>@19</p></section><div class="share"><a href="/f">#1</a></div></article>',
 )
 
