@@ -114,7 +114,7 @@ def leaves(page: str) -> list[Leaf]:
                     break
                 if stack[k][0] in ends:
                     pop(k)
-        if tag in VOID or m[3].endswith("/") and tag not in BLOCK:
+        if tag in VOID:
             continue
         key = (tag, m[3])
         if key not in known:
@@ -144,7 +144,7 @@ def observed(blocks: list[Leaf]) -> list[list[str]]:
 class Field:
     """A linear-chain field with two labels."""
 
-    def __init__(self, pages: list[str], steps: int = 150, shrink: float = 0.02) -> None:
+    def __init__(self, pages: list[str], steps: int = 150, shrink: float = 0.01) -> None:
         rows = [(observed(x), np.array([b.label for b in x])) for x in map(leaves, pages) if x]
         self.index = {f: k for k, f in enumerate(sorted({f for x, _ in rows for b in x for f in b}))}
         data = [(self._matrix(x), y) for x, y in rows]
