@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from robustspark.operators import cells as C
@@ -38,6 +41,24 @@ def upto(name: str) -> dict[str, str]:
     return {k: CTES[k] for k in keys[: keys.index(name) + 1]}
 
 
+def small(df: DataFrame) -> DataFrame:
+    """A result bounded by the catalogue or by one row, computed once; later plans read it as literal rows."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
+def once(method):
+    """A method whose result the model keeps."""
+
+    @wraps(method)
+    def get(self):
+        kept = self.__dict__.setdefault("_kept", {})
+        if method.__name__ not in kept:
+            kept[method.__name__] = method(self)
+        return kept[method.__name__]
+
+    return get
+
+
 class Model(Tables):
     """Bound tables and the model tables derived from them."""
 
@@ -62,6 +83,7 @@ class Model(Tables):
     def profiles(self):
         return C.lever_profiles(self.units, self.dims, self.readings)
 
+    @once
     def terms(self):
         """Terms of every measure in World 0, in micro-units; at most one row a measure, so its users may broadcast it."""
         placed = self.placed()
@@ -69,10 +91,10 @@ class Model(Tables):
         rows = self.measures.join(top, "measure_id").join(C.recurrence_term(placed, self.model, self.denominator()), "measure_id", "left")
         rows = rows.join(C.cobenefit_term(placed, self.measures, self.cells()), "measure_id", "left").join(C.lever_fit(placed, self.measures, self.profiles()), "measure_id", "left")
         fit = F.when(F.col("mismatch"), 0.8).otherwise(1.0)
-        return rows.select(
+        return small(rows.select(
             "measure_id", "measure_no", "dimension_id", "cost", "scope", "nbs_class", "class_no", C.micro(F.lit(0.7) * C.class_score(F.col("class_no")) * fit).alias("vuln"),
             C.micro(F.lit(0.15) * F.col("rec_share")).alias("rec"), F.coalesce(C.micro(F.lit(0.15) * C.class_score(F.col("cob_class"))), F.lit(0)).cast("long").alias("cob"),
-        )
+        ))
 
 
 def query(sql: str | None = None, ctes: dict[str, str] | None = None, into=None):

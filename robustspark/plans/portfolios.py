@@ -51,8 +51,9 @@ class Sets(cells.Model):
     def scored(self, penalty=0.5, name="score", **options):
         return self.sets().join(self.parts(penalty, **options).groupBy("set_id").agg(F.sum("part").alias(name)), "set_id")
 
+    @cells.once
     def best(self):
-        return P.best(self.scored(), -F.col("score"))
+        return cells.small(P.best(self.scored(), -F.col("score")))
 
     def containing(self):
         return P.best_by_measure(self.scored(), self.measures)

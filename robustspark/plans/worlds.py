@@ -41,11 +41,12 @@ def upto(*names: str) -> dict[str, str]:
 class Many(portfolios.Sets):
     """The model with its worlds."""
 
+    @cells.once
     def facts(self):
         placed = self.placed()
         top = placed.groupBy("measure_id").agg(F.max("class_no").alias("class_no"))
         rows = self.measures.select("measure_id", "measure_no", "dimension_id").join(top, "measure_id").join(C.recurrence_term(placed, self.model, self.denominator()), "measure_id", "left")
-        return rows.join(C.cobenefit_term(placed, self.measures, self.cells()), "measure_id", "left").join(C.lever_fit(placed, self.measures, self.profiles()), "measure_id", "left")
+        return cells.small(rows.join(C.cobenefit_term(placed, self.measures, self.cells()), "measure_id", "left").join(C.lever_fit(placed, self.measures, self.profiles()), "measure_id", "left"))
 
     def world_terms(self):
         return W.world_terms(self.worlds, self.facts())
