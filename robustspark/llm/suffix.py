@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 from robustspark.llm.common import cut
 from robustspark.llm.textops import chunks, mix, prefix_hashes, range_hashes, utf8
 
-WINDOW, GRAM = 100, 24
+WINDOW, GRAM = 100, 40
 HOT = 3000
+NO_ID = -(2**63)
 SORT_BYTES = 4_000_000
 
 
@@ -309,7 +310,8 @@ def _kept_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_bytes, n_removed, n_spans, and the digest of the bytes that stay."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    # a key that is never null lets both joins below share one exchange of the texts
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).alias("text"))
     anchors = rows.filter(f"octet_length(text) >= {WINDOW}").mapInArrow(_anchor_rows, "gram long, id long, times int")
     shared = cut(anchors.groupBy("gram").agg(F.sum("times").alias("n")).filter("n > 1").select("gram", (F.col("n") > HOT).alias("hot")))
     mine = anchors.select("gram", "id").join(shared, "gram").groupBy("id").agg(F.collect_list(F.struct("gram", "hot")).alias("s"))
@@ -318,4 +320,4 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ranges = segments.repartition("gram").sortWithinPartitions("gram").mapInArrow(_sort_groups, "id long, low long, high long")
     ranges = ranges.groupBy("id").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
     out = rows.join(ranges, "id", "left").mapInArrow(_kept_rows, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-    return out.withColumnRenamed("id", id_col)
+    return out.withColumn("id", F.nullif("id", F.lit(NO_ID))).withColumnRenamed("id", id_col)
