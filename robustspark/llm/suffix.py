@@ -2,10 +2,10 @@
 
 1. Winnowing: every window of ``WINDOW`` bytes has a minimiser, its leftmost k-gram of least hash. Equal windows have
    equal minimisers, so only windows whose minimiser occurs elsewhere can repeat. Counting is partially aggregated.
-2. The windows of one minimiser occurrence are neighbours and form a segment of the text. Segments travel to the task of
-   their minimiser; equal segments of a batch travel once. A minimiser that very many documents share (``HOT``) sends
-   its windows one by one, dealt by their digest, so that no task gets them all.
-3. A task sorts the suffixes that start a window in two stages: those smaller than their successor are sorted directly,
+2. The windows of one minimiser occurrence are neighbours and form a segment of the text. Digests of segments travel to
+   the task of their minimiser: segments equal as a whole are settled there. A minimiser that very many documents share
+   (``HOT``) sends its windows one by one, dealt by their digest, so that no task gets them all.
+3. Where a minimiser has segments that differ, their bytes follow. A task sorts the suffixes that start a window in two stages: those smaller than their successor are sorted directly,
    the others are induced by bucket scans. Adjacent suffixes with a common prefix of ``WINDOW`` bytes are one string;
    all its occurrences but the first (smaller id, then earlier start) are removed.
 
@@ -197,6 +197,7 @@ def _pieces(data: np.ndarray, low: np.ndarray, high: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(low), [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(data[index].tobytes())])
 
 
+DIGESTS = "gram long, digest long, id long, at long, windows int"
 SEGMENT = "gram long, id long, at long, windows int, bytes binary"
 
 
@@ -223,16 +224,77 @@ def _segment_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             last = np.where(single, start, high[index])
             digest = range_hashes(found.prefix, start, last + WINDOW)
             gram = np.where(single, mix(gram ^ digest), gram)
-            ids = part.column("id").to_numpy(zero_copy_only=False)
+            ids, windows = part.column("id").to_numpy(zero_copy_only=False)[doc], last - start + 1
             at = start - off[doc]
-            order = np.lexsort((at, ids[doc], digest))
-            pick, owner, place = digest[order], ids[doc[order]], at[order]
+            order = np.lexsort((at, ids, digest))
+            pick, owner, place = digest[order], ids[order], at[order]
             first = np.concatenate([[True], pick[1:] != pick[:-1]]) if len(order) else np.zeros(0, bool)
             again = np.concatenate([[False], (pick[1:] == pick[:-1]) & (owner[1:] == owner[:-1]) & (place[1:] == place[:-1])]) if len(order) else first
-            lead, rest = order[first], order[~first & ~again]
-            yield pa.RecordBatch.from_arrays([pa.array(gram[lead].view(np.int64)), pa.array(ids[doc[lead]], pa.int64()), pa.array(at[lead]), pa.array(last[lead] - start[lead] + 1, pa.int32()), _pieces(data, start[lead], last[lead] + WINDOW)], ["gram", "id", "at", "windows", "bytes"])
-            if len(rest):
-                yield pa.RecordBatch.from_arrays([pa.array(mix(gram[rest] + rest.astype(np.uint64)).view(np.int64)), pa.array(ids[doc[rest]], pa.int64()), pa.array(at[rest]), pa.array(last[rest] - start[rest] + 1, pa.int32()), pa.nulls(len(rest), pa.binary())], ["gram", "id", "at", "windows", "bytes"])
+            keep = order[first | ~again]
+            lead = np.isin(keep, order[first])
+            key = np.where(lead, gram[keep], mix(gram[keep] + keep.astype(np.uint64)))
+            columns = [pa.array(key.view(np.int64)), pa.array(digest[keep].view(np.int64), pa.int64(), mask=~lead), pa.array(ids[keep], pa.int64()), pa.array(at[keep]), pa.array(windows[keep], pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in DIGESTS.split(", ")])
+
+
+def _resolve_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by minimiser, digest, id and place. Equal segments are resolved: all but the first are removed
+    (a null minimiser says so); firsts of a minimiser with several different segments stay open."""
+    held: pa.Table | None = None
+
+    def resolved(table: pa.Table) -> pa.RecordBatch:
+        gram, ids, at, windows = (table.column(c).to_numpy() for c in ("gram", "id", "at", "windows"))
+        column = table.column("digest").combine_chunks()
+        null = column.is_null().to_numpy(zero_copy_only=False)
+        digest = column.fill_null(0).to_numpy(zero_copy_only=False)
+        head = np.concatenate([[True], gram[1:] != gram[:-1]])
+        lead = ~null & np.concatenate([[True], head[1:] | (digest[1:] != digest[:-1]) | null[:-1]])
+        owner = np.maximum.accumulate(np.where(lead | null, np.arange(len(gram)), 0))
+        gone = null | (~lead & ((ids != ids[owner]) | (at != at[owner])))
+        group = np.cumsum(head) - 1
+        opened = lead & (np.bincount(group, lead)[group] > 1)
+        keep = np.flatnonzero(gone | opened)
+        return pa.RecordBatch.from_arrays([pa.array(ids[keep], pa.int64()), pa.array(at[keep], pa.int64()), pa.array(windows[keep], pa.int32()), pa.array(gram[keep], pa.int64(), mask=gone[keep])], ["id", "at", "windows", "gram"])
+
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = table if held is None else pa.concat_tables([held, table])
+        gram = table.column("gram").to_numpy()
+        done = int(np.searchsorted(gram, gram[-1])) if len(gram) else 0
+        if done:
+            yield resolved(table.slice(0, done))
+        held = table.slice(done)
+    if held is not None and held.num_rows:
+        yield resolved(held)
+
+
+def _open_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bytes of open segments; what is removed already goes along as merged ranges without bytes."""
+    names = [c.split()[0] for c in SEGMENT.split(", ")]
+    for whole in batches:
+        for part in chunks(whole, "text", 1_000_000):
+            data, off = utf8(part.column("text"))
+            lists = part.column("found")
+            doc = np.repeat(np.arange(part.num_rows), np.diff(lists.offsets.to_numpy()))
+            fields = lists.flatten()
+            at, windows = (fields.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("at", "windows"))
+            gone = fields.field("gram").is_null().to_numpy(zero_copy_only=False)
+            gram = fields.field("gram").fill_null(0).to_numpy(zero_copy_only=False)
+            ids = part.column("id").to_numpy(zero_copy_only=False)
+            k = np.flatnonzero(~gone)
+            if len(k):
+                low = off[doc[k]] + at[k]
+                yield pa.RecordBatch.from_arrays([pa.array(gram[k], pa.int64()), pa.array(ids[doc[k]], pa.int64()), pa.array(at[k]), pa.array(windows[k], pa.int32()), _pieces(data, low, low + windows[k] + WINDOW - 1)], names)
+            k = np.flatnonzero(gone)
+            if len(k):
+                k = k[np.lexsort((at[k], doc[k]))]
+                low, d = off[doc[k]] + at[k], doc[k]
+                reach = np.maximum.accumulate(low + windows[k] + WINDOW - 1)
+                head = np.flatnonzero(np.concatenate([[True], (low[1:] > reach[:-1]) | (d[1:] != d[:-1])]))
+                end = reach[np.append(head[1:], len(k)) - 1]
+                d, low = d[head], low[head]
+                key = mix(ids[d].astype(np.int64).view(np.uint64) + low.astype(np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[d], pa.int64()), pa.array(low - off[d]), pa.array(end - low - WINDOW + 1, pa.int32()), pa.nulls(len(d), pa.binary())], names)
 
 
 def _removed(table: pa.Table) -> pa.RecordBatch:
@@ -316,7 +378,9 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     shared = cut(anchors.groupBy("gram").agg(F.sum("times").alias("n")).filter("n > 1").select("gram", (F.col("n") > HOT).alias("hot")))
     mine = anchors.select("gram", "id").join(shared, "gram").groupBy("id").agg(F.collect_list(F.struct("gram", "hot")).alias("s"))
     mine = mine.select("id", F.col("s.gram").alias("grams"), F.col("s.hot").alias("hot"))
-    segments = rows.join(mine, "id").mapInArrow(_segment_rows, SEGMENT)
+    digests = rows.join(mine, "id").mapInArrow(_segment_rows, DIGESTS).repartition("gram").sortWithinPartitions("gram", "digest", "id", "at")
+    found = digests.mapInArrow(_resolve_groups, "id long, at long, windows int, gram long").groupBy("id").agg(F.collect_list(F.struct("at", "windows", "gram")).alias("found"))
+    segments = rows.join(found, "id").mapInArrow(_open_rows, SEGMENT)
     ranges = segments.repartition("gram").sortWithinPartitions("gram").mapInArrow(_sort_groups, "id long, low long, high long")
     ranges = ranges.groupBy("id").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
     out = rows.join(ranges, "id", "left").mapInArrow(_kept_rows, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
