@@ -41,7 +41,8 @@ CONTEXT = {
 }
 WINDOW, BONUS, THRESHOLD = 40, 0.2, 0.5
 
-_BYTE = "0*+(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])"
+#: 0 to 255 with any number of zeros before; the zeros are not possessive, as the number may be a zero itself.
+_BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 
 
 def _digits(text: Column) -> Column:

@@ -215,6 +215,13 @@ def test_op2_pii(spark, rows):
     assert got == {i: brute_pii(t) for i, t in enumerate(texts)}
 
 
+def test_op2_addresses_with_zero_parts(spark):
+    texts = ["at 10.0.0.1 now", "0.0.0.0", "127.0.0.1 1.2.3.000", "1.2.3.00", "00256.0.0.0 0.0.0.256", "0" * 3000 + ".0.0." + "0" * 3000, "010.255.0249.0"]
+    df = frame(spark, list(enumerate(texts)))
+    assert {r["doc_id"]: tuple(r)[1:6] for r in pii.pii_report(df).collect()} == {i: brute_pii(t) for i, t in enumerate(texts)}
+    assert {r["doc_id"]: r["text"] for r in pii.redacted(df).collect()}[0] == "at [IP] now"
+
+
 def test_op2_added_kinds_and_redaction(spark):
     df = frame(spark, [(1, "iban GB82 WEST 1234 5698 7654 32, ssn 123-45-6789"), (2, "GB82 WEST 1234 5698 7654 33"), (3, None), (4, "to a@b.co now")])
     spans = {r["doc_id"]: r["spans"] for r in pii.pii_report(df).collect()}
