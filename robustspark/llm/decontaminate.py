@@ -8,7 +8,7 @@ threshold. A retrieved item leaks if the words around the passage hold ``VERIFY`
 its answer (the last quarter of its words).
 
 Items are read in blocks of ``ITEMS``, one index a block, so what is broadcast is bounded by the block. Words are runs of
-letters and digits, A-Z lower-cased. Null and empty texts and an empty benchmark give no hits; an item of
+letters and digits, without regard to case. Null and empty texts and an empty benchmark give no hits; an item of
 fewer than two words is never found; repeated rows give repeated rows; extra columns are ignored.
 """
 
@@ -19,7 +19,7 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from robustspark.llm.textops import ALNUM, chunks, mix, utf8, word_hashes
@@ -188,6 +188,11 @@ class Index:
 COLUMNS = "id long, n_passages long, n_retrieved long, contaminated boolean, item_ids array<long>, best_score double, best_question double, best_answer double"
 
 
+def folded(text: Column) -> Column:
+    """A text without case: in small letters, with ß as its capitals SS give it."""
+    return F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
+
+
 def _search(docs: DataFrame, index: Index) -> DataFrame:
     shipped = docs.sparkSession.sparkContext.broadcast(index)
 
@@ -207,8 +212,8 @@ def _search(docs: DataFrame, index: Index) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row per document: id, passages queried, entries retrieved, whether an item leaks, the leaking item ids and the best match."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    items = ((r[0], r[1]) for r in benchmark.filter(F.col(item_col).isNotNull()).select(F.col(item_col).cast("long"), F.col(item_text_col)).toLocalIterator())
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), folded(F.col(text_col)).alias("text"))
+    items = ((r[0], r[1]) for r in benchmark.filter(F.col(item_col).isNotNull()).select(F.col(item_col).cast("long"), folded(F.col(item_text_col))).toLocalIterator())
     parts = []
     while block := list(islice(items, ITEMS)):
         parts.append(_search(rows, Index(block)))

@@ -329,6 +329,13 @@ def test_op4_decontamination(spark, rows):
     assert decontaminate.decontaminate(df, bench.limit(0)).filter("contaminated").count() == 0
 
 
+def test_op4_accented_items_in_other_case(spark):
+    items = [(k, " ".join(f"é{a}à{b}ñ ΟΔΌΣ{k} straße" for a, b in zip("abcdefgh", "hgfedcba"))) for k in range(3)]
+    texts = [f"Before {t.upper()} after" for _, t in items] + [f"Before {t.lower()} after" for _, t in items]
+    got = {r["doc_id"]: r for r in decontaminate.decontaminate(frame(spark, list(enumerate(texts))), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert all(k % 3 in r["item_ids"] and r["best_question"] == r["best_answer"] == 1.0 for k, r in got.items())
+
+
 def test_op4_wand_returns_all_above():
     rng = random.Random(8)
     index = decontaminate.Index([(k, " ".join(f"w{rng.randrange(60)}" for _ in range(rng.randrange(2, 90)))) for k in range(80)])
