@@ -3,7 +3,8 @@
 A gear hash rolls over a text's bytes; a chunk ends where it has ``CUT`` zero bits, but holds ``LEAST`` to ``MOST`` bytes.
 The cut depends on the last 16 bytes only, so chunks fall in step again soon after an insertion. Digests that occur
 more than once are counted with partial aggregation; a chunk is removed if an equal one starts earlier (smaller id, then
-earlier start) and the removed chunks around it run to ``RUN`` bytes, so that short common phrases stay.
+earlier start) and the removed chunks around it run to ``RUN`` bytes (two least chunks), so that short common phrases stay.
+A shared passage loses its head and tail before chunks fall in step, so a greater ``RUN`` would lose passages of some 50 words.
 
 Null texts are empty and have no chunks; repeated rows of one id and text are the same document; extra columns are ignored.
 """
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from robustspark.llm.common import cut
 from robustspark.llm.textops import BYTE, chunks, utf8
 
-LEAST, MOST, RUN = 32, 512, 160
+LEAST, MOST, RUN = 32, 512, 64
 #: Bits 11 to 15 of the hash, which depend on the last 16 bytes.
 CUT = np.uint32(0xF800)
 GEAR = (BYTE >> np.uint64(32)).astype(np.uint32)

@@ -176,6 +176,14 @@ def test_op8_chunk_dedup(docs, rows):
     assert {r["doc_id"]: (r["n_removed"], r["removed_spans"]) for r in chunking.chunk_dedup(docs).collect()} == want
 
 
+def test_op8_finds_passages_of_51_words(spark):
+    rng = random.Random(11)
+    make = lambda n: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 10))) for _ in range(n))
+    rows = [(2 * k + j, f"{make(40)} {p} {make(40)}") for k, p in enumerate(make(51) for _ in range(200)) for j in (0, 1)]
+    missed = chunking.chunk_dedup(frame(spark, rows)).filter("doc_id % 2 = 1 and n_removed = 0").count()
+    assert missed <= 8
+
+
 def test_op8_cuts_resist_shifts():
     rng = np.random.default_rng(1)
     raw = rng.integers(97, 123, 20_000, dtype=np.uint8).tobytes()
