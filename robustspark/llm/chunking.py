@@ -7,6 +7,7 @@ earlier start) and the removed chunks around it run to ``RUN`` bytes (two least
 A shared passage loses its head and tail before chunks fall in step, so a greater ``RUN`` would lose passages of some 50 words.
 
 Null texts are empty and have no chunks; repeated rows of one id and text are the same document; extra columns are ignored.
+A null id comes after all others and is not listed as an origin; rows of one id with other texts are documents of their own.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from robustspark.llm.common import cut
+from robustspark.llm.common import cut, row_key
 from robustspark.llm.textops import BYTE, chunks, utf8
 
 LEAST, MOST, RUN = 32, 512, 64
@@ -78,8 +79,8 @@ def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     starts.append(begin)
                     sizes.append(end - begin)
                     begin = end
-            ids = part.column("id").to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(ids[docs] if docs else [], pa.int64()), pa.array(starts, pa.int64()), pa.array(sizes, pa.int32())], ["digest", "id", "at", "size"])
+            ids, keys = (part.column(c).take(pa.array(docs, pa.int64())) for c in ("id", "key"))
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), ids, keys, pa.array(starts, pa.int64()), pa.array(sizes, pa.int32())], ["digest", "id", "key", "at", "size"])
 
 
 def _report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,7 +102,7 @@ def _report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     kept.update(raw[at:low])
                     at = high
                 kept.update(raw[at:])
-                rows.append((key, len(raw), len({x["at"] for x in found or ()}), sum(b - a for a, b, _ in runs), len(runs), ",".join(f"{a}:{b}" for a, b, _ in runs), sorted(set().union(*(x[2] for x in runs))), kept.hexdigest()))
+                rows.append((key, len(raw), len({x["at"] for x in found or ()}), sum(b - a for a, b, _ in runs), len(runs), ",".join(f"{a}:{b}" for a, b, _ in runs), sorted(set().union(*(x[2] for x in runs)) - {None}), kept.hexdigest()))
             types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], REPORT)
 
@@ -112,11 +113,11 @@ REPORT = ["id", "n_bytes", "n_shared_chunks", "n_removed", "n_spans", "removed_s
 def chunk_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_bytes, chunks shared with others or itself, removed bytes and spans (byte offsets),
     the ids of the first documents with the removed chunks, and the digest of what stays."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    found = rows.filter("octet_length(text) > 0").mapInArrow(_chunk_rows, "digest binary, id long, at long, size int")
-    first = found.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("id", "at")).alias("first"))
-    first = cut(first.filter("n > 1").select("digest", F.col("first.id").alias("origin"), F.col("first.at").alias("origin_at")))
-    shared = found.join(first, "digest").select("id", "at", "size", "origin", ((F.col("id") == F.col("origin")) & (F.col("at") == F.col("origin_at"))).alias("lead"))
-    per_doc = shared.groupBy("id").agg(F.collect_set(F.struct("at", "size", "origin", "lead")).alias("found"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumn("key", row_key())
+    found = rows.filter("octet_length(text) > 0").mapInArrow(_chunk_rows, "digest binary, id long, key long, at long, size int")
+    first = found.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct(F.col("id").isNull().alias("null_id"), "id", "key", "at")).alias("first"))
+    first = cut(first.filter("n > 1").select("digest", F.col("first.id").alias("origin"), F.col("first.key").alias("origin_key"), F.col("first.at").alias("origin_at")))
+    shared = found.drop("id").join(first, "digest").select("key", "at", "size", "origin", ((F.col("key") == F.col("origin_key")) & (F.col("at") == F.col("origin_at"))).alias("lead"))
+    per_doc = shared.groupBy("key").agg(F.collect_set(F.struct("at", "size", "origin", "lead")).alias("found"))
     schema = "id long, n_bytes long, n_shared_chunks long, n_removed long, n_spans long, removed_spans string, origin_ids array<long>, kept_sha256 string"
-    return rows.join(per_doc, "id", "left").mapInArrow(_report, schema).withColumnRenamed("id", id_col)
+    return rows.join(per_doc, "key", "left").mapInArrow(_report, schema).withColumnRenamed("id", id_col)

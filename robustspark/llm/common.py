@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -12,6 +13,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def row_key(key: str = "id", text: str = "text") -> Column:
+    """A key that is never null, of a row's id (which may be null or repeated) and text; equal rows share it."""
+    return F.xxhash64(F.col(key), F.col(text))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` with its lineage cut by a checkpoint in the cluster's shared folder (``spark.checkpoint.dir``).
 

@@ -230,5 +230,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents in which no item leaks, all columns kept."""
-    leaks = decontaminate(docs, benchmark, id_col, text_col).filter("contaminated").select(F.col(id_col).alias("__leak")).distinct()
-    return docs.join(leaks, docs[id_col].cast("long") == F.col("__leak"), "left_anti")
+    key = F.xxhash64(F.col(text_col))  # ids may be null or repeated, and a leak is a matter of the text alone
+    leaks = decontaminate(docs.select(key.alias("key"), F.col(text_col).alias("text")), benchmark, "key").filter("contaminated").select(F.col("key").alias("__leak")).distinct()
+    return docs.join(leaks, key == F.col("__leak"), "left_anti")

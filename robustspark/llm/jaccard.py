@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from robustspark.llm.common import cut
+from robustspark.llm.common import cut, fresh, row_key
 from robustspark.llm.graph import connected_components
 from robustspark.llm.textops import chunks, mix, shingle_sets, utf8
 
@@ -120,7 +120,7 @@ def _sets(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[np.ndarr
 def _class_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for part, sets in _sets(whole):
-            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([class_of(x) if len(x) else None for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64())], ["id", "cls", "n"])
+            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("key"), pa.array([class_of(x) if len(x) else None for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64())], ["id", "key", "cls", "n"])
 
 
 def _signature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,9 +138,14 @@ def _signature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen: set[int] = set()  # repeated rows share a key and so, mostly, a task
     for whole in batches:
         for part, sets in _sets(whole):
-            rows = [(c, len(x), x.view(np.int64), parity(x)) for c, x in zip(part.column("cls").to_pylist(), sets, strict=True) if len(x) and class_of(x) == c]
+            rows = []
+            for c, x in zip(part.column("cls").to_pylist(), sets, strict=True):
+                if len(x) and c not in seen and class_of(x) == c:
+                    seen.add(c)
+                    rows.append((c, len(x), x.view(np.int64), parity(x)))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())), strict=True)], ["cls", "n", "items", "odd"])
 
@@ -164,19 +169,19 @@ def _checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return common.filter(100 * F.col("common") >= PERCENT * (F.col("total") - F.col("common"))).select("a", "b")
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, n_shingles, component_id, the smallest id that links reach."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    of = cut(rows.mapInArrow(_class_rows, "id long, cls long, n long"))
-    classes = of.filter("cls is not null").groupBy("cls").agg(F.min("id").alias("rep"))
+def _components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row per document: id, key, n, comp (null without shingles)."""
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumn("key", row_key())
+    of = cut(rows.mapInArrow(_class_rows, "id long, key long, cls long, n long"))
+    classes = of.filter("cls is not null").groupBy("cls").agg(F.min("key").alias("rep"))
 
-    signed = rows.mapInArrow(_signature_rows, "token long, cls long")
+    signed = rows.select("text").mapInArrow(_signature_rows, "token long, cls long")
     same = Window.partitionBy("token")
     members = signed.select("token", "cls", F.min("cls").over(same).alias("low"), F.max("cls").over(same).alias("high"))
     members = cut(members.filter("low <> high").distinct())
 
-    wanted = members.select("cls").distinct().join(classes, "cls").select(F.col("rep").alias("id"), "cls")
-    texts = rows.join(wanted, "id").select("cls", "text")
+    wanted = members.select("cls").distinct().join(classes, "cls").select(F.col("rep").alias("key"), "cls")
+    texts = rows.select("key", "text").join(wanted, "key").select("cls", "text")
     sets = cut(texts.mapInArrow(_set_rows, "cls long, n long, items array<long>, odd array<long>"))
 
     ends = [F.struct(F.col(x).alias("a"), F.col(y).alias("b")) for x, y in (("low", "cls"), ("cls", "high"), ("low", "high"))]
@@ -194,13 +199,23 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     more = _checked(across.join(tried, ["a", "b"], "left_anti"), sets)
     final = cut(connected_components(links.unionByName(more)))
 
-    grouped = of.join(final, F.col("cls") == F.col("node"), "left").select("id", "n", F.coalesce("component", "cls").alias("comp"))
+    return of.join(final, F.col("cls") == F.col("node"), "left").select("id", "key", "n", F.coalesce("component", "cls").alias("comp"))
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: id, n_shingles, component_id, the smallest id that links reach (null if none has one)."""
+    grouped = _components(docs, id_col, text_col).select("id", "n", "comp")
     least = grouped.filter("comp is not null").groupBy("comp").agg(F.min("id").alias("component_id")).withColumnRenamed("comp", "c")
     out = grouped.join(least, F.col("comp") == F.col("c"), "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
 
 
 def keep_one_of_each_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents whose id is the smallest of their component, all columns kept; of repeated ids one row stays."""
-    kept = jaccard_components(docs, id_col, text_col).filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__kept")).distinct()
-    return docs.join(kept, docs[id_col].cast("long") == F.col("__kept"), "left_semi")
+    """One row of each component, all columns kept: of the smallest id, null ids last. Rows without shingles stand alone and stay."""
+    grouped = _components(docs, id_col, text_col)
+    least = grouped.filter("comp is not null").groupBy("comp").agg(F.min(F.struct(F.col("id").isNull().alias("null_id"), "id", "key")).alias("first"))
+    key, kept, alone, place = (fresh(docs, x) for x in ("__key", "__kept", "__alone", "__place"))
+    stay = least.select(F.col("first.key").alias(kept), F.lit(False).alias(alone)).unionByName(grouped.filter("comp is null").select(F.col("key").alias(kept), F.lit(True).alias(alone)).distinct())
+    keyed = docs.withColumn(key, F.xxhash64(F.col(id_col).cast("long"), F.col(text_col)))
+    placed = keyed.join(stay, F.col(key) == F.col(kept)).withColumn(place, F.row_number().over(Window.partitionBy(key).orderBy(key)))
+    return placed.filter(F.col(alone) | (F.col(place) == 1)).select(*docs.columns)

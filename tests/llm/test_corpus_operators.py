@@ -395,6 +395,25 @@ def test_op1_held_out_accuracy(spark):
     assert quality.quality_scores(df, known.limit(0)).filter("score <> 0.5").count() == 0
 
 
+def test_null_and_repeated_ids(spark):
+    rng = random.Random(12)
+    make = lambda n: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(3, 9))) for _ in range(n))
+    own, near, twice, lone, other = (make(120) for _ in range(5))
+    table = [(None, own), (None, near), (None, near + " more"), (3, near + " words"), (4, twice), (4, twice), (5, lone), (5, other), (None, None), (None, "")]
+    df = spark.createDataFrame([(i, t, "s") for i, t in table], "doc_id long, text string, source string").repartition(3)
+    got = collections.Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(df).collect())
+    want = [(None, 116, None), (None, 116, 3), (None, 117, 3), (3, 117, 3), (4, 116, 4), (4, 116, 4), (5, 116, 5), (5, 116, 5), (None, 0, None), (None, 0, None)]
+    assert got == collections.Counter(want)
+    kept = collections.Counter((r["doc_id"], r["text"]) for r in jaccard.keep_one_of_each_component(df).collect())
+    assert kept == collections.Counter([(None, own), (3, near + " words"), (4, twice), (5, lone), (5, other), (None, None), (None, "")])
+    chunked = collections.Counter((r["doc_id"], r["n_bytes"], r["n_removed"] > 0) for r in chunking.chunk_dedup(df).collect())
+    assert chunked == collections.Counter([(None, len(own), False), (None, len(near), True), (None, len(near) + 5, True), (3, len(near) + 6, False), (4, len(twice), False), (4, len(twice), False), (5, len(lone), False), (5, len(other), False), (None, 0, False), (None, 0, False)])
+    scored = collections.Counter((r["doc_id"], r["n_tokens"]) for r in lm.lm_scores(df, public_tokenizers.path("piece_bpe_32k.model")).collect())
+    assert scored == collections.Counter([(None, 121), (None, 121), (None, 122), (3, 122), (4, 121), (5, 121), (5, 121), (None, 1), (None, 1)])
+    left = decontaminate.without_leaks(df, spark.createDataFrame([(1, own), (2, lone)], "item_id long, text string"))
+    assert sorted((r["doc_id"] or 0) for r in left.collect()) == [0, 0, 0, 0, 3, 4, 4, 5]
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], SCHEMA)
     path = public_tokenizers.path
