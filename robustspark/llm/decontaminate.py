@@ -5,7 +5,9 @@ neighbouring words (single words are so common that their bounds would prune lit
 of every document (``PASSAGE`` words, half overlapping) is a query. A passage whose terms' greatest impacts sum to less
 than the threshold has no pivot and is done; the others go through block-max WAND, which returns all entries above the
 threshold. A retrieved item leaks if the words around the passage hold ``VERIFY`` of the 3-grams of its question and of
-its answer (the last quarter of its words).
+its answer (the last quarter of its words). One changed word can cost a part of under ``SHORT`` words more than this, so
+a short part counts by the share of its words that are in order at the place of the item's 3-grams, if ``WHOLE`` of all
+the item's words are.
 
 Items are read in blocks of ``ITEMS``, one index a block, so what is broadcast is bounded by the block. Words are runs of
 letters and digits, without regard to case. Null and empty texts and an empty benchmark give no hits; an item of
@@ -22,10 +24,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from robustspark.llm.common import row_key
 from robustspark.llm.textops import ALNUM, chunks, mix, utf8, word_hashes
 
 PASSAGE, ENTRY, BLOCK, ITEMS = 64, 48, 16, 20_000
 RETRIEVE, VERIFY = 0.5, 0.6
+SHORT, WHOLE, DRIFT = 10, 0.8, 2
 K1, B = 1.2, 0.75
 
 
@@ -41,6 +45,33 @@ def pairs(h: np.ndarray) -> np.ndarray:
     return mix(mix(h[:-1]) + h[1:])
 
 
+def common(a: np.ndarray, b: np.ndarray) -> int:
+    """The length of the longest common subsequence, by bits of a whole number."""
+    places: dict[int, int] = {}
+    for k, x in enumerate(a.tolist()):
+        places[x] = places.get(x, 0) | 1 << k
+    full = (1 << len(a)) - 1
+    state = full
+    for x in b.tolist():
+        both = state & places.get(x, 0)
+        state = (state + both | state - both) & full
+    return len(a) - state.bit_count()
+
+
+def aligned(words: np.ndarray, own: np.ndarray, answer: int) -> tuple[float, float]:
+    """The shares of the question's and of the answer's words found in order where the item's 3-grams are, 0 if ``WHOLE`` is missed."""
+    best = (0.0, 0.0)
+    if len(words) < 3 or len(own) < 3:
+        return best
+    at, of = np.nonzero(grams(words)[:, None] == grams(own)[None, :])
+    split = len(own) - answer
+    for start in np.unique(at - of).tolist():
+        cut = [words[max(0, start + a - DRIFT) : max(0, start + b + DRIFT)] for a, b in ((0, len(own)), (0, split), (split, len(own)))]
+        if common(own, cut[0]) >= WHOLE * len(own):
+            best = max(best, (common(own[:split], cut[1]) / split, common(own[split:], cut[2]) / answer), key=min)
+    return best
+
+
 class Index:
     """Inverted index of benchmark items with normalised impacts and block maxima."""
 
@@ -156,9 +187,13 @@ class Index:
                 words = None
                 for entry, score in found:
                     item = self.item_of[entry]
-                    if words is None and min(len(self.items[item][1]), 12) < 12:
+                    if words is None and len(self.items[item][1]) < 4 * SHORT:
                         words = h[max(int(at[d]), lo - self.longest) : min(int(at[d + 1]), lo + PASSAGE + self.longest)]
                     shares = [self._share(x, near, words, y) for x, y in zip(self.parts[item], self._sequences(item), strict=True)]
+                    short = [len(x) < SHORT for x in self._sequences(item)]
+                    if any(x < VERIFY and y for x, y in zip(shares, short, strict=True)) and all(x >= VERIFY or y for x, y in zip(shares, short, strict=True)):
+                        found_in_order = aligned(words, self.items[item][1], len(self._sequences(item)[1]))
+                        shares = [max(x, z) if y else x for x, y, z in zip(shares, short, found_in_order, strict=True)]
                     if min(shares) >= VERIFY and score > best.get((d, item), (0.0,))[0]:
                         best[d, item] = (score, *shares)
         for (d, item), x in sorted(best.items()):
@@ -185,7 +220,7 @@ class Index:
         return float(match.any())
 
 
-COLUMNS = "id long, n_passages long, n_retrieved long, contaminated boolean, item_ids array<long>, best_score double, best_question double, best_answer double"
+COLUMNS = "key long, id long, n_passages long, n_retrieved long, contaminated boolean, item_ids array<long>, best_score double, best_question double, best_answer double"
 
 
 def folded(text: Column) -> Column:
@@ -202,7 +237,7 @@ def _search(docs: DataFrame, index: Index) -> DataFrame:
                 found = shipped.value.hits(*word_hashes(*utf8(part.column("text")), ALNUM))
                 top = [max(((s, q, a) for _, s, q, a in x), default=(None, None, None)) for _, _, x in found]
                 columns = [
-                    part.column("id"), pa.array([n for n, _, _ in found], pa.int64()), pa.array([n for _, n, _ in found], pa.int64()), pa.array([bool(x) for _, _, x in found]),
+                    part.column("key"), part.column("id"), pa.array([n for n, _, _ in found], pa.int64()), pa.array([n for _, n, _ in found], pa.int64()), pa.array([bool(x) for _, _, x in found]),
                     pa.array([sorted({i for i, *_ in x}) for _, _, x in found], pa.list_(pa.int64())), *(pa.array([t[k] for t in top], pa.float64()) for k in range(3)),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in COLUMNS.split(", ")])
@@ -212,7 +247,7 @@ def _search(docs: DataFrame, index: Index) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row per document: id, passages queried, entries retrieved, whether an item leaks, the leaking item ids and the best match."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), folded(F.col(text_col)).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), folded(F.col(text_col)).alias("text")).withColumn("key", row_key())
     items = ((r[0], r[1]) for r in benchmark.filter(F.col(item_col).isNotNull()).select(F.col(item_col).cast("long"), folded(F.col(item_text_col))).toLocalIterator())
     parts = []
     while block := list(islice(items, ITEMS)):
@@ -223,9 +258,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     if len(parts) > 1:
         for more in parts[1:]:
             out = out.unionByName(more)
+        # equal rows have one key and equal results: each block's is counted once, and as many rows come out
+        times = (F.count("*") / len(parts)).cast("int")
         best = F.max(F.struct("best_score", "best_question", "best_answer"))
-        out = out.groupBy("id").agg(F.max("n_passages").alias("n_passages"), F.sum("n_retrieved").alias("n_retrieved"), F.max("contaminated").alias("contaminated"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"), best.alias("best")).select("id", "n_passages", "n_retrieved", "contaminated", "item_ids", "best.*")
-    return out.withColumnRenamed("id", id_col)
+        out = out.groupBy("key").agg(F.max("id").alias("id"), times.alias("times"), F.max("n_passages").alias("n_passages"), (F.sum("n_retrieved") / times).cast("long").alias("n_retrieved"), F.max("contaminated").alias("contaminated"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"), best.alias("best")).withColumn("copy", F.explode(F.sequence(F.lit(1), "times"))).select("id", "n_passages", "n_retrieved", "contaminated", "item_ids", "best.*")
+    return out.drop("key").withColumnRenamed("id", id_col)
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -357,6 +357,27 @@ def test_op4_wand_returns_all_above():
         assert {e for e, _ in index.search(query, threshold)} == {e for e, s in scores.items() if s >= threshold}
 
 
+def test_op4_near_copies_of_short_items(spark, monkeypatch):
+    items = [(k, " ".join(f"w{k}x{j}" for j in range(12 + k))) for k in range(9)]
+    texts, want = [], []
+    for k, t in items:
+        own = t.split(" ")
+        for j in range(len(own)):
+            texts.append("here now " + " ".join([*own[:j], "changed", *own[j + 1 :]]) + " and then")
+            want.append([k])
+        answer = max(1, len(own) // 4)
+        texts.append(" ".join(own[:-answer]) + " with some other words after it")
+        want.append([])
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [*enumerate(texts), (0, texts[0]), (None, texts[0])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    read = lambda: sorted(((r["doc_id"] is None, r["doc_id"] or 0, r["item_ids"], r["n_retrieved"]) for r in decontaminate.decontaminate(df, bench).collect()))
+    one = read()
+    assert {i: x for null, i, x, _ in one if not null} == dict(enumerate(want)) and len(one) == len(rows)
+    monkeypatch.setattr(decontaminate, "ITEMS", 4)
+    assert [x[:3] for x in read()] == [x[:3] for x in one] and [x[3] for x in read()][:2] == [1, 1]
+
+
 def test_op4_blocks_of_items(spark, rows, monkeypatch):
     items = spark.createDataFrame([(k, rows[20 + k][1]) for k in range(9) if rows[20 + k][1]], "item_id long, text string")
     df = frame(spark, rows)
