@@ -2,7 +2,7 @@
 
 Spark partitions the documents; inside a task each distinct pretoken is merged once. A batch's new pretokens are folded
 together: all pairs of neighbours get their rank from one hash table, and every pretoken merges its best pair per step.
-(The form with higher-order functions and a literal rank map was measured and left; the README has the figures.)
+(The form with higher-order functions and a literal rank map was estimated, not built or measured; see the README.)
 Decoding looks the ids up in the table of binary pieces and concatenates them.
 
 Null texts are empty and have no ids; a text is never cut. The cache of pretokens is bounded by ``CACHE``.
