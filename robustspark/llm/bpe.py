@@ -1,33 +1,44 @@
 """Byte-level BPE encoding and decoding.
 
-Spark partitions the documents; inside a task each distinct pretoken is merged once. A batch's new pretokens are folded
-together: all pairs of neighbours get their rank from one hash table, and every pretoken merges its best pair per step.
-(The form with higher-order functions and a literal rank map was estimated, not built or measured; see the README.)
-Decoding looks the ids up in the table of binary pieces and concatenates them.
-
-Null texts are empty and have no ids; a text is never cut. The cache of pretokens is bounded by ``CACHE``.
+1. A task cuts its texts into pretokens and numbers the distinct ones of a chunk of ``CHUNK_BYTES``: a chunk is a row of
+   document ids, codes and distinct words, each word a string of one character per byte.
+2. Spark's higher-order functions fold the ranked merges over every distinct word. A word is an array of its pairs of
+   neighbours, each packed as rank, left id and right id. A step takes the first pair of least rank, drops it, and looks
+   the two pairs beside it up again. Ranks come from a literal map of all pairs that merge: a map literal would be scanned
+   entry by entry, so it is laid out as two literal arrays in which every pair has one place of two.
+3. A task puts the ids of the words in the places of the codes, and decodes by concatenating the ids' binary pieces.
+
+Nothing is shuffled. A pretoken that is a piece as a whole needs no merges. The fold costs the square of a word's length;
+a pretoken of over ``LONG`` bytes (no word of a language) merges by a heap in the first task, with the same result.
+
+Null texts are empty and have no ids; a text is never cut (one longer than a chunk is a chunk of its own); null and
+repeated ids are kept row by row; no rows give no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import base64
-import hashlib
 import heapq
+import hashlib
+import json
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from robustspark.llm.textops import CHUNK, chunks, mix
-
-CACHE = 400_000
-NONE = np.int32(2**31 - 1)
-LONG = 48
+from robustspark.llm.textops import chunks
 
+CHUNK_BYTES = 32_000_000
+LONG = 512
+#: In a packed pair the rank's place, and the rank of pairs that don't merge (ranks and ids take 16 bits).
+NONE = 0xFFFF << 32
+LOW, PAIR = 0xFFFF, 0xFFFFFFFF
+#: Each half of the literal map has 2^18 places; a pair's place in a half is bits 30 to 47 of its product with a multiplier.
+PLACES, MULTIPLIERS = 1 << 18, (1640531527, 1131110399)
 
 
 def _ranges(*codes: tuple[int, int]) -> str:
@@ -56,145 +67,140 @@ def pretokens(text: str) -> list[str]:
     return (WIDE if BEYOND.search(text) else NARROW).findall(text)
 
 
-class Merger:
-    """Ranks of a vocabulary, and the merges of whole batches of pretokens."""
+class Ranks:
+    """A rank file: pieces, ids of single bytes, and the pairs that merge."""
 
     def __init__(self, rank_file: bytes) -> None:
-        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in rank_file.splitlines() if line)}
-        self.ranks, self.cache = ranks, {}
-        self.pieces = [b""] * (max(ranks.values()) + 1)
-        pairs: dict[tuple[int, int], int] = {}
-        for piece, rank in ranks.items():
-            self.pieces[rank] = piece
+        self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in rank_file.splitlines() if line)}
+        if max(self.ranks.values()) >= LOW:
+            raise ValueError("ranks take 16 bits")
+        self.byte_id = [self.ranks[bytes([b])] for b in range(256)]
+        pieces = [b""] * (max(self.ranks.values()) + 1)
+        for piece, rank in self.ranks.items():
+            pieces[rank] = piece
+        self.bytes = np.frombuffer(b"".join(pieces), np.uint8)
+        self.ends = np.cumsum([0, *map(len, pieces)])
+
+    def pairs(self) -> dict[tuple[int, int], int]:
+        """The rank of every pair of pieces that makes a piece."""
+        known, out = self.ranks, {}
+        for piece, rank in known.items():
             for k in range(1, len(piece)):
-                if (a := ranks.get(piece[:k])) is not None and (b := ranks.get(piece[k:])) is not None:
-                    pairs[a, b] = rank
-        self.pairs = pairs
-        self.byte_id = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
-        size = 1 << (2 * len(pairs)).bit_length()
-        self.mask = np.uint64(size - 1)
-        self.keys, self.values = np.full(size, 2**64 - 1, np.uint64), np.full(size, NONE, np.int32)
-        left, right = np.array(list(pairs), np.uint64).reshape(-1, 2).T
-        keys, values = left << np.uint64(32) | right, np.fromiter(pairs.values(), np.int32, len(pairs))
-        slot = mix(keys) & self.mask
-        while len(keys):  # every round each free slot takes one key, the others move on
-            free = self.keys[slot] == np.uint64(2**64 - 1)
-            take = np.flatnonzero(free)[np.unique(slot[free], return_index=True)[1]]
-            self.keys[slot[take]], self.values[slot[take]] = keys[take], values[take]
-            stay = np.ones(len(keys), bool)
-            stay[take] = False
-            keys, values, slot = keys[stay], values[stay], slot[stay] + np.uint64(1) & self.mask
-
-    def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Ranks of the pairs (a, b), ``NONE`` where they don't merge."""
-        key = a.astype(np.uint64) << np.uint64(32) | b.astype(np.uint64)
-        slot = mix(key) & self.mask
-        found = self.keys[slot]
-        out = np.where(found == key, self.values[slot], NONE)
-        rest = np.flatnonzero((found != key) & (found != np.uint64(2**64 - 1)))
-        while len(rest):
-            slot[rest] = slot[rest] + np.uint64(1) & self.mask
-            found = self.keys[slot[rest]]
-            hit = found == key[rest]
-            out[rest[hit]] = self.values[slot[rest[hit]]]
-            rest = rest[~hit & (found != np.uint64(2**64 - 1))]
-        return out
-
-    def merge_same_length(self, words: list[bytes]) -> list[bytes]:
-        """Ids (little-endian bytes) of words of one length: per step, each word merges its leftmost pair of least rank."""
-        m, n = len(words), len(words[0])
-        ids = self.byte_id[np.frombuffer(b"".join(words), np.uint8).reshape(m, n)]
-        out: list[bytes] = [b""] * m
-        row = np.arange(m)
-        ranks = self.rank(ids[:, :-1].ravel(), ids[:, 1:].ravel()).reshape(m, n - 1) if n > 1 else np.empty((m, 0), np.int32)
-        while len(row):
-            if ids.shape[1] > 1:
-                at = ranks.argmin(1)
-                best = ranks[np.arange(len(row)), at]
-                done = best == NONE
-            else:
-                done = np.ones(len(row), bool)
-            if done.any():
-                raw, width = np.ascontiguousarray(ids[done], "<u4").tobytes(), 4 * ids.shape[1]
-                for k, r in enumerate(row[done].tolist()):
-                    out[r] = raw[k * width : (k + 1) * width]
-                if done.all():
-                    break
-                row, ids, ranks, at, best = row[~done], ids[~done], ranks[~done], at[~done], best[~done]
-            column = np.arange(ids.shape[1] - 1)
-            r = np.arange(len(row))
-            ids = np.where(column <= at[:, None], ids[:, :-1], ids[:, 1:])
-            ids[r, at] = best
-            if ids.shape[1] == 1:
-                ranks = np.empty((len(row), 0), np.int32)
-                continue
-            gap = column[:-1]
-            ranks = np.where(gap < at[:, None], ranks[:, :-1], ranks[:, 1:])
-            right = np.flatnonzero(at < ids.shape[1] - 1)
-            left = np.flatnonzero(at > 0)
-            ranks[right, at[right]] = self.rank(ids[right, at[right]], ids[right, at[right] + 1])
-            ranks[left, at[left] - 1] = self.rank(ids[left, at[left] - 1], ids[left, at[left]])
+                if (a := known.get(piece[:k])) is not None and (b := known.get(piece[k:])) is not None:
+                    out[a, b] = rank
         return out
 
-    def merge_long(self, word: bytes) -> bytes:
-        """Ids of one long pretoken by a heap of pairs, in n log n."""
-        ids = self.byte_id[np.frombuffer(word, np.uint8)].tolist()
-        n, pairs = len(ids), self.pairs
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(rank, i, ids[i], ids[i + 1]) for i in range(n - 1) if (rank := pairs.get((ids[i], ids[i + 1]))) is not None]
-        heapq.heapify(heap)
-        while heap:
-            rank, i, a, b = heapq.heappop(heap)
-            j = after[i]
-            if ids[i] != a or j >= n or ids[j] != b:
-                continue
-            ids[i], ids[j], after[i] = rank, -1, after[j]
-            if after[i] < n:
-                before[after[i]] = i
-                if (new := pairs.get((rank, ids[after[i]]))) is not None:
-                    heapq.heappush(heap, (new, i, rank, ids[after[i]]))
-            if (p := before[i]) >= 0 and (new := pairs.get((ids[p], rank))) is not None:
-                heapq.heappush(heap, (new, p, ids[p], rank))
-        return np.array([x for x in ids if x >= 0], "<u4").tobytes()
-
-    def learn(self, texts: list[list[str]]) -> None:
-        """Puts the ids of all pretokens of ``texts`` in the cache."""
-        if len(self.cache) > CACHE:
-            self.cache.clear()
-        new = {x for text in texts for x in text if x not in self.cache}
-        by_length: dict[int, list[tuple[str, bytes]]] = {}
-        for token in new:
-            raw = token.encode()
-            if (whole := self.ranks.get(raw)) is not None:
-                self.cache[token] = whole.to_bytes(4, "little")
-            elif len(raw) > LONG:
-                self.cache[token] = self.merge_long(raw)
-            else:
-                by_length.setdefault(len(raw), []).append((token, raw))
-        for words in by_length.values():
-            self.cache.update(zip((x for x, _ in words), self.merge_same_length([x for _, x in words]), strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, as little-endian unsigned 32-bit integers."""
-        split = [pretokens(x) for x in texts]
-        self.learn(split)
-        return [b"".join(map(self.cache.__getitem__, x)) for x in split]
-
-    def decode(self, ids: bytes) -> bytes:
+    def decode(self, ids: np.ndarray) -> bytes:
         """The pieces of the ids, concatenated."""
-        return b"".join(map(self.pieces.__getitem__, np.frombuffer(ids, "<u4").tolist()))
-
-
-_mergers: dict[str, Merger] = {}
-
-
-def merger(rank_file: bytes) -> Merger:
-    """The merger of a rank file, kept by the worker process."""
-    key = hashlib.sha256(rank_file).hexdigest()
-    if key not in _mergers:
-        _mergers.clear()
-        _mergers[key] = Merger(rank_file)
-    return _mergers[key]
+        return gathered(self.bytes, self.ends[ids], self.ends[ids + 1]).tobytes()
+
+
+def gathered(data: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The ranges [low, high) of ``data``, one after the other."""
+    size = high - low
+    ends = np.cumsum(size)
+    return data[np.repeat(low - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+def rank_map(pairs: dict[tuple[int, int], int]) -> list[list[int]]:
+    """The packed pairs in two arrays; each has its place in one of them, found by moving others to their second place."""
+    halves = [[-1] * PLACES, [-1] * PLACES]
+    for (a, b), rank in pairs.items():
+        entry, half = rank << 32 | a << 16 | b, 0
+        for _ in range(500):
+            place = (entry & PAIR) * MULTIPLIERS[half] >> 30 & PLACES - 1
+            entry, halves[half][place] = halves[half][place], entry
+            if entry < 0:
+                break
+            half = 1 - half
+        else:
+            raise ValueError("the pairs don't fit the map")
+    return halves
+
+
+def _literal(values: list, kind: str) -> Column:
+    """A literal array: Spark folds the constant once, when it plans."""
+    return F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")
+
+
+def _let(value: Column, use) -> Column:  # noqa: ANN001
+    """``use`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def merged(words: Column, ranks: Ranks) -> Column:
+    """The ids of each word (a string of one character per byte, at least two) of an array, by folding ranked merges."""
+    one, two = rank_map(ranks.pairs())
+    tables = F.struct(_literal(one, "bigint").alias("one"), _literal(two, "bigint").alias("two"), _literal(ranks.byte_id, "int").alias("byte"))
+
+    def fold(t: Column, word: Column) -> Column:
+        def packed(key: Column) -> Column:
+            at = [F.get(t[name], F.shiftright(key * m, 30).bitwiseAND(F.lit(PLACES - 1)).cast("int")) for name, m in zip(("one", "two"), MULTIPLIERS, strict=True)]
+            hit = [x.bitwiseAND(F.lit(PAIR)) == key for x in at]
+            return F.when(hit[0], at[0]).when(hit[1], at[1]).otherwise(key + F.lit(NONE))
+
+        def merge(pairs: Column, place: Column, rank: Column) -> Column:
+            def beside(pair: Column, i: Column) -> Column:
+                left = packed(pair.bitwiseAND(F.lit(LOW << 16)) + rank)
+                right = packed(F.shiftleft(rank, 16) + pair.bitwiseAND(F.lit(LOW)))
+                return F.when(i == place - 2, left).when(i == place, right).otherwise(pair)
+
+            return F.filter(F.transform(pairs, beside), lambda _, i: i != place - 1)
+
+        def step(pairs: Column, _: Column) -> Column:
+            return _let(F.array_min(pairs), lambda least: F.when(least >= NONE, pairs).otherwise(_let(F.array_position(pairs, least).cast("int"), lambda place: merge(pairs, place, F.shiftright(least, 32)))))
+
+        size = F.length(word)
+        ids = F.transform(F.split(word, ""), lambda c: F.get(t["byte"], F.ascii(c)).cast("bigint"))
+        start = _let(ids, lambda x: F.transform(F.sequence(F.lit(1), size - 1), lambda i: packed(F.shiftleft(F.get(x, i - 1), 16) + F.get(x, i))))
+        finish = lambda pairs: F.concat(F.array(F.shiftright(F.get(pairs, F.lit(0)), 16).bitwiseAND(F.lit(LOW)).cast("int")), F.transform(pairs, lambda p: p.bitwiseAND(F.lit(LOW)).cast("int")))
+        return F.aggregate(F.sequence(F.lit(2), size), start, step, finish)
+
+    return _let(tables, lambda t: F.transform(words, lambda word: fold(t, word)))
+
+
+def merge_long(raw: bytes, byte_id: list[int], pairs: dict[tuple[int, int], int]) -> list[int]:
+    """Ids of one very long pretoken by a heap of pairs, in n log n."""
+    ids = [byte_id[x] for x in raw]
+    n = len(ids)
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    heap = [(rank, i, ids[i], ids[i + 1]) for i in range(n - 1) if (rank := pairs.get((ids[i], ids[i + 1]))) is not None]
+    heapq.heapify(heap)
+    while heap:
+        rank, i, a, b = heapq.heappop(heap)
+        j = after[i]
+        if ids[i] != a or j >= n or ids[j] != b:
+            continue
+        ids[i], ids[j], after[i] = rank, -1, after[j]
+        if after[i] < n:
+            before[after[i]] = i
+            if (new := pairs.get((rank, ids[after[i]]))) is not None:
+                heapq.heappush(heap, (new, i, rank, ids[after[i]]))
+        if (p := before[i]) >= 0 and (new := pairs.get((ids[p], rank))) is not None:
+            heapq.heappush(heap, (new, p, ids[p], rank))
+    return [x for x in ids if x >= 0]
+
+
+class Coder(dict):
+    """Numbers pretokens as they are met: whole pieces by their rank, other words after them."""
+
+    def __init__(self, ranks: Ranks, first: int) -> None:
+        super().__init__()
+        self.ranks, self.first, self.words, self.long = ranks, first, [], {}
+
+    def __missing__(self, token: str) -> int:
+        raw = token.encode()
+        code = self.ranks.ranks.get(raw)
+        if code is None:
+            code = self.first + len(self.words)
+            if len(raw) > LONG:
+                self.long[len(self.words)] = raw
+            self.words.append(raw.decode("latin-1"))
+        self[token] = code
+        return code
+
+
+CHUNK_ROW = "ids array<long>, codes array<binary>, words array<string>, long array<binary>"
 
 
 def bpe_columns(docs: DataFrame, rank_path: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:
@@ -203,20 +209,62 @@ def bpe_columns(docs: DataFrame, rank_path: str, id_col: str = "doc_id", text_co
     The rank file (of fixed size) is read once by the driver and sent to the workers.
     """
     with open(rank_path, "rb") as file:
-        shipped = docs.sparkSession.sparkContext.broadcast(file.read())
+        ranks = Ranks(file.read())
+    shipped = docs.sparkSession.sparkContext.broadcast(ranks)
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, pairs = shipped.value, None
+        ids, codes, size = [], [], 0
+        coder = Coder(model, len(model.ends) - 1)
+
+        def row() -> pa.RecordBatch:
+            nonlocal pairs
+            if coder.long and pairs is None:
+                pairs = model.pairs()
+            long = [np.array([k, *merge_long(raw, model.byte_id, pairs)], "<i4").tobytes() for k, raw in coder.long.items()]
+            words = ["" if k in coder.long else x for k, x in enumerate(coder.words)]
+            columns = [pa.array([ids], pa.list_(pa.int64())), pa.array([codes], pa.list_(pa.binary())), pa.array([words], pa.list_(pa.string())), pa.array([long], pa.list_(pa.binary()))]
+            return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in CHUNK_ROW.split(", ")])
 
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = merger(shipped.value)
         for whole in batches:
-            for part in chunks(whole, "text", 3 * CHUNK):
-                ids = model.encode([x or "" for x in part.column("text").to_pylist()])
-                columns = [part.column("id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in ids]), pa.array([hashlib.sha256(model.decode(x)).hexdigest() for x in ids])]
-                names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"]
-                if keep_ids:
-                    columns.append(pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in ids], pa.list_(pa.int32())))
-                    names.append("token_ids")
-                yield pa.RecordBatch.from_arrays(columns, names)
-
+            for part in chunks(whole, "text"):
+                for key, text in zip(part.column("id").to_pylist(), part.column("text").to_pylist(), strict=True):
+                    ids.append(key)
+                    codes.append(np.fromiter(map(coder.__getitem__, pretokens(text or "")), "<i4").tobytes())
+                    size += len(text or "")
+                if size >= CHUNK_BYTES:
+                    yield row()
+                    ids, codes, size = [], [], 0
+                    coder = Coder(model, len(model.ends) - 1)
+        if ids:
+            yield row()
+
+    def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shipped.value
+        first = len(model.ends) - 1
+        for whole in batches:
+            for k in range(whole.num_rows):
+                ids, codes, lists, long = (whole.column(c)[k].values for c in ("ids", "codes", "merged", "long"))
+                flat, ends = lists.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int64)
+                low, high = np.concatenate([np.arange(first), first + ends[:-1]]), np.concatenate([np.arange(1, first + 1), first + ends[1:]])
+                data = np.concatenate([np.arange(first, dtype=np.int32), flat.astype(np.int32)])
+                for x in long.to_pylist():
+                    got = np.frombuffer(x, "<i4")
+                    low[first + got[0]], high[first + got[0]] = len(data), len(data) + len(got) - 1
+                    data = np.concatenate([data, got[1:]])
+                for lo in range(0, len(ids), 10_000):
+                    rows = []
+                    for raw in codes.slice(lo, 10_000).to_pylist():
+                        own = np.frombuffer(raw, "<i4")
+                        out = gathered(data, low[own], high[own])
+                        rows.append((len(out), hashlib.sha256(out.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(model.decode(out)).hexdigest(), *((out,) if keep_ids else ())))
+                    columns = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32())))]
+                    yield pa.RecordBatch.from_arrays([ids.slice(lo, 10_000), *columns], NAMES)
+
+    NAMES = ["id", "n_tokens", "ids_sha256", "decoded_sha256", *(("token_ids",) if keep_ids else ())]
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    coded = rows.mapInArrow(code, CHUNK_ROW)
+    words = F.when(F.size("words") > 0, merged(F.col("words"), ranks)).otherwise(F.array().cast("array<array<int>>"))
+    folded = coded.select("ids", "codes", words.alias("merged"), "long")
     schema = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>" * keep_ids
-    return rows.mapInArrow(build, schema).withColumnRenamed("id", id_col)
+    return folded.mapInArrow(assemble, schema).withColumnRenamed("id", id_col)
