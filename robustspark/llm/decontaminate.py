@@ -5,13 +5,14 @@ neighbouring words (single words are so common that their bounds would prune lit
 of every document (``PASSAGE`` words, half overlapping) is a query. A passage whose terms' greatest impacts sum to less
 than the threshold has no pivot and is done; the others go through block-max WAND, which returns all entries above the
 threshold. A retrieved item leaks if the words around the passage hold ``VERIFY`` of the 3-grams of its question and of
-its answer (the last quarter of its words). One changed word can cost a part of under ``SHORT`` words more than this, so
-a short part counts by the share of its words that are in order at the place of the item's 3-grams, if ``WHOLE`` of all
-the item's words are.
+its answer (the last quarter of its words). One changed word costs three 3-grams, so where a part falls short it counts by
+the share of its words that are in order at the place of the item's 3-grams, if ``WHOLE`` of all the item's words are.
+An item of one word has no pairs: it leaks where its word occurs.
 
 Items are read in blocks of ``ITEMS``, one index a block, so what is broadcast is bounded by the block. Words are runs of
-letters and digits, without regard to case. Null and empty texts and an empty benchmark give no hits; an item of
-fewer than two words is never found; repeated rows give repeated rows; extra columns are ignored.
+letters and digits, without regard to case. Null and empty texts, items without words and an empty benchmark give no
+hits; null and repeated ids are kept row by row, repeated rows give repeated rows; no rows give no rows; a text is read
+whole, however long; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,12 +25,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from robustspark.llm.common import row_key
+from robustspark.llm.common import fresh, row_key
 from robustspark.llm.textops import ALNUM, chunks, mix, utf8, word_hashes
 
 PASSAGE, ENTRY, BLOCK, ITEMS = 64, 48, 16, 20_000
 RETRIEVE, VERIFY = 0.5, 0.6
-SHORT, WHOLE, DRIFT = 10, 0.8, 2
+WHOLE, DRIFT = 0.7, 8
 K1, B = 1.2, 0.75
 
 
@@ -64,9 +65,12 @@ def aligned(words: np.ndarray, own: np.ndarray, answer: int) -> tuple[float, flo
     if len(words) < 3 or len(own) < 3:
         return best
     at, of = np.nonzero(grams(words)[:, None] == grams(own)[None, :])
-    split = len(own) - answer
-    for start in np.unique(at - of).tolist():
-        cut = [words[max(0, start + a - DRIFT) : max(0, start + b + DRIFT)] for a, b in ((0, len(own)), (0, split), (split, len(own)))]
+    split, drift = len(own) - answer, 2 + len(own) // DRIFT
+    starts, votes = np.unique(at - of, return_counts=True)
+    for start in starts[np.argsort(-votes, kind="stable")].tolist():  # the places that most 3-grams speak for come first
+        if min(best) >= VERIFY:
+            break
+        cut = [words[max(0, start + a - drift) : max(0, start + b + drift)] for a, b in ((0, len(own)), (0, split), (split, len(own)))]
         if common(own, cut[0]) >= WHOLE * len(own):
             best = max(best, (common(own[:split], cut[1]) / split, common(own[split:], cut[2]) / answer), key=min)
     return best
@@ -88,6 +92,11 @@ class Index:
             pieces = max(1, -(-len(own) // ENTRY))
             entries += [(k, pairs(x)) for x in np.array_split(own, pieces) if len(x) > 1]
         self.item_of = [k for k, _ in entries]
+        self.single: dict[int, list[int]] = {}
+        for k, (_, own) in enumerate(self.items):
+            if len(own) == 1:
+                self.single.setdefault(int(own[0]), []).append(k)
+        self.single_words = np.array(sorted(self.single), np.uint64)
         self.longest = max((len(own) for _, own in self.items), default=0)
         mean = max(1.0, sum(len(x) for _, x in entries) / max(1, len(entries)))
         counted = [np.unique(x, return_counts=True) for _, x in entries]
@@ -187,15 +196,18 @@ class Index:
                 words = None
                 for entry, score in found:
                     item = self.item_of[entry]
-                    if words is None and len(self.items[item][1]) < 4 * SHORT:
+                    if words is None:
                         words = h[max(int(at[d]), lo - self.longest) : min(int(at[d + 1]), lo + PASSAGE + self.longest)]
                     shares = [self._share(x, near, words, y) for x, y in zip(self.parts[item], self._sequences(item), strict=True)]
-                    short = [len(x) < SHORT for x in self._sequences(item)]
-                    if any(x < VERIFY and y for x, y in zip(shares, short, strict=True)) and all(x >= VERIFY or y for x, y in zip(shares, short, strict=True)):
-                        found_in_order = aligned(words, self.items[item][1], len(self._sequences(item)[1]))
-                        shares = [max(x, z) if y else x for x, y, z in zip(shares, short, found_in_order, strict=True)]
+                    if min(shares) < VERIFY:
+                        shares = [max(x, y) for x, y in zip(shares, aligned(words, self.items[item][1], len(self._sequences(item)[1])), strict=True)]
                     if min(shares) >= VERIFY and score > best.get((d, item), (0.0,))[0]:
                         best[d, item] = (score, *shares)
+        if len(self.single_words):
+            place = np.minimum(np.searchsorted(self.single_words, h), len(self.single_words) - 1)
+            for k in np.flatnonzero(self.single_words[place] == h).tolist():
+                d = int(np.searchsorted(at, k, side="right")) - 1
+                best.update({(d, item): (1.0, 1.0, 1.0) for item in self.single[int(h[k])]})
         for (d, item), x in sorted(best.items()):
             out[d][2].append((self.items[item][0], *x))
         return [(n, retrieved.get(d, 0), x) for d, (n, _, x) in enumerate(out)]
@@ -266,7 +278,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents in which no item leaks, all columns kept."""
-    key = F.xxhash64(F.col(text_col))  # ids may be null or repeated, and a leak is a matter of the text alone
-    leaks = decontaminate(docs.select(key.alias("key"), F.col(text_col).alias("text")), benchmark, "key").filter("contaminated").select(F.col("key").alias("__leak")).distinct()
-    return docs.join(leaks, key == F.col("__leak"), "left_anti")
+    """The documents in which no item leaks, all columns kept; null and empty texts stay, and so do repeated rows."""
+    key, leak = F.xxhash64(F.col(text_col)), fresh(docs, "leak")  # ids may be null or repeated, and a leak is a matter of the text alone
+    leaks = decontaminate(docs.select(key.alias("key"), F.col(text_col).alias("text")), benchmark, "key").filter("contaminated").select(F.col("key").alias(leak)).distinct()
+    return docs.join(leaks, key == F.col(leak), "left_anti")
