@@ -1,13 +1,15 @@
 """Main text of web pages by a linear-chain conditional random field over leaf blocks.
 
 A page is cut into leaf blocks: the text between block-level tags, with the tags open there. Features are the ancestor
-tags, words of their classes and ids, and the text's length, links, marks and place. The field is trained once per
+tags, words of their classes, ids and roles, whether the nearest named ancestor's name is usual for a text or for what surrounds
+one, and the text's length, links, marks and place. The field is trained once per
 process on labelled pages (``labelled_pages``), by gradient ascent on the exact log likelihood, and decodes a page by
 Viterbi. Kept blocks are joined in page order by an empty line.
 
 Null and empty pages, and pages cut off anywhere, give what there is; character references are decoded; white space in a
-block is one space; script, style, title and the like are never text; repeated rows give repeated rows; extra columns
-are ignored. Pages of any size are read whole.
+block is one space; script, style, title and the like are never text, and neither is a form, unless it holds a main or
+article element; null and repeated ids are kept row by row; no rows give no rows; extra columns are ignored. Pages of any
+size are read whole.
 """
 
 from __future__ import annotations
@@ -37,9 +39,19 @@ CLOSES = {
     "dt": (("dt", "dd", "p"), ("dl",)), "dd": (("dt", "dd", "p"), ("dl",)), "option": (("option",), ("select",)),
 }
 ENDS_P = BLOCK - {"p", "li", "td", "th", "tr", "dd", "dt", "option", "tbody", "thead", "tfoot", "body", "html", "head", "legend", "caption", "summary", "figcaption"}
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?/][^>]*>?|[^<]+|<", re.S)
+#: A quoted attribute value may hold any character.
+TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+)(?:>|\Z)|<[!?/][^>]*>?|[^<]+|<""", re.S)
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 WORD = re.compile(r"[a-z]+|\d+")
+#: Names that begin alike share a feature.
+STEM = 5
+#: How names of classes, ids and roles begin that are commonly given to what surrounds a text, and to texts.
+AROUND = re.compile(
+    "ad$|ads|advert|alert|announce|banner|bottom|breadcrumb|byline|comment|complementary|consent|contentinfo|cookie|copyright|dialog|discuss|disqus|feedback|foot|gdpr|hero$|legal|login|masthead|menu|modal|most|nav|newsletter|"
+    "notice|pagina|popular|popup|privacy|promo|read$|recommend|related|repl|respon|search|share|sharing|sidebar|signup|site$|social|sponsor|subscri|tags$|toolbar|top$|topbar|warning|widget"
+)
+TEXTUAL = re.compile("article|blog|body|content$|entry|main$|page|post|story|text")
+KINDS = frozenset({"near around", "near textual"})
 
 
 @dataclass
@@ -69,7 +81,9 @@ def leaves(page: str) -> list[Leaf]:
             buffer.clear()
             if text:
                 tag = next((t for t, _, _ in reversed(stack) if t in BLOCK), "")
-                out.append(Leaf(text, path[-1], tag, linked, int(any(y for _, _, y in stack))))
+                inner = next((t for t, _, _ in reversed(stack) if t in ("form", "main", "article")), "")
+                if inner != "form":
+                    out.append(Leaf(text, path[-1], tag, linked, int(any(y for _, _, y in stack))))
         linked = 0
 
     def pop(to: int) -> None:
@@ -119,10 +133,11 @@ def leaves(page: str) -> list[Leaf]:
         key = (tag, m[3])
         if key not in known:
             names = {w for v in NAMES.findall(m[3]) for w in WORD.findall(v.lower())}
-            known[key] = frozenset({f"in {tag}"} | {f"name {w}" for w in names}), "data-y" in m[3]
+            kind = {"near around"} if any(AROUND.match(w) for w in names) else {"near textual"} if any(TEXTUAL.match(w) for w in names) else set()
+            known[key] = frozenset(kind | {f"in {tag}"} | {f"name {w}" for w in names} | {f"stem {w[:STEM]}" for w in names}), "data-y" in m[3]
         own, y = known[key]
         stack.append((tag, own, y))
-        path.append(path[-1] | own if tag in BLOCK or len(own) > 1 else path[-1])
+        path.append((path[-1] - KINDS if own & KINDS else path[-1]) | own if tag in BLOCK or len(own) > 1 else path[-1])
         links += tag == "a"
     flush()
     return out
@@ -133,7 +148,9 @@ def observed(blocks: list[Leaf]) -> list[list[str]]:
     out = []
     for k, b in enumerate(blocks):
         size, share = len(b.text), b.linked / max(1, len(b.text))
-        f = [*b.path, f"tag {b.tag}", f"size {min(6, size.bit_length() // 2)}", f"links {0 if share < 0.1 else 1 if share < 0.6 else 2}", f"ends {b.text[-1] if b.text[-1] in '.!?:;' else 'other'}", "bias"]
+        wide, links = f"size {min(6, size.bit_length() // 2)}", f"links {0 if share < 0.1 else 1 if share < 0.6 else 2}"
+        near = next(iter(b.path & KINDS), "near none")
+        f = [*b.path, f"tag {b.tag}", wide, links, f"ends {b.text[-1] if b.text[-1] in '.!?:;' else 'other'}", near, f"{near} {wide}", f"{near} {links}", "bias"]
         f += ["copyright"] if "\xa9" in b.text else []
         f += ["first"] if k == 0 else []
         f += ["last"] if k == len(blocks) - 1 else []
@@ -145,19 +162,23 @@ class Field:
     """A linear-chain field with two labels."""
 
     def __init__(self, pages: list[str], steps: int = 150, shrink: float = 0.01) -> None:
-        rows = [(observed(x), np.array([b.label for b in x])) for x in map(leaves, pages) if x]
+        # half of the pages go without the names themselves, so that what names have in common is learned too
+        drop = lambda b, k: [f for f in b if k % 2 == 0 or not f.startswith(("name ", "stem "))]
+        rows = [([drop(b, k) for b in observed(x)], np.array([b.label for b in x])) for k, x in enumerate(map(leaves, pages)) if x]
         self.index = {f: k for k, f in enumerate(sorted({f for x, _ in rows for b in x for f in b}))}
-        data = [(self._matrix(x), y) for x, y in rows]
+        size = np.array([len(y) for _, y in rows])
+        x, y = self._matrix([b for blocks, _ in rows for b in blocks]), np.eye(2)[np.concatenate([y for _, y in rows])]
+        inner = np.arange(size.max())[None] < size[:, None]
         self.weights, self.moves = np.zeros((len(self.index), 2)), np.zeros((2, 2))
+        gold = np.zeros((*inner.shape, 2))
+        gold[inner] = y
         m = [np.zeros_like(self.weights), np.zeros_like(self.moves)]
         v = [np.zeros_like(self.weights), np.zeros_like(self.moves)]
         for step in range(1, steps + 1):
-            grads = [-shrink * self.weights, -shrink * self.moves]
-            for x, y in data:
-                one, two = self._expected(x @ self.weights)
-                gold = np.eye(2)[y]
-                grads[0] += x.T @ (gold - one)
-                grads[1] += gold[:-1].T @ gold[1:] - two
+            local = np.zeros((*inner.shape, 2))
+            local[inner] = x @ self.weights
+            one, two = self.expected(local, size)
+            grads = [x.T @ (y - one[inner]) - shrink * self.weights, np.einsum("pki,pkj->ij", gold[:, :-1], gold[:, 1:]) - two.sum(0) - shrink * self.moves]
             for k, g in enumerate(grads):
                 m[k], v[k] = 0.9 * m[k] + 0.1 * g, 0.99 * v[k] + 0.01 * g * g
                 move = 0.05 * m[k] / (1 - 0.9**step) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)
@@ -173,20 +194,22 @@ class Field:
             x[k, [self.index[f] for f in b if f in self.index]] = 1
         return x
 
-    def _expected(self, local: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Expected labels and expected moves, by forward and backward sums."""
-        n = len(local)
-        ahead, back = np.zeros((n, 2)), np.zeros((n, 2))
-        ahead[0] = local[0]
+    def expected(self, local: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Per page (of ``size`` blocks with ``local`` scores) the expected labels and moves, by forward and backward sums."""
+        pages, n, _ = local.shape
+        ahead, back, two = np.zeros_like(local), np.zeros_like(local), np.zeros((pages, 2, 2))
+        ahead[:, 0] = local[:, 0]
         for k in range(1, n):
-            ahead[k] = local[k] + np.logaddexp(*(ahead[k - 1, i] + self.moves[i] for i in (0, 1)))
+            ahead[:, k] = local[:, k] + np.logaddexp(ahead[:, k - 1, :1] + self.moves[0], ahead[:, k - 1, 1:] + self.moves[1])
         for k in range(n - 2, -1, -1):
-            back[k] = np.logaddexp(*(self.moves[:, j] + local[k + 1, j] + back[k + 1, j] for j in (0, 1)))
-        total = np.logaddexp(*ahead[-1])
-        two = np.zeros((2, 2))
+            after = local[:, k + 1] + back[:, k + 1]
+            own = np.logaddexp(self.moves[:, 0] + after[:, :1], self.moves[:, 1] + after[:, 1:])
+            back[:, k] = np.where((k + 1 < size)[:, None], own, 0.0)
+        total = np.logaddexp(*ahead[np.arange(pages), size - 1].T)
         for k in range(n - 1):
-            two += np.exp(ahead[k][:, None] + self.moves + (local[k + 1] + back[k + 1])[None] - total)
-        return np.exp(ahead + back - total), two
+            move = np.exp(ahead[:, k, :, None] + self.moves + (local[:, k + 1] + back[:, k + 1])[:, None] - total[:, None, None])
+            two += np.where((k + 1 < size)[:, None, None], move, 0.0)
+        return np.exp(ahead + back - total[:, None, None]), two
 
     def decode(self, blocks: list[Leaf]) -> list[int]:
         """The best labels by Viterbi."""
