@@ -10,14 +10,19 @@ the shingle domain is partitioned by hash:
   n1 - k or more projections, and so share one of the first k + 1 in any common order of projections. The order takes
   the projections with the most shingles first, which are the most selective.
 
+A projection that holds none of a set's shingles says nothing, and its signature would be shared by unrelated sets. So it
+is left out, and a set that leaves one out signs its first shingles by hash in its place: two sets that agree on an empty
+projection both do, and of two similar sets one of the first n - ceil(0.8 n) + 1 shingles of each is the same.
+
 Sets that are equal become one class first, and each task signs a class once. Classes that share a signature are tried
 against the least and the greatest class of that signature (not all pairs); connected components follow. Only where other
 members of a signature are then still in different components are pairs of these tried. Every pair has to pass an exact
 bound first: hashing the shingles to ``PARITY`` slots, the slots whose counts differ in parity are at most the shingles
 that differ. So no link between components is lost, and few pairs fetch their sets.
 
-Null or empty texts, and texts of spaces, have no shingles and stand alone; repeated rows give repeated rows; extra
-columns are ignored. Identities are 64-bit hashes.
+Null or empty texts, and texts of spaces, have no shingles and stand alone; repeated rows give repeated rows; null ids are
+kept row by row and come last; no rows give no rows; a text is read whole, however long; extra columns are ignored by the
+report and kept by the filter. Identities are 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -92,12 +97,15 @@ def signatures(items: np.ndarray) -> np.ndarray:
         sums[part[first]] = np.add.reduceat(mix(spread[order] + salt), first)
         count[part[first]] = np.diff(np.append(first, size))
         if matrix is not None:
-            sums = matrix @ sums
+            sums, count = matrix @ sums, matrix.astype(np.int64) @ count
         tokens = mix(mix(sums + salt) + np.arange(len(sums), dtype=np.uint64))
         if matrix is None:
             top = min(partner, int(STARTS[band + 1]) - 1)
-            tokens = tokens[np.lexsort((tokens, -count))[: (size + top) // 9 + 1]]
-        out.append(tokens)
+            order = np.lexsort((tokens, -count))[: (size + top) // 9 + 1]
+            tokens, count = tokens[order], count[order]
+        out.append(tokens[count > 0])
+        if not count.all():
+            out.append(mix(np.sort(spread)[: size - -(-PERCENT * size // 100) + 1] + salt))
     return np.unique(np.concatenate(out))
 
 
