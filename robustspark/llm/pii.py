@@ -7,7 +7,8 @@ characters starts or where the last match ended, so every scan is linear in the
 
 Base kinds (email, ip, card, phone) are always kept; further kinds (iban, ssn, secret) are kept when their score reaches
 ``THRESHOLD``. Kinds are found independently and may overlap. Null texts are empty and have no spans; positions are code
-points, ends are exclusive; repeated rows give repeated rows; extra columns are ignored.
+points, ends are exclusive; null and repeated ids are kept row by row; no rows give no rows; extra columns are ignored by
+the report and kept by the redaction, whatever their names.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from robustspark.llm.common import fresh
+
 #: Kinds in the order in which spans with one start are listed.
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "secret")
 BASE = KINDS[:4]
@@ -118,10 +121,11 @@ def _placed(kind: str, text: Column, matches: Column) -> Column:
 def with_spans(docs: DataFrame, text_col: str = "text", out: str = "pii_spans") -> DataFrame:
     """``docs`` with one more column: the spans of each text by start, then kind."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    staged = docs.withColumns({f"__{kind}": _proposed(kind, text) for kind in KINDS})
-    staged = staged.withColumns({f"__{kind}": _placed(kind, text, F.col(f"__{kind}")) for kind in KINDS})
-    spans = F.array_sort(F.flatten(F.array(*(F.col(f"__{kind}") for kind in KINDS))))
-    return staged.withColumn(out, spans).drop(*(f"__{kind}" for kind in KINDS))
+    own = {kind: fresh(docs, f"spans_{kind}") for kind in KINDS}
+    staged = docs.withColumns({own[kind]: _proposed(kind, text) for kind in KINDS})
+    staged = staged.withColumns({own[kind]: _placed(kind, text, F.col(own[kind])) for kind in KINDS})
+    spans = F.array_sort(F.flatten(F.array(*map(F.col, own.values()))))
+    return staged.withColumn(out, spans).drop(*own.values())
 
 
 def joined(spans: Column) -> Column:
@@ -145,15 +149,16 @@ def redacted(docs: DataFrame, text_col: str = "text", count_col: str | None = "n
     text = F.col(text_col)
 
     def write(state: Column, s: Column) -> Column:
-        fresh = s["start"] >= state["at"]
+        apart = s["start"] >= state["at"]
         parts = F.concat(state["parts"], F.array(F.substring(text, state["at"] + 1, s["start"] - state["at"]), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))))
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.when(fresh, parts).otherwise(state["parts"]).alias("parts"))
+        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.when(apart, parts).otherwise(state["parts"]).alias("parts"))
 
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
     finish = lambda state: F.concat(F.array_join(state["parts"], ""), F.substring(text, state["at"] + 1, F.length(text)))
-    out = with_spans(docs, text_col, "__spans")
-    out = out.withColumn("__new", F.when(F.size("__spans") > 0, F.aggregate("__spans", start, write, finish)).otherwise(text))
-    changed = {text_col: F.col("__new")}
+    spans, new = fresh(docs, "spans"), fresh(docs, "redacted")
+    out = with_spans(docs, text_col, spans)
+    out = out.withColumn(new, F.when(F.size(spans) > 0, F.aggregate(spans, start, write, finish)).otherwise(text))
+    changed = {text_col: F.col(new)}
     if count_col in docs.columns:
-        changed[count_col] = F.when(F.size("__spans") > 0, F.length("__new").cast(docs.schema[count_col].dataType)).otherwise(F.col(count_col))
+        changed[count_col] = F.when(F.size(spans) > 0, F.length(new).cast(docs.schema[count_col].dataType)).otherwise(F.col(count_col))
     return out.withColumns(changed).select(*docs.columns)

@@ -8,7 +8,8 @@ their words. A numpy network is fitted on at most ``SAMPLE`` labelled documents,
 held out; a temperature fitted on a fifth of them calibrates its probabilities.
 
 Null and empty texts, and texts of spaces, pool to zeros and are scored like any other; with no labels of both kinds the
-score is the share of label 1 (0.5 without labels). Repeated rows give repeated rows; extra columns are ignored.
+score is the share of label 1 (0.5 without labels). Null and repeated ids are kept row by row, a null id is not held out;
+repeated rows give repeated rows; no rows give no rows; a text is pooled whole, however long; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from robustspark.llm.common import fresh
 from robustspark.llm.textops import LOWER, chunks, mix, prefix_hashes, range_hashes, utf8, words
 
 LETTERS, SHAPES, WIDTH, NONZERO = 4096, 1024, 32, 4
@@ -184,24 +186,36 @@ def train(docs: DataFrame, labels: DataFrame, table) -> Network:  # noqa: ANN001
     return fit(np.array([x[k] for k in keys]).reshape(len(keys), 2 * WIDTH + 3), np.array([float(y[k] >= 1) for k in keys]), inner)
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
-    """One row per document: id, held_out, score, predicted."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    context = docs.sparkSession.sparkContext
+def _scored(rows: DataFrame, labels: DataFrame, key: bool = False) -> DataFrame:
+    """The score of each of ``rows (id, text)`` beside its id, or beside a hash of its text."""
+    context = rows.sparkSession.sparkContext
     table = context.broadcast(word_vectors(rows))
-    net = context.broadcast(train(rows, labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")), table))
+    net = context.broadcast(train(rows, labels, table))
+    name = "key" if key else "id"
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for part in chunks(whole, "text"):
                 got = net.value.score(pooled(table.value, *utf8(part.column("text"))))
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(got)], ["id", "score"])
+                yield pa.RecordBatch.from_arrays([part.column(name), pa.array(got)], [name, "score"])
+
+    return rows.select(*([F.xxhash64("text").alias("key")] if key else ["id"]), "text").mapInArrow(score, f"{name} long, score double")
 
-    out = rows.mapInArrow(score, "id long, score double")
+
+def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
+    """One row per document: id, held_out, score, predicted."""
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    out = _scored(rows, labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")))
     return out.select(F.col("id").alias(id_col), F.coalesce(fold(F.col("id")) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= PASS_SCORE).cast("int").alias("predicted"))
 
 
 def keep_accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that the classifier accepts, all columns kept."""
-    rejected = quality_scores(docs, labels, id_col, text_col).filter("predicted = 0").select(F.col(id_col).alias("__rejected")).distinct()
-    return docs.join(rejected, docs[id_col].cast("long") == F.col("__rejected"), "left_anti")
+    """The documents that the classifier accepts, all columns kept.
+
+    Scores depend on the text alone, so rows that repeat an id are judged each by its text, and so are rows without an id.
+    """
+    key, rejected = F.xxhash64(F.col(text_col)), fresh(docs, "rejected")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    scored = _scored(texts, labels.select(F.col(id_col).cast("long").alias("id"), F.col("quality").cast("int").alias("y")), key=True)
+    gone = scored.filter(F.col("score") < PASS_SCORE).select(F.col("key").alias(rejected)).distinct()
+    return docs.join(gone, key == F.col(rejected), "left_anti")
