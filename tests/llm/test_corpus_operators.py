@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -103,6 +104,26 @@ def test_op3_signatures_lose_no_link():
                 assert 9 * apart <= len(base) + len(other)
 
 
+def test_op3_unrelated_sets_share_no_signature():
+    rng = np.random.default_rng(2)
+    for size in range(4, 61, 4):
+        counts = collections.Counter()
+        for _ in range(1000):
+            counts.update(jaccard.signatures(np.unique(rng.integers(0, 2**63, size, dtype=np.uint64))).tolist())
+        assert max(counts.values()) == 1
+
+
+def test_op3_small_sets_lose_no_link():
+    rng = np.random.default_rng(5)
+    for _ in range(3000):
+        base = rng.integers(0, 2**63, int(rng.integers(4, 60)), dtype=np.uint64)
+        gone, new = int(rng.integers(0, 1 + len(base) // 8)), int(rng.integers(0, 1 + len(base) // 5))
+        one, two = np.unique(base), np.unique(np.concatenate([base[gone:], rng.integers(0, 2**63, new, dtype=np.uint64)]))
+        both = len(np.intersect1d(one, two))
+        if len(two) > 3 and 100 * both >= 80 * (len(one) + len(two) - both) and not np.array_equal(one, two):
+            assert len(np.intersect1d(jaccard.signatures(one), jaccard.signatures(two)))
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 3), (9, 8), (8, 7), (2, 1)], "a long, b long")
     assert sorted(map(tuple, graph.connected_components(edges).collect())) == [(1, 1), (2, 1), (3, 1), (7, 7), (8, 7), (9, 7)]
@@ -171,9 +192,28 @@ def test_op8_chunk_dedup(docs, rows):
                     runs[-1][1] = b
                 else:
                     runs.append([a, b])
-        runs = [r for r in runs if r[1] - r[0] >= min(chunking.RUN, len((t or "").encode()))]
-        want[i] = (sum(b - a for a, b in runs), ",".join(f"{a}:{b}" for a, b in runs))
-    assert {r["doc_id"]: (r["n_removed"], r["removed_spans"]) for r in chunking.chunk_dedup(docs).collect()} == want
+        raw = (t or "").encode()
+        for least in (chunking.RUN, 0):
+            kept_runs = [r for r in runs if r[1] - r[0] >= min(least, len(raw))]
+            kept = b"".join(raw[a:b] for a, b in zip([0, *(b for _, b in kept_runs)], [*(a for a, _ in kept_runs), len(raw)]))
+            origins = sorted({first[x][0] for a, b, x in chunks[i] if first[x] != (i, a) and any(lo <= a and b <= hi for lo, hi in kept_runs)})
+            want[i, least] = (sum(b - a for a, b in kept_runs), ",".join(f"{a}:{b}" for a, b in kept_runs), origins, hashlib.sha256(kept).hexdigest())
+    for least in (chunking.RUN, 0):
+        got = {(r["doc_id"], least): (r["n_removed"], r["removed_spans"], r["origin_ids"], r["kept_sha256"]) for r in chunking.chunk_dedup(docs, least_run=least).collect()}
+        assert got == {k: v for k, v in want.items() if k[1] == least}
+
+
+def test_op8_cuts_by_the_rolling_rule():
+    rng = np.random.default_rng(8)
+    for raw in (rng.integers(97, 101, 5000, dtype=np.uint8).tobytes(), b"a" * 3000, rng.integers(0, 256, 31, dtype=np.uint8).tobytes(), b""):
+        want, begin, h = [], 0, 0
+        for k, x in enumerate(raw):
+            h = (2 * h + int(chunking.GEAR[x])) % 2**32
+            size = k + 1 - begin
+            if (size >= chunking.LEAST and not h & 0xF800) or size == chunking.MOST:
+                want.append(raw[begin : k + 1])
+                begin = k + 1
+        assert chunking.text_chunks(raw) == [*want, *([raw[begin:]] if begin < len(raw) else [])]
 
 
 def test_op8_finds_passages_of_51_words(spark):
@@ -337,6 +377,28 @@ def test_op4_decontamination(spark, rows):
     assert decontaminate.decontaminate(df, bench.limit(0)).filter("contaminated").count() == 0
 
 
+def test_op4_edited_copies():
+    rng = random.Random(21)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(3, 9))) for _ in range(3000)]
+    make = lambda n: [rng.choice(words) for _ in range(n)]
+    items = [make(rng.randrange(15, 60)) for _ in range(200)]
+    index = decontaminate.Index([(k, " ".join(x)) for k, x in enumerate(items)])
+    find = lambda texts: [[i for i, *_ in x] for _, _, x in index.hits(*textops.word_hashes(*textops.utf8(pa.array(texts)), textops.ALNUM))]
+    for share, least in ((0.0, 1.0), (0.05, 0.98), (0.1, 0.95)):
+        edited = [" ".join([*make(70), *(rng.choice(words) if rng.random() < share else x for x in own), *make(90)]) for own in items]
+        assert sum(k in x for k, x in enumerate(find(edited))) >= least * len(items)
+    clean = [" ".join(make(160)) for _ in range(300)] + [" ".join([*make(40), *own[: len(own) // 2], *make(60)]) for own in items]
+    assert sum(map(bool, find(clean))) <= 0.01 * len(clean)
+
+
+def test_op4_items_of_one_word(spark):
+    bench = spark.createDataFrame([(1, "Solitary"), (2, "..."), (3, "")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "a solitary word"), (2, "solitarys"), (3, None), (4, "solitary, solitary")], "doc_id long, text string")
+    got = {r["doc_id"]: r["item_ids"] for r in decontaminate.decontaminate(docs, bench).collect()}
+    assert got == {1: [1], 2: [], 3: [], 4: [1]}
+    assert sorted(r["doc_id"] for r in decontaminate.without_leaks(docs, bench).collect()) == [2, 3]
+
+
 def test_op4_accented_items_in_other_case(spark):
     items = [(k, " ".join(f"é{a}à{b}ñ ΟΔΌΣ{k} straße" for a, b in zip("abcdefgh", "hgfedcba"))) for k in range(3)]
     texts = [f"Before {t.upper()} after" for _, t in items] + [f"Before {t.lower()} after" for _, t in items]
@@ -387,11 +449,54 @@ def test_op4_blocks_of_items(spark, rows, monkeypatch):
     assert [(r["doc_id"], r["item_ids"], r["contaminated"]) for r in one] == [(r["doc_id"], r["item_ids"], r["contaminated"]) for r in two]
 
 
-def test_op6_labelled_pages_and_broken_html(spark):
+def tagged(field, pages):
+    """Precision and recall over the blocks of labelled pages."""
+    found = [(g, b.label) for p in pages for x in [html.leaves(p)] for b, g in zip(x, field.decode(x), strict=True)]
+    both = sum(g and y for g, y in found)
+    return both / sum(g for g, _ in found), both / sum(y for _, y in found)
+
+
+def test_op6_layouts_not_trained_on():
+    assert min(tagged(html.Field(labelled_pages.pages(part="training")), labelled_pages.pages(150, 5, "held out"))) > 0.95
+    assert min(tagged(html.trained(), labelled_pages.pages(150, 9))) > 0.95 and len(set(labelled_pages.layouts(150, 9))) > 120
+
+
+def test_op6_sums_and_viterbi_against_enumeration():
     field = html.trained()
-    for page in labelled_pages.pages(1):
-        blocks = html.leaves(page)
-        assert field.decode(blocks) == [b.label for b in blocks]
+    for page in labelled_pages.pages(12, 3):
+        blocks = html.leaves(page)[:9]
+        n = len(blocks)
+        local = np.array([[sum(field.by_name.get(f, (0.0, 0.0))[y] for f in x) for y in (0, 1)] for x in html.observed(blocks)])
+        ways = list(itertools.product((0, 1), repeat=n))
+        logs = np.array([sum(local[k, y] for k, y in enumerate(w)) + sum(field.moves[a, b] for a, b in zip(w, w[1:])) for w in ways])
+        assert tuple(field.decode(blocks)) == ways[int(logs.argmax())]
+        share = np.exp(logs - np.logaddexp.reduce(logs))
+        padded = np.zeros((2, n + 3, 2))
+        padded[0, :n] = padded[1, :n] = local
+        one, two = field.expected(padded, np.array([n, 1]))
+        assert np.allclose(one[0, :n, 1], [sum(p for p, w in zip(share, ways) if w[k]) for k in range(n)])
+        assert np.allclose(two[0], [[sum(p * sum((a, b) == (i, j) for a, b in zip(w, w[1:])) for p, w in zip(share, ways)) for j in (0, 1)] for i in (0, 1)])
+        assert np.allclose(two[1], 0)
+
+
+def test_op6_what_is_no_text():
+    field, say = html.trained(), "one two three four five six seven eight nine ten."
+    article = f"<h1>A title of some words</h1><p title='a > b' data-x=\"<p>\">{say}</p>"
+    around = [
+        '<form><p>@</p></form>', '<ol class="commentlist"><li><div class="comment-body"><p>@</p></div></li></ol>', '<div id="responses"><p>@</p></div>', '<div class="consent-banner"><p>@</p></div>',
+        '<div class="sponsored"><p>@</p></div>', '<div class="promo-box"><p>@</p></div>', '<div role="navigation"><a href="/">Home</a> <a href="/b">News</a></div>',
+    ]
+    for x in around:
+        page = f"<html><body><article>{article}</article>{x.replace('@', say)}</body></html>"
+        assert html.main_text(page, field)[0] == f"A title of some words\n\n{say}", x
+    inside = f"<html><body><article>{article}<form><p>{say}</p></form><p>{say}</p></article></body></html>"
+    assert html.main_text(inside, field)[0] == f"A title of some words\n\n{say}\n\n{say}"
+    bare = f'<html><body><div class="c"><div><h1>A title of some words</h1></div><div>{say} {say}</div><div>{say} {say}</div></div></body></html>'
+    assert html.main_text(bare, field)[0] == f"A title of some words\n\n{say} {say}\n\n{say} {say}"
+    assert html.main_text(f"<html><body><form><main><article>{article}</article></main></form></body></html>", field)[0].endswith(say)
+
+
+def test_op6_broken_html(spark):
     page = "<html><head><title>T</title><script>var a='</p>';</script></head><body><nav><ul><li><a href=/>x</a></li></ul></nav><article><h1>A &amp; B</h1><p>one\n two&nbsp;<b>three</b>.<p>four five six seven.<br></p>"
     broken = [page, page[:-9], "", None, "<", "<p", "plain words only here, nothing else to see.", "<article><p>x &lt;y&gt; z</p></article><footer>&copy; me</footer>"]
     got = html.extract_pages(spark.createDataFrame(list(enumerate(broken)), "page_id long, html string").withColumn("url", F.lit("u")).withColumn("text", F.lit("clash"))).orderBy("page_id").collect()
@@ -435,6 +540,40 @@ def test_null_and_repeated_ids(spark):
     assert sorted((r["doc_id"] or 0) for r in left.collect()) == [0, 0, 0, 0, 3, 4, 4, 5]
 
 
+def test_names_that_operators_might_use_themselves(spark):
+    names = ["spans_email", "spans", "redacted", "rejected", "leak", "__email", "__spans", "__new", "pii_spans", "key", "y", "__kept", "__key", "score"]
+    df = spark.createDataFrame([(1, "write to a@b.co now", *names), (1, None, *names), (None, "x", *names)], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int").withColumn("id", F.lit("x"))
+    bench = spark.createDataFrame([(1, "never in any of the texts")], "item_id long, text string").withColumn("key", F.lit("x"))
+    for out in (pii.redacted(df), quality.keep_accepted(df, labels), decontaminate.without_leaks(df, bench), jaccard.keep_one_of_each_component(df)):
+        assert out.columns == df.columns and out.count() == 3
+    assert {r["text"] for r in pii.redacted(df).collect()} == {"write to [EMAIL] now", None, "x"}
+    assert chunking.chunk_dedup(df).count() == lm.lm_scores(df, public_tokenizers.path("piece_bpe_32k.model")).count() == suffix.suffix_dedup(df).count() == 3
+
+
+def test_texts_of_megabytes(spark):
+    rng = random.Random(31)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(3, 9))) for _ in range(4000)]
+    long = " ".join(rng.choice(words) for _ in range(420_000))
+    raw = long.encode()
+    assert len(raw) > textops.CHUNK
+    df = spark.createDataFrame([(1, long), (2, "short"), (3, long), (4, None)], "doc_id long, text string")
+    by_id = lambda out: {r["doc_id"]: r for r in out.collect()}
+    path = public_tokenizers.path
+    assert by_id(bpe.bpe_columns(df, path("byte_bpe_50k.tiktoken"), keep_ids=False))[1]["decoded_sha256"] == hashlib.sha256(raw).hexdigest()
+    assert by_id(jaccard.jaccard_components(df))[3]["component_id"] == 1
+    assert by_id(suffix.suffix_dedup(df))[3]["n_removed"] == by_id(chunking.chunk_dedup(df))[3]["n_removed"] == len(raw)
+    assert by_id(lm.lm_scores(df, path("piece_bpe_32k.model")))[1]["n_tokens"] == 420_001
+    assert by_id(media.media_columns(df, keep_media=False))[1]["n_bytes"] == len(raw)
+    assert by_id(pii.pii_report(df))[1]["spans"] == ""
+    item = spark.createDataFrame([(9, " ".join(long.split(" ")[300_000:300_030]))], "item_id long, text string")
+    assert by_id(decontaminate.decontaminate(df, item))[1]["item_ids"] == [9]
+    labels = spark.createDataFrame([(2, 1)], "doc_id long, quality int")
+    assert 0 <= by_id(quality.quality_scores(df, labels))[1]["score"] <= 1
+    page = spark.createDataFrame([(1, "u", f"<html><body><article><h1>A title of words</h1><p>{long}.</p></article></body></html>")], "page_id long, url string, html string")
+    assert html.extract_pages(page).first()["text"] == f"A title of words\n\n{long}."
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], SCHEMA)
     path = public_tokenizers.path
@@ -443,6 +582,7 @@ def test_empty_tables(spark):
         quality.quality_scores(none, labels), pii.pii_report(none), jaccard.jaccard_components(none), decontaminate.decontaminate(none, bench), media.media_columns(none), suffix.suffix_dedup(none),
         chunking.chunk_dedup(none), lm.lm_scores(none, path("piece_bpe_32k.model")), bpe.bpe_columns(none, path("byte_bpe_50k.tiktoken")),
         html.extract_pages(spark.createDataFrame([], "page_id long, url string, html string")),
+        pii.redacted(none), quality.keep_accepted(none, labels), decontaminate.without_leaks(none, bench), jaccard.keep_one_of_each_component(none),
     ):
         assert df.count() == 0
 
