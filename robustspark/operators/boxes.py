@@ -1,8 +1,14 @@
-"""Boxes that hold a label (the patient rule induction method): every step is one or two global aggregates over columns."""
+"""Boxes that hold a label (the patient rule induction method): every step is one or two global aggregates over columns.
+
+A box keeps, by column and in the order in which columns were first restricted, a pair of strict limits; a pair of equal
+limits is the one value of a binary column that is left. Nothing but one row per candidate comes to the driver.
+"""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,9 +17,12 @@ Box = dict[str, tuple[float | None, float | None]]
 
 
 def inside(box: Box) -> Column:
-    """The box as a predicate; limits are strict."""
+    """The box as a predicate."""
     out = F.lit(True)
     for name, (low, high) in box.items():
+        if low is not None and low == high:
+            out = out & (F.col(name) == low)
+            continue
         out = out & (F.col(name) > low) if low is not None else out
         out = out & (F.col(name) < high) if high is not None else out
     return out
@@ -26,41 +35,144 @@ def box_stats(rows: DataFrame, box: Box, label: str) -> DataFrame:
     return out.select("n", "inside", "hits", (F.col("hits") / F.col("all")).alias("coverage"), (F.col("hits") / F.col("inside")).alias("density"))
 
 
-def peel_candidates(rows: DataFrame, columns: Sequence[str], label: str, alpha: float, discrete: bool = False) -> DataFrame:
-    """Per column and side: the order statistic that a peel would cut at, and the count and mean of what it keeps."""
-    order = ", ".join(f"percentile_{'disc' if discrete else 'cont'}({q}) within group (order by {c}) as {c}_{s}" for c in columns for s, q in (("low", alpha), ("high", 1 - alpha)))
-    limits = rows.selectExpr(*dict.fromkeys([*columns, label])).agg(*(F.expr(x.strip()) for x in order.split(", percentile") [:1]), *(F.expr("percentile" + x) for x in order.split(", percentile")[1:]))
-    wide = rows.crossJoin(F.broadcast(limits))  # one row of limits
+def order_statistic(n: int, share: float, up: bool) -> float:
+    """The fraction at which ``percentile_disc`` returns the value of place (n - 1) * share, rounded down or up."""
+    place = (n - 1) * share
+    return ((math.ceil(place - 1e-9) if up else math.floor(place + 1e-9)) + 0.5) / n
+
+
+def peel_candidates(rows: DataFrame, columns: Sequence[str], label: str, alpha: float, n: int, binary: Sequence[str] = ()) -> DataFrame:
+    """Per column and side of ``n`` rows: where a peel would cut, and the count and mean of what it keeps.
+
+    A column is cut at its order statistics; a binary column loses one of its two values (side ``drop``).
+    """
+    if not n:
+        return rows.sparkSession.createDataFrame([], "name string, side string, limit_value double, kept long, mean double")
+    cut = lambda c, q: F.expr(f"percentile_disc({q!r}d) within group (order by `{c}`)")
+    shares = {"low": order_statistic(n, alpha, False), "high": order_statistic(n, 1 - alpha, True)}
+    limits = []
+    for c in columns:
+        limits += [F.min(c).alias(f"{c}_low"), F.max(c).alias(f"{c}_high")] if c in binary else [cut(c, q).alias(f"{c}_{side}") for side, q in shares.items()]
+    wide = rows.select(*dict.fromkeys([*columns, label])).crossJoin(F.broadcast(rows.agg(*limits)))  # one row of limits
     kept = []
     for c in columns:
-        for s in ("low", "high"):
-            keep = F.col(c) > F.col(f"{c}_{s}") if s == "low" else F.col(c) < F.col(f"{c}_{s}")
-            kept.append(F.struct(F.lit(c).alias("name"), F.lit(s).alias("side"), F.first(f"{c}_{s}").alias("limit_value"), F.count_if(keep).alias("kept"), F.avg(F.when(keep, F.col(label))).alias("mean")))
+        for side in shares:
+            limit = F.col(f"{c}_{side}")
+            keep = F.col(c) != limit if c in binary else F.col(c) > limit if side == "low" else F.col(c) < limit
+            kept.append(F.struct(F.lit(c).alias("name"), F.lit("drop" if c in binary else side).alias("side"), F.first(limit).cast("double").alias("limit_value"), F.count_if(keep).alias("kept"), F.avg(F.when(keep, F.col(label))).alias("mean")))
     return wide.agg(F.array(*kept).alias("all")).select(F.inline("all"))
 
 
-def prim(rows: DataFrame, columns: Sequence[str], label: str, alpha: float = 0.05, least_support: float = 0.05) -> list[dict]:
-    """The trajectory of peels: each takes the largest gain in mean per removed row; one row per candidate is collected."""
+@dataclass(frozen=True)
+class Found:
+    """A box with the share of rows it holds, of the label's total it covers, and the label's mean in it."""
+
+    box: Box
+    kept: int
+    support: float
+    coverage: float
+    density: float
+
+
+def measured(rows: DataFrame, box: Box, label: str, n: int, hits: float) -> Found:
+    """A box's figures, as shares of ``n`` rows and of ``hits``."""
+    r = rows.filter(inside(box)).agg(F.count("*").alias("kept"), F.sum(label).alias("hits")).first()
+    return Found(box, r["kept"], r["kept"] / n if n else 0.0, (r["hits"] or 0) / hits if hits else 0.0, (r["hits"] or 0) / r["kept"] if r["kept"] else 0.0)
+
+
+def prim(rows: DataFrame, columns: Sequence[str], label: str, alpha: float = 0.05, least_support: float = 0.05, binary: Sequence[str] = (), n: int | None = None, hits: float | None = None) -> list[dict]:
+    """The trajectory of peels: each takes the largest gain in mean per removed row, then the most rows kept, then the first column.
+
+    ``n`` and ``hits`` are the totals that support and coverage refer to, if not those of ``rows``. Some 60 peels end it.
+    """
     total = rows.agg(F.count("*").alias("n"), F.avg(label).alias("mean"), F.sum(label).alias("hits")).first()
+    n, hits = (total["n"] if n is None else n), (total["hits"] or 0.0 if hits is None else hits)
     box: Box = {}
     now, out = (total["n"], total["mean"] or 0.0), []
-    while True:  # the least support ends it after some 60 peels
+    while True:
         best = None
-        for r in peel_candidates(rows.filter(inside(box)), columns, label, alpha, discrete=True).collect():
-            if r["mean"] is None or r["kept"] == now[0] or r["kept"] < least_support * total["n"]:
+        for r in peel_candidates(rows.filter(inside(box)), columns, label, alpha, now[0], binary).collect():
+            if r["mean"] is None or not 0 < r["kept"] < now[0] or (r["side"] != "drop" and r["kept"] < math.ceil(least_support * n)):
                 continue
-            key = ((r["mean"] - now[1]) / (now[0] - r["kept"]), r["kept"], -list(columns).index(r["name"]))
-            best = max(best, (key, r), key=lambda x: x[0]) if best else (key, r)
+            key = ((r["mean"] - now[1]) / (now[0] - r["kept"]), r["kept"])
+            if best is None or key > best[0]:
+                best = (key, r)
         if best is None or best[0][0] <= 0:
             break
         r = best[1]
         low, high = box.get(r["name"], (None, None))
-        box = {**box, r["name"]: (r["limit_value"], high) if r["side"] == "low" else (low, r["limit_value"])}
+        if r["side"] == "drop":
+            left = rows.filter(inside(box) & (F.col(r["name"]) != r["limit_value"])).agg(F.min(r["name"])).first()[0]
+            low = high = float(left)
+        elif r["side"] == "low":
+            low = r["limit_value"]
+        else:
+            high = r["limit_value"]
+        box = {**box, r["name"]: (low, high)}
         now = (r["kept"], r["mean"])
-        out.append({"step": len(out) + 1, "name": r["name"], "side": r["side"], "limit_value": float(r["limit_value"]), "kept": r["kept"], "density": r["mean"], "coverage": r["kept"] * r["mean"] / total["hits"]})
+        out.append({"step": len(out) + 1, "name": r["name"], "side": r["side"], "limit_value": float(r["limit_value"]), "kept": r["kept"], "density": r["mean"], "coverage": r["kept"] * r["mean"] / hits if hits else 0.0, "box": box, "support": r["kept"] / n})
     return out
 
 
+def pick_box(trajectory: list[dict], most_columns: int = 3) -> Found | None:
+    """The densest box of a trajectory with at most ``most_columns`` restricted columns, then the one of most coverage."""
+    fit = [x for x in trajectory if len(x["box"]) <= most_columns]
+    best = max(fit, key=lambda x: (x["density"], x["coverage"]), default=None)
+    return best and Found(best["box"], best["kept"], best["support"], best["coverage"], best["density"])
+
+
+def prune_box(rows: DataFrame, found: Found, label: str, n: int, hits: float, tolerance: float = 0.01) -> Found:
+    """Drops restrictions, last first, while the density stays within ``tolerance`` of the box given; one stays."""
+    now = found
+    for name in reversed(list(found.box)):
+        if len(now.box) == 1:
+            break
+        trial = measured(rows, {k: v for k, v in now.box.items() if k != name}, label, n, hits)
+        if trial.density >= found.density - tolerance:
+            now = trial
+    return now
+
+
+def find_boxes(rows: DataFrame, columns: Sequence[str], label: str, binary: Sequence[str] = (), most_boxes: int = 3, **options) -> list[Found]:
+    """Boxes one after the other, each over the rows that those before it leave; a box must be denser than what is left."""
+    rows = rows.select(*columns, label).persist()
+    total = rows.agg(F.count("*").alias("n"), F.sum(label).alias("hits")).first()
+    n, hits = total["n"], total["hits"] or 0.0
+    left, out = rows, []
+    for _ in range(most_boxes):
+        rest = left.agg(F.sum(label).alias("hits"), F.avg(label).alias("mean")).first()
+        if (rest["hits"] or 0) < max(1, 0.05 * hits):
+            break
+        picked = pick_box(prim(left, columns, label, binary=binary, n=n, hits=hits, **options))
+        found = picked and prune_box(left, picked, label, n, hits)
+        if found is None or found.density <= rest["mean"]:
+            break
+        out.append(found)
+        left = left.filter(~inside(found.box))
+    rows.unpersist()
+    return out
+
+
+def box_conditions(spark: SparkSession, boxes: Sequence[Found], specs: DataFrame) -> DataFrame:
+    """One row per box and restricted column, in order: its bounds, and what ``specs (name, evidence, gaps)`` says of the parameter."""
+    rows = [(k + 1, p + 1, name, low, high) for k, x in enumerate(boxes) for p, (name, (low, high)) in enumerate(x.box.items())]
+    bounds = spark.createDataFrame(rows, "box_no int, place int, name string, low double, high double")
+    return bounds.join(specs.select("name", "evidence", "gaps"), "name", "left").withColumn("exploratory", F.coalesce(F.col("evidence") == "exploratory", F.lit(False)))
+
+
+def box_gaps(conditions: DataFrame) -> DataFrame:
+    """Per box its distinct gaps in the order of the conditions, and whether any condition is exploratory."""
+    listed = F.array_sort(F.collect_list(F.struct("place", F.coalesce("gaps", F.array().cast("array<string>")).alias("gaps"))))
+    return conditions.groupBy("box_no").agg(F.count("*").alias("n_conditions"), F.array_join(F.array_distinct(F.flatten(F.transform(listed, lambda x: x["gaps"]))), ",").alias("gap_list"), F.bool_or("exploratory").alias("exploratory"))
+
+
 def as_rows(spark: SparkSession, trajectory: list[dict]) -> DataFrame:
     """A trajectory as a table."""
-    return spark.createDataFrame([tuple(x.values()) for x in trajectory], "step int, name string, side string, limit_value double, kept long, density double, coverage double")
+    names = ("step", "name", "side", "limit_value", "kept", "density", "coverage")
+    return spark.createDataFrame([tuple(x[c] for c in names) for x in trajectory], "step int, name string, side string, limit_value double, kept long, density double, coverage double")
+
+
+def boxes_as_rows(spark: SparkSession, boxes: Sequence[Found]) -> DataFrame:
+    """Boxes as a table: a row per box and restricted column."""
+    rows = [(k + 1, p + 1, name, low, high, x.kept, x.support, x.coverage, x.density) for k, x in enumerate(boxes) for p, (name, (low, high)) in enumerate(x.box.items())]
+    return spark.createDataFrame(rows, "box_no int, place int, name string, low double, high double, kept long, support double, coverage double, density double")

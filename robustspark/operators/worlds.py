@@ -69,6 +69,13 @@ def world_terms(worlds: DataFrame, terms: DataFrame) -> DataFrame:
     return worlds.crossJoin(F.broadcast(catalogue)).select("world_id", "scenario", "penalty", F.transform("all", vuln).alias("vuln"), F.transform("all", flat).alias("flat"))
 
 
+def with_shifts(worlds: DataFrame, units: DataFrame) -> DataFrame:
+    """The worlds with the units whose cells rise one class there, as an array; the units are few and go along as one row."""
+    every = units.agg(F.array_sort(F.collect_list("unit_id")).alias("units"))
+    up = lambda unit: (F.col("scenario") == 1) & ((F.col("u_dim") < 0.3 * F.col("u_eff") + 0.01 * unit) | (unit == 0))
+    return worlds.crossJoin(F.broadcast(every)).withColumn("shifted", F.filter("units", up)).drop("units")
+
+
 class Space:
     """The sets as arrays: which measures are in, and the place of each set in the order of ties."""
 

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from robustspark.operators import boxes
+from robustspark.operators import boxes, information
 from robustspark.operators import cells as C
 from robustspark.operators import portfolios as P
 from robustspark.operators import worlds as W
@@ -26,7 +26,7 @@ CTES = portfolios.CTES | {
     "wscores": "select world_id, scenario, set_id, cast(sum(part) as bigint) as score, any_value(cost) as cost, any_value(ids) as ids from wparts group by world_id, scenario, set_id",
     "wbest": "select world_id, scenario, set_id as best_set, score as best_score from wscores qualify row_number() over (partition by world_id order by score desc, cost, ids) = 1",
     "star0": "select set_id as star from best",
-    "wstar": "select b.*, s.score as star_score, (b.best_score - s.score) / b.best_score as regret from wbest b join wscores s using (world_id) join star0 on s.set_id = star",
+    "wstar": "select b.*, s.score as star_score, (b.best_score - s.score) / b.best_score as regret from wbest b join (select world_id, score from wscores where set_id = (select star from star0)) s using (world_id)",
     "scen": "select * from (values ('all'), ('0'), ('1')) v(scenario_name)",
     "nears": "select scenario_name, set_id, count(*) as n, count(*) filter (where s.set_id = b.best_set) as wins, count(*) filter (where (b.best_score - s.score) / b.best_score <= 0.01::double + 1e-12) as n1, count(*) filter (where (b.best_score - s.score) / b.best_score <= 0.02::double + 1e-12) as n2, count(*) filter (where (b.best_score - s.score) / b.best_score <= 0.05::double + 1e-12) as n5 from wscores s join wbest b using (world_id) join scen on scenario_name = 'all' or scenario_name = cast(b.scenario as varchar) group by all",
 }
@@ -125,11 +125,12 @@ def w3_dirichlet_weights(t):
     return t.worlds.select("world_id", weights.alias("d")).select("world_id", *(F.col("d")[k].alias(f"d{k}") for k in range(3)))
 
 
-@query("select world_id, unit_id, (scenario = 1 and (u_dim < 0.3 * u_eff + 0.01 * unit_id or unit_id = 0)) as shifts from worlds cross join units")
+_SHIFTS = "scenario = 1 and (u_dim < 0.3 * u_eff + 0.01 * unit_id or unit_id = 0)"
+
+
+@query(f"select world_id, coalesce(string_agg(unit_id, ',' order by unit_id) filter (where {_SHIFTS}), '') as shifted from worlds cross join units group by world_id")
 def w4_scenario_shifts(t):
-    grid = t.worlds.crossJoin(F.broadcast(t.units.select("unit_id")))
-    flag = (F.col("scenario") == 1) & ((F.col("u_dim") < 0.3 * F.col("u_eff") + 0.01 * F.col("unit_id")) | (F.col("unit_id") == 0))
-    return grid.select("world_id", "unit_id", flag.alias("shifts"))
+    return W.with_shifts(t.worlds, t.units).select("world_id", F.array_join("shifted", ",").alias("shifted"))
 
 
 @query("select cast(world_id as varchar) as name, w_vuln, penalty from worlds union all select * from (values ('institutional', 0.7::double, 0.5::double), ('multidimensional', 0.7::double, 0.15::double)) v(name, w_vuln, penalty)")
@@ -232,22 +233,74 @@ def r8_failure_share(t):
     return t.star_regret().rollup("scenario").agg(*fails).select(F.coalesce(F.col("scenario").cast("string"), F.lit("all")).alias("scenario_name"), "fail_5", "fail_10")
 
 
-_LABEL = {"li": "select l_quantity as q, l_discount as d, l_tax as x, l_extendedprice as p, case when l_returnflag = 'R' then 1 else 0 end as y from lineitem"}
-COLUMNS = ("q", "d", "x", "p")
+_LABEL = {"li": "select l_quantity as q, l_discount as d, l_tax as x, l_extendedprice as p, case when l_linestatus = 'O' then 1 else 0 end as o, case when l_returnflag = 'R' then 1 else 0 end as y from lineitem"}
+COLUMNS = ("q", "d", "x", "p", "o")
 
 
 def labelled(t):
-    return t.lineitem.select(F.col("l_quantity").alias("q"), F.col("l_discount").alias("d"), F.col("l_tax").alias("x"), F.col("l_extendedprice").alias("p"), (F.col("l_returnflag") == "R").cast("int").alias("y"))
+    return t.lineitem.select(F.col("l_quantity").alias("q"), F.col("l_discount").alias("d"), F.col("l_tax").alias("x"), F.col("l_extendedprice").alias("p"), (F.col("l_linestatus") == "O").cast("int").alias("o"), (F.col("l_returnflag") == "R").cast("int").alias("y"))
+
 
+def _limits(c):
+    """SQL for the order statistics at which a column is cut."""
+    place = {"low": "floor((count(*) - 1) * 0.05::double + 1e-9)", "high": "ceil((count(*) - 1) * 0.95::double - 1e-9)"}
+    return {side: f"(select list_sort(list({c}))[cast({x} as bigint) + 1] from li)" for side, x in place.items()}
 
-@query(" union all ".join(f"select '{c}' as name, '{side}' as side, lim as limit_value, count(*) filter (where {c} {op} lim) as kept, avg(y) filter (where {c} {op} lim) as mean from li cross join (select quantile_disc({c}, {q}::double) as lim from li) group by lim" for c in ("q", "p") for side, op, q in (("low", ">", 0.05), ("high", "<", 0.95))), _LABEL)
+
+@query(" union all ".join(f"select '{c}' as name, '{side}' as side, cast(lim as double) as limit_value, count(*) filter (where {c} {'>' if side == 'low' else '<'} lim) as kept, avg(y) filter (where {c} {'>' if side == 'low' else '<'} lim) as mean from li cross join (select {lim} as lim) group by lim" for c in ("q", "p") for side, lim in _limits(c).items())
+    + " union all " + " union all ".join(f"select 'o' as name, 'drop' as side, {v}::double as limit_value, count(*) filter (where o <> {v}) as kept, avg(y) filter (where o <> {v}) as mean from li" for v in (0, 1)), _LABEL)
 def b1_peel_candidates(t):
-    return boxes.peel_candidates(labelled(t), ("q", "p"), "y", 0.05, discrete=True)
+    rows = labelled(t)
+    return boxes.peel_candidates(rows, ("q", "p", "o"), "y", 0.05, rows.count(), binary=("o",))
 
 
 @query(None)
 def b2_prim_peel(t):
-    return boxes.as_rows(t.spark, boxes.prim(labelled(t), COLUMNS, "y"))
+    rows = labelled(t).persist()
+    out = boxes.prim(rows, COLUMNS, "y", binary=("o",))
+    rows.unpersist()
+    return boxes.as_rows(t.spark, out)
+
+
+@query(None)
+def b3_pick_box(t):
+    rows = labelled(t).persist()
+    picked = boxes.pick_box(boxes.prim(rows, COLUMNS, "y", binary=("o",)))
+    rows.unpersist()
+    return boxes.boxes_as_rows(t.spark, [picked] if picked else [])
+
+
+_PRUNE = {"mean": "select d.*, avg(y) filter (where (not a or q > 10) and (not b or p < 50000) and (not c or d < 0.08)) as density from li cross join (select * from (values (true, true, true), (true, true, false), (true, false, true), (true, false, false), (false, true, true), (false, true, false), (false, false, true)) v(a, b, c)) d group by all",
+          "s1": "select density as full_density, (select density from mean where a and b and not c) >= density - 0.01::double as drop_c from mean where a and b and c",
+          "s2": "select *, (select density from mean where a and not b and c = not drop_c) >= full_density - 0.01::double as drop_b from s1",
+          "s3": "select *, not (drop_c and drop_b) and (select density from mean where not a and b = not drop_b and c = not drop_c) >= full_density - 0.01::double as drop_a from s2"}
+
+
+@query("select concat_ws(',', case when not drop_a then 'q' end, case when not drop_b then 'p' end, case when not drop_c then 'd' end) as kept_columns, density from s3 join mean on a = not drop_a and b = not drop_b and c = not drop_c", _LABEL | _PRUNE)
+def b4_prune_box(t):
+    rows = labelled(t).persist()
+    total = rows.agg(F.count("*").alias("n"), F.sum("y").alias("hits")).first()
+    box = boxes.measured(rows, {"q": (10.0, None), "p": (None, 50000.0), "d": (None, 0.08)}, "y", total["n"], total["hits"])
+    pruned = boxes.prune_box(rows, box, "y", total["n"], total["hits"])
+    rows.unpersist()
+    return t.spark.createDataFrame([(",".join(pruned.box), pruned.density)], "kept_columns string, density double")
+
+
+@query(None)
+def b5_find_boxes(t):
+    return boxes.boxes_as_rows(t.spark, boxes.find_boxes(labelled(t), COLUMNS, "y", binary=("o",)))
+
+
+_BOXES = [boxes.Found({"q": (10.0, None), "d": (0.02, 0.08), "p": (None, 50000.0)}, 0, 0.0, 0.0, 0.0), boxes.Found({"x": (0.01, None), "q": (None, 40.0)}, 0, 0.0, 0.0, 0.0)]
+_BOUNDS = {"bounds": "select * from (values (1, 1, 'q'), (1, 2, 'd'), (1, 3, 'p'), (2, 1, 'x'), (2, 2, 'q')) v(box_no, place, name)",
+           "listed": "select box_no, gap_id, min({'a': place, 'b': gap_no}) as pos from bounds join param_gaps using (name) group by all"}
+
+
+@query("select c.box_no, n_conditions, gap_list, exploratory from (select box_no, count(*) as n_conditions, bool_or(evidence = 'exploratory') as exploratory from bounds left join params using (name) group by all) c join (select box_no, string_agg(gap_id, ',' order by pos) as gap_list from listed group by all) g using (box_no)", _BOUNDS)
+def b7_box_conditions(t):
+    listed = t.param_gaps.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("gap_no", "gap_id"))).alias("g"))
+    specs = t.params.join(listed, "name", "left").select("name", "evidence", F.transform("g", lambda x: x["gap_id"]).alias("gaps"))
+    return boxes.box_gaps(boxes.box_conditions(t.spark, _BOXES, specs))
 
 
 @query("select count(*) as n, count(*) filter (where q > 10 and p < 50000) as inside, cast(sum(y) filter (where q > 10 and p < 50000) as bigint) as hits, sum(y) filter (where q > 10 and p < 50000) / sum(y) as coverage, avg(y) filter (where q > 10 and p < 50000) as density from li", _LABEL)
@@ -257,10 +310,11 @@ def b6_box_stats(t):
 
 @query("select name, bin, count(*) as n, min(value) as low, max(value) as high from (select name, value, cast(floor((row_number() over (partition by name order by value, world_id) - 1) * 10 / n) as bigint) as bin from (" + _LONG + ") cross join (select count(*) as n from events)) group by all")
 def v3_equal_count_bins(t):
-    n = t.events.agg(F.count("*").alias("n"))
-    long = t.worlds.unpivot("world_id", ["w_vuln", "w_rec", "penalty", "cob_w", "mismatch_w"], "name", "value")
-    rank = F.row_number().over(Window.partitionBy("name").orderBy("value", "world_id"))
-    return long.withColumn("r", rank - 1).crossJoin(n).withColumn("bin", F.floor(F.col("r") * 10 / F.col("n")).cast("long")).groupBy("name", "bin").agg(F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
+    n = t.events.count()
+    strata = {"w_vuln": (7919, 3), "w_rec": (6607, 11), "penalty": (4409, 5), "cob_w": (3301, 17), "mismatch_w": (2207, 23)}
+    # every parameter rises with its stratum, and a stratum holds one world: it is the rank
+    pairs = F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).alias("value"), information.stratum_bin(F.col("world_id"), n, 10, *ab).alias("bin")) for c, ab in strata.items()))
+    return t.worlds.select(F.inline(pairs)).groupBy("name", "bin").agg(F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
 
 
 _VOI = {"binned": "select world_id, cast(floor((({0} * world_id + {1}) % n) * 10 / n) as bigint) as bin from (select event_id as world_id from events) cross join (select count(*) as n from events)".format(7919, 3),
@@ -297,3 +351,91 @@ def v1_switching_values(t):
     rows = W.score_worlds(t.world_terms(), t.space(), reduce, "measure_no long, delta long").join(F.broadcast(t.measures.select("measure_no", "measure_id")), "measure_no")
     exact = lambda q: F.percentile("delta", F.lit(q))
     return rows.groupBy("measure_id").agg(F.count_if(F.col("delta") >= 0).alias("worlds_in"), exact(0.5).alias("median_delta"), exact(0.05).alias("p5"), exact(0.95).alias("p95"))
+
+
+_W0 = {"w0": """select m.measure_id, inside, b.score - case when inside then o.score else c.score end as delta, p.part as own from (select measure_id, (b.set_id >> measure_no) & 1 = 1 as inside from measures cross join best b) m
+    cross join best b left join containing c on c.measure_id = m.measure_id left join without o on o.measure_id = m.measure_id left join parts p on p.measure_id = m.measure_id and p.set_id = case when inside then b.set_id else c.set_id end"""}
+
+
+@query("select measure_id, inside, delta, own, case when own > 0 then delta / own end as distance from w0", portfolios.upto("without") | _W0)
+def v2_world0_switching(t):
+    return world0_switching(t)
+
+
+def world0_switching(t):
+    return information.world0_switching(t.measures, t.best(), t.containing(), t.without(), lambda ids: P.parts(P.members(t.sets().join(F.broadcast(ids), "set_id", "left_semi"), t.terms()), 0.5))
+
+
+_EVPPI = {
+    "shuffles": "select * from (values " + ", ".join(f"({k}, {a}, {b})" for k, (a, b) in enumerate(information.SHUFFLES)) + ") v(shuffle_no, a, b)",
+    "moved": "select world_id, shuffle_no, (a * world_id + b) % n as w, n from (select event_id as world_id from events) cross join (select count(*) as n from events) cross join shuffles",
+    "labels": "select world_id, shuffle_no, unnest(['w_vuln', 'penalty', 'gamma']) as parameter, unnest([cast(floor(((7919 * w + 3) % n) * 10 / n) as bigint), cast(floor(((4409 * w + 5) % n) * 10 / n) as bigint), cast(floor(((5417 * w + 29) % n) * 2 / n) as bigint)]) as bin from moved",
+    "labelled": "select parameter, shuffle_no, bin, set_id, cast(sum(score) as bigint) as s from labels join wscores using (world_id) group by all",
+    "informed": "select parameter, shuffle_no, cast(sum(m) as bigint) as i from (select parameter, shuffle_no, bin, max(s) as m from labelled group by all) group by all",
+    "baseline": "select max(s) as u, (select count(*) from events) as n from (select cast(sum(score) as bigint) as s from wscores group by set_id)",
+    "evppi": "select parameter, cast(max(i) filter (where shuffle_no = 0) - any_value(u) as bigint) / any_value(n) as raw, cast(5 * max(i) filter (where shuffle_no = 0) - sum(i) filter (where shuffle_no > 0) as bigint) / (5 * any_value(n)) as corrected, cast(5 * max(i) filter (where shuffle_no = 0) - sum(i) filter (where shuffle_no > 0) as bigint) / (5 * any_value(u)) as corrected_pct from informed cross join baseline group by parameter",
+}
+
+
+def evppi(t):
+    n = t.events.count()
+    bins = {"w_vuln": (7919, 3, 10), "penalty": (4409, 5, 10), "gamma": (5417, 29, 2)}
+    return information.evppi_corrected(t.world_terms(), t.space(), n, bins)
+
+
+@query("select * from evppi", upto("wscores") | _EVPPI)
+def v5_evppi_corrected(t):
+    return evppi(t)
+
+
+_LINKS = {"links": "select distinct parameter, gap_id from spec_gaps union select concat('eff[', measure_id, ']') as parameter, gap_id from gap_measures join gaps using (gap_id) where kind = 'model' and gap_id not in (select gap_id from spec_gaps)"}
+
+
+@query("select * from links", _LINKS)
+def v6_gap_links(t):
+    return information.gap_links(t.gaps, t.gap_measures, t.spec_gaps)
+
+
+@query("""select gap_id, kind, closest_measure, closest_distance, top_parameter, top_pct, row_number() over (partition by kind order by case when kind = 'model' then -coalesce(top_pct, 0) else coalesce(closest_distance, 1e300) end, gap_id) as place from gaps
+    left join (select gap_id, arg_min(measure_id, {'d': distance, 'm': measure_id}) as closest_measure, min(distance) as closest_distance from gap_measures join (select measure_id, delta / own as distance from w0 where own > 0) using (measure_id) group by gap_id) using (gap_id)
+    left join (select gap_id, arg_min(parameter, {'c': -corrected, 'p': parameter}) as top_parameter, max(corrected_pct) as top_pct from links join evppi using (parameter) join gaps using (gap_id) where kind = 'model' group by gap_id) using (gap_id)""", upto("wscores") | portfolios.upto("without") | _W0 | _EVPPI | _LINKS)
+def v7_gap_ranking(t):
+    return information.gap_ranking(t.gaps, t.gap_measures, world0_switching(t).select("measure_id", "distance"), information.gap_links(t.gaps, t.gap_measures, t.spec_gaps), evppi(t))
+
+
+@query(None)
+def a1_entry_signal(t):
+    """What drives the measure whose place is most open (share of wins nearest to one half) into the best set."""
+    rows = t.worlds.join(t.best_per_world().select("world_id", "best_set"), "world_id").persist()
+    shares = rows.crossJoin(F.broadcast(t.measures.select("measure_id", "measure_no"))).groupBy("measure_id", "measure_no").agg(F.avg(P.member(F.col("best_set"), F.col("measure_no")).cast("double")).alias("share"))
+    most_open = shares.orderBy(F.abs(F.col("share") - 0.5), "measure_id").first()
+    labelled_worlds = rows.withColumn("y", P.member(F.col("best_set"), F.lit(most_open["measure_no"])).cast("int"))
+    columns = ["w_vuln", "w_rec", "gamma", "penalty", "cob_w", "mismatch_w", "u_eff", "u_dim"]
+    known = {r["parameter"] for r in t.spec_gaps.select("parameter").distinct().collect()}
+    out = information.entry_signal(labelled_worlds, "y", columns, [c for c in columns if c in known], binary=("gamma",))
+    rows.unpersist()
+    return out.select(F.lit(most_open["measure_id"]).alias("measure_id"), F.lit(most_open["share"]).alias("share_in_best"), "*")
+
+
+_MOVES = {
+    "wcells": f"select world_id, unit_id, dimension_id, least(5, class_no + case when {_SHIFTS} then 1 else 0 end) as class_no from worlds cross join cells",
+    "m1": "select * from (select world_id, measure_id, c.unit_id, c.dimension_id, class_no, max(class_no) over (partition by world_id, measure_id) as top from measures m join wcells c on m.dimension_id = c.dimension_id) where class_no = top",
+    "m2": "select p.*, capacity, records, coalesce(matches, 0) as matches, min_records, count(*) over w as tied, count(capacity) over w as with_capacity, min(capacity) over w as lowest from m1 p left join capacity using (unit_id, dimension_id) left join coverage using (unit_id) left join matches using (measure_id, unit_id) cross join model window w as (partition by world_id, measure_id)",
+    "m3": "select *, count(*) over w as left_, min(records) over w as fewest, max(matches) over w as most from m2 where not (tied > 1 and with_capacity = tied) or capacity = lowest window w as (partition by world_id, measure_id)",
+    "moved_to": "select world_id, measure_id, string_agg(unit_id, ',' order by unit_id) as sited from m3 where not (left_ > 1 and fewest >= min_records) or matches = most group by all",
+    "at0": "select measure_id, string_agg(unit_id, ',' order by unit_id) as at0 from placed group by all",
+}
+
+
+@query("select measure_id, at0 as world0_units, avg(case when sited <> at0 then 1.0 else 0.0 end) as changed, bool_or(at0 like '%,%') or avg(case when sited <> at0 then 1.0 else 0.0 end) >= 0.2 as decide_later from moved_to join at0 using (measure_id) group by all", cells.upto("placed") | _MOVES)
+def a3_site_change_share(t):
+    place = lambda cells_, by: C.place_measures(t.measures, cells_, t.capacity(), t.coverage(), t.matches(), t.model, by)
+    return information.site_change_share(W.with_shifts(t.worlds, t.units), t.cells(), place)
+
+
+@query("select measure_id, parameter, corrected_pct as value_of_waiting, case when not corrected_pct > 0.0001::double then 'spend' when parameter = 'gamma' then 'watch' else 'reserve' end as decision from (select measure_id, case measure_no % 3 when 0 then 'w_vuln' when 1 then 'penalty' else 'gamma' end as parameter from measures) join evppi using (parameter)", upto("wscores") | _EVPPI)
+def a4_reserve_rule(t):
+    signals = t.measures.select("measure_id", F.when(F.col("measure_no") % 3 == 0, "w_vuln").when(F.col("measure_no") % 3 == 1, "penalty").otherwise("gamma").alias("parameter"))
+    values = evppi(t).select("parameter", F.col("corrected_pct").alias("value_of_waiting"))
+    rows = signals.join(values, "parameter").withColumn("exploratory", F.col("parameter") == "gamma")
+    return information.reserve_rule(rows, 0.0001).select("measure_id", "parameter", "value_of_waiting", "decision")

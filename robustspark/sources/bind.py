@@ -25,6 +25,15 @@ def stratum(a: int, b: int) -> str:
     return f"(cast(({a} * world_id + {b}) % n as double) + 0.5e0) / n"
 
 
+#: Parameters that information could settle, by the remainder of a number.
+PARAMETERS = ("w_vuln", "penalty", "gamma")
+
+
+def parameter(x: str) -> str:
+    """The parameter of a whole-number expression."""
+    return f"case {x} % 3 when 0 then 'w_vuln' when 1 then 'penalty' else 'gamma' end"
+
+
 BINDINGS = {
     "units": "select n_nationkey as unit_id, n_name as unit_name, n_regionkey as region_id from nation",
     "dims": f"select {segment('n_nationkey')} as dimension_id, n_nationkey as dim_no from nation where n_nationkey < 5",
@@ -42,6 +51,12 @@ BINDINGS = {
     "fund": "select cast(floor(sum(cost) * 4 / 10) as bigint) as budget from measures",
     "readings": """select n_nationkey as unit_id, dimension_id, case when (n_nationkey + dim_no) % 3 = 0 then null else (n_nationkey * 2 + dim_no) % 5 + 1 end as s_level,
         case when (n_nationkey + dim_no) % 4 = 0 then null else (n_nationkey + dim_no * 3) % 3 + 1 end as ca_level from nation cross join dims where (n_nationkey + dim_no) % 5 <> 0""",
+    "gaps": "select concat('gap', s_suppkey) as gap_id, s_suppkey as gap_no, case s_suppkey % 3 when 0 then 'dependency' when 1 then 'site' else 'model' end as kind from supplier",
+    "gap_measures": "select distinct gap_id, measure_id from (select gap_id, gap_no % 10 as m from gaps union all select gap_id, (gap_no * 7 + 3) % 10 as m from gaps) g join measures on m = measure_no",
+    "spec_gaps": f"select {parameter('s_nationkey')} as parameter, concat('gap', s_suppkey) as gap_id from supplier where s_acctbal < 5000",
+    "params": """select case r_regionkey when 0 then 'q' when 1 then 'd' when 2 then 'x' when 3 then 'p' else 'none' end as name, r_regionkey as param_no,
+        case r_regionkey when 1 then 'exploratory' when 2 then 'assumption' else 'institutional' end as evidence from region""",
+    "param_gaps": "select name, concat('gap', n_nationkey % 7) as gap_id, n_nationkey as gap_no from nation join params on n_regionkey = param_no",
     "worlds": f"""select world_id, scenario, 0.5e0 + 0.4e0 * {stratum(7919, 3)} as w_vuln, 0.05e0 + 0.25e0 * {stratum(6607, 11)} as w_rec, case when {stratum(5417, 29)} < 0.5e0 then 1 else 2 end as gamma,
         0.2e0 + 0.6e0 * {stratum(4409, 5)} as penalty, 0.3e0 * {stratum(3301, 17)} as cob_w, 0.5e0 + 0.5e0 * {stratum(2207, 23)} as mismatch_w, {stratum(1103, 41)} as u_eff, {stratum(9001, 7)} as u_dim
         from (select event_id as world_id, cast(event_id % 2 as int) as scenario from events) e cross join (select count(*) as n from events) c""",
@@ -66,7 +81,7 @@ def oracle(sql: str, ctes: dict[str, str] | None = None) -> str:
     """A DuckDB query over bindings: the bindings used and further expressions go in front."""
     extra = ctes or {}
     used = needs(sql + " ".join(extra.values()))
-    parts = [f"{name} as ({BINDINGS[name]})" for name in used] + [f"{name} as ({body})" for name, body in extra.items()]
+    parts = [f"{name} as ({BINDINGS[name]})" for name in used] + [f"{name} as materialized ({body})" for name, body in extra.items()]
     return (f"with {', '.join(parts)} " if parts else "") + sql
 
 
