@@ -35,15 +35,20 @@ def shifted(class_no: Column, flag: Column) -> Column:
     return F.least(F.lit(5), class_no + F.when(flag, 1).otherwise(0))
 
 
-def coverage_of(units: DataFrame, records: DataFrame) -> DataFrame:
-    """Records per unit; units without records are kept with 0."""
-    counts = records.groupBy("unit_id").agg(F.count("*").alias("n"))
+def record_counts(records: DataFrame) -> DataFrame:
+    """Records per unit and measure, null where none is matched: all that coverage and matches need of the records."""
+    return records.groupBy("unit_id", "measure_id").agg(F.count("*").alias("n"))
+
+
+def coverage_of(units: DataFrame, counts: DataFrame) -> DataFrame:
+    """Records per unit, from ``record_counts``; units without records are kept with 0."""
+    counts = counts.groupBy("unit_id").agg(F.sum("n").alias("n"))
     return units.select("unit_id").join(counts, "unit_id", "left").select("unit_id", F.coalesce("n", F.lit(0)).alias("records"))
 
 
-def match_counts(records: DataFrame) -> DataFrame:
-    """Matches per measure and unit."""
-    return records.filter("measure_id is not null").groupBy("measure_id", "unit_id").agg(F.count("*").alias("matches"))
+def match_counts(counts: DataFrame) -> DataFrame:
+    """Matches per measure and unit, from ``record_counts``."""
+    return counts.filter("measure_id is not null").select("measure_id", "unit_id", F.col("n").alias("matches"))
 
 
 def max_adequate(coverage: DataFrame, matches: DataFrame, model: DataFrame) -> DataFrame:

@@ -41,9 +41,18 @@ def upto(name: str) -> dict[str, str]:
     return {k: CTES[k] for k in keys[: keys.index(name) + 1]}
 
 
+#: Rows up to which a result is worth keeping as literal rows.
+SMALL_ROWS = 50_000
+
+
 def small(df: DataFrame) -> DataFrame:
-    """A result bounded by the catalogue or by one row, computed once; later plans read it as literal rows."""
-    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+    """A result computed once: as literal rows, which later plans can fold and broadcast, or kept by Spark if it is not small."""
+    df = df.persist()
+    if df.count() > SMALL_ROWS:
+        return df
+    rows = df.collect()
+    df.unpersist()
+    return df.sparkSession.createDataFrame(rows, df.schema)
 
 
 def once(method):
@@ -62,23 +71,34 @@ def once(method):
 class Model(Tables):
     """Bound tables and the model tables derived from them."""
 
+    # What is kept below has at most a row per unit and measure, or per cell.
+
+    @once
     def cells(self):
-        return C.resolve_class(self.metric_rows)
+        return small(C.resolve_class(self.metric_rows))
 
+    @once
     def capacity(self):
-        return C.resolve_capacity(self.capacity_rows)
+        return small(C.resolve_capacity(self.capacity_rows))
+
+    @once
+    def counts(self):
+        """Records per unit and measure, the one pass over the records."""
+        return small(C.record_counts(self.records))
 
     def coverage(self):
-        return C.coverage_of(self.units, self.records)
+        return C.coverage_of(self.units, self.counts())
 
     def matches(self):
-        return C.match_counts(self.records)
+        return C.match_counts(self.counts())
 
+    @once
     def denominator(self):
-        return C.max_adequate(self.coverage(), self.matches(), self.model)
+        return small(C.max_adequate(self.coverage(), self.matches(), self.model))
 
+    @once
     def placed(self):
-        return C.place_measures(self.measures, self.cells(), self.capacity(), self.coverage(), self.matches(), self.model)
+        return small(C.place_measures(self.measures, self.cells(), self.capacity(), self.coverage(), self.matches(), self.model))
 
     def profiles(self):
         return C.lever_profiles(self.units, self.dims, self.readings)

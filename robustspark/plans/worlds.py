@@ -15,6 +15,8 @@ from robustspark.plans import cells, portfolios
 
 QUERIES, ORACLES = {}, {}
 NEAR = (0.01, 0.02, 0.05)
+#: Sets that are held as arrays, on the driver and by the tasks.
+MOST_SETS = 1 << 20
 
 CTES = portfolios.CTES | {
     "facts": "select m.measure_id, m.measure_no, m.dimension_id, top_class as class_no, rec_share, cob_class, mismatch from measures m join (select measure_id, max(class_no) as top_class from placed group by all) t using (measure_id) left join rec_terms using (measure_id) left join cob_terms using (measure_id) left join fits using (measure_id)",
@@ -52,9 +54,11 @@ class Many(portfolios.Sets):
         return W.world_terms(self.worlds, self.facts())
 
     def space(self):
-        """The sets as arrays on the driver: at most 2^measures rows."""
+        """The sets as arrays on the driver; a catalogue with more than ``MOST_SETS`` of them is refused, not cut."""
         catalogue = self.measures.orderBy("measure_no").collect()
-        sets = [(r["set_id"], r["cost"], r["ids"]) for r in self.sets().collect()]
+        sets = [(r["set_id"], r["cost"], r["ids"]) for r in self.sets().limit(MOST_SETS + 1).collect()]
+        if len(sets) > MOST_SETS:
+            raise ValueError(f"over {MOST_SETS} sets fit the budget; lower it or the number of measures")
         return W.Space(sorted(sets), [r["dimension_id"] for r in catalogue], [r["measure_id"] for r in catalogue])
 
     def best_per_world(self):
