@@ -5,7 +5,8 @@
 2. Spark's higher-order functions fold the ranked merges over every distinct word. A word is an array of its pairs of
    neighbours, each packed as rank, left id and right id. A step takes the first pair of least rank, drops it, and looks
    the two pairs beside it up again. Ranks come from a literal map of all pairs that merge: a map literal would be scanned
-   entry by entry, so it is laid out as two literal arrays in which every pair has one place of two.
+   entry by entry, so it is laid out as two literal arrays in which every pair has one place of two; the pairs of single
+   bytes, with which every word starts, are looked up directly.
 3. A task puts the ids of the words in the places of the codes, and decodes by concatenating the ids' binary pieces.
 
 Nothing is shuffled. A pretoken that is a piece as a whole needs no merges. The fold costs the square of a word's length;
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 
 from robustspark.llm.textops import chunks
 
-CHUNK_BYTES = 24_000_000
+CHUNK_BYTES = 12_000_000
 LONG = 512
 #: In a packed pair the rank's place, and the rank of pairs that don't merge (ranks and ids take 16 bits).
 NONE = 0xFFFF << 32
@@ -130,8 +131,10 @@ def _let(value: Column, use) -> Column:  # noqa: ANN001
 
 def merged(words: Column, ranks: Ranks) -> Column:
     """The ids of each word (a string of one character per byte, at least two) of an array, by folding ranked merges."""
-    one, two = rank_map(ranks.pairs())
-    tables = F.struct(_literal(one, "bigint").alias("one"), _literal(two, "bigint").alias("two"), _literal(ranks.byte_id, "int").alias("byte"))
+    pairs = ranks.pairs()
+    one, two = rank_map(pairs)
+    first = [pairs.get((a, b), LOW) << 32 | a << 16 | b for a in ranks.byte_id for b in ranks.byte_id]
+    tables = F.struct(_literal(one, "bigint").alias("one"), _literal(two, "bigint").alias("two"), _literal(first, "bigint").alias("first"))
 
     def fold(t: Column, word: Column) -> Column:
         def packed(key: Column) -> Column:
@@ -151,8 +154,8 @@ def merged(words: Column, ranks: Ranks) -> Column:
             return _let(F.array_min(pairs), lambda least: F.when(least >= NONE, pairs).otherwise(_let(F.array_position(pairs, least).cast("int"), lambda place: merge(pairs, place, F.shiftright(least, 32)))))
 
         size = F.length(word)
-        ids = F.transform(F.split(word, ""), lambda c: F.get(t["byte"], F.ascii(c)).cast("bigint"))
-        start = _let(ids, lambda x: F.transform(F.sequence(F.lit(1), size - 1), lambda i: packed(F.shiftleft(F.get(x, i - 1), 16) + F.get(x, i))))
+        codes = F.transform(F.split(word, ""), lambda c: F.ascii(c))
+        start = _let(codes, lambda x: F.transform(F.sequence(F.lit(1), size - 1), lambda i: F.get(t["first"], F.shiftleft(F.get(x, i - 1), 8) + F.get(x, i))))
         finish = lambda pairs: F.concat(F.array(F.shiftright(F.get(pairs, F.lit(0)), 16).bitwiseAND(F.lit(LOW)).cast("int")), F.transform(pairs, lambda p: p.bitwiseAND(F.lit(LOW)).cast("int")))
         return F.aggregate(F.sequence(F.lit(2), size), start, step, finish)
 
