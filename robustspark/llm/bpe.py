@@ -31,9 +31,9 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from robustspark.llm.textops import chunks
+from robustspark.llm.textops import chunks, release
 
-CHUNK_BYTES = 12_000_000
+CHUNK_BYTES = 10_000_000
 LONG = 512
 #: In a packed pair the rank's place, and the rank of pairs that don't merge (ranks and ids take 16 bits).
 NONE = 0xFFFF << 32
@@ -216,6 +216,7 @@ def bpe_columns(docs: DataFrame, rank_path: str, id_col: str = "doc_id", text_co
     shipped = docs.sparkSession.sparkContext.broadcast(ranks)
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         model, pairs = shipped.value, None
         ids, codes, size = [], [], 0
         coder = Coder(model, len(model.ends) - 1)
@@ -243,6 +244,7 @@ def bpe_columns(docs: DataFrame, rank_path: str, id_col: str = "doc_id", text_co
             yield row()
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         model = shipped.value
         first = len(model.ends) - 1
         for whole in batches:

@@ -6,6 +6,7 @@ by the chunk (``CHUNK`` bytes, or one document if that is longer).
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,6 +49,13 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
+def release() -> None:
+    """Gives back what a worker process keeps from operators that ran in it before."""
+    _powers[:] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 def prefix_hashes(data: np.ndarray) -> np.ndarray:
     """C with C[j] - C[i] = BASE^i times the polynomial hash of bytes i..j."""
     out = np.zeros(len(data) + 1, np.uint64)
