@@ -38,8 +38,8 @@ LONG = 512
 #: In a packed pair the rank's place, and the rank of pairs that don't merge (ranks and ids take 16 bits).
 NONE = 0xFFFF << 32
 LOW, PAIR = 0xFFFF, 0xFFFFFFFF
-#: Each half of the literal map has 2^18 places; a pair's place in a half is bits 30 to 47 of its product with a multiplier.
-PLACES, MULTIPLIERS = 1 << 18, (1640531527, 1131110399)
+#: Each half of the literal map has 2^17 places; a pair's place in a half is bits 30 to 46 of its product with a multiplier.
+PLACES, MULTIPLIERS = 1 << 17, (1640531527, 1131110399)
 
 
 def _ranges(*codes: tuple[int, int]) -> str:
@@ -121,7 +121,7 @@ def rank_map(pairs: dict[tuple[int, int], int]) -> list[list[int]]:
 
 def _literal(values: list, kind: str) -> Column:
     """A literal array: Spark folds the constant once, when it plans."""
-    return F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")
+    return F.from_json(F.lit(json.dumps(values, separators=(",", ":"))), f"array<{kind}>")
 
 
 def _let(value: Column, use) -> Column:  # noqa: ANN001
@@ -133,8 +133,8 @@ def merged(words: Column, ranks: Ranks) -> Column:
     """The ids of each word (a string of one character per byte, at least two) of an array, by folding ranked merges."""
     pairs = ranks.pairs()
     one, two = rank_map(pairs)
-    first = [pairs.get((a, b), LOW) << 32 | a << 16 | b for a in ranks.byte_id for b in ranks.byte_id]
-    tables = F.struct(_literal(one, "bigint").alias("one"), _literal(two, "bigint").alias("two"), _literal(first, "bigint").alias("first"))
+    first = [pairs.get((a, b), LOW) for a in ranks.byte_id for b in ranks.byte_id]
+    tables = F.struct(_literal(one, "bigint").alias("one"), _literal(two, "bigint").alias("two"), _literal(first, "int").alias("first"), _literal(ranks.byte_id, "int").alias("byte"))
 
     def fold(t: Column, word: Column) -> Column:
         def packed(key: Column) -> Column:
@@ -142,6 +142,10 @@ def merged(words: Column, ranks: Ranks) -> Column:
             hit = [x.bitwiseAND(F.lit(PAIR)) == key for x in at]
             return F.when(hit[0], at[0]).when(hit[1], at[1]).otherwise(key + F.lit(NONE))
 
+        def pair(a: Column, b: Column) -> Column:
+            ids = [F.get(t["byte"], x).cast("bigint") for x in (a, b)]
+            return F.shiftleft(F.get(t["first"], F.shiftleft(a, 8) + b).cast("bigint"), 32) + F.shiftleft(ids[0], 16) + ids[1]
+
         def merge(pairs: Column, place: Column, rank: Column) -> Column:
             def beside(pair: Column, i: Column) -> Column:
                 left = packed(pair.bitwiseAND(F.lit(LOW << 16)) + rank)
@@ -155,7 +159,7 @@ def merged(words: Column, ranks: Ranks) -> Column:
 
         size = F.length(word)
         codes = F.transform(F.split(word, ""), lambda c: F.ascii(c))
-        start = _let(codes, lambda x: F.transform(F.sequence(F.lit(1), size - 1), lambda i: F.get(t["first"], F.shiftleft(F.get(x, i - 1), 8) + F.get(x, i))))
+        start = _let(codes, lambda x: F.transform(F.sequence(F.lit(1), size - 1), lambda i: pair(F.get(x, i - 1), F.get(x, i))))
         finish = lambda pairs: F.concat(F.array(F.shiftright(F.get(pairs, F.lit(0)), 16).bitwiseAND(F.lit(LOW)).cast("int")), F.transform(pairs, lambda p: p.bitwiseAND(F.lit(LOW)).cast("int")))
         return F.aggregate(F.sequence(F.lit(2), size), start, step, finish)
 

@@ -179,11 +179,11 @@ def train(docs: DataFrame, labels: DataFrame, table) -> Network:  # noqa: ANN001
     sample = known.orderBy(F.xxhash64("id"), "id").limit(SAMPLE)
     # at most SAMPLE rows of two numbers are broadcast
     rows = docs.join(F.broadcast(sample.select("id")), "id", "left_semi")
-    x = {r[0]: r[1] for r in _pool_rows(rows, table, "id").collect()}
-    y = {r[0]: r[1] for r in sample.collect()}
-    keys = sorted(x)
-    inner = np.array([int(mix(np.array([k], np.int64).view(np.uint64))[0] % np.uint64(5)) == 0 for k in keys], bool)
-    return fit(np.array([x[k] for k in keys]).reshape(len(keys), 2 * WIDTH + 3), np.array([float(y[k] >= 1) for k in keys]), inner)
+    pooled_rows, y = _pool_rows(rows, table, "id").toArrow(), {r[0]: r[1] for r in sample.collect()}
+    ids, x = (pooled_rows.column(c).combine_chunks() for c in ("id", "x"))
+    keys, first = np.unique(ids.to_numpy(zero_copy_only=False).astype(np.int64), return_index=True)
+    x = x.flatten().to_numpy(zero_copy_only=False).reshape(-1, 2 * WIDTH + 3)[first]
+    return fit(x, np.array([float(y[k] >= 1) for k in keys.tolist()]), mix(keys.view(np.uint64)) % np.uint64(5) == 0)
 
 
 def _scored(rows: DataFrame, labels: DataFrame, key: bool = False) -> DataFrame:
