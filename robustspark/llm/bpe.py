@@ -246,6 +246,8 @@ def bpe_columns(docs: DataFrame, rank_path: str, id_col: str = "doc_id", text_co
                     coder = Coder(model, len(model.ends) - 1)
         if ids:
             yield row()
+        del ids, codes, coder
+        release()
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
@@ -269,6 +271,9 @@ def bpe_columns(docs: DataFrame, rank_path: str, id_col: str = "doc_id", text_co
                         rows.append((len(out), hashlib.sha256(out.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(model.decode(out)).hexdigest(), *((out,) if keep_ids else ())))
                     columns = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32())))]
                     yield pa.RecordBatch.from_arrays([ids.slice(lo, 10_000), *columns], NAMES)
+                del ids, codes, lists, long, flat, data, columns, rows
+            del whole
+        release()
 
     NAMES = ["id", "n_tokens", "ids_sha256", "decoded_sha256", *(("token_ids",) if keep_ids else ())]
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))

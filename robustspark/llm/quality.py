@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from robustspark.llm.common import fresh
-from robustspark.llm.textops import LOWER, chunks, mix, prefix_hashes, range_hashes, utf8, words
+from robustspark.llm.textops import LOWER, chunks, mix, prefix_hashes, range_hashes, release, utf8, words
 
 LETTERS, SHAPES, WIDTH, NONZERO = 4096, 1024, 32, 4
 BUCKETS = LETTERS + SHAPES
@@ -64,6 +64,7 @@ def features(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def _context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    release()
     total = np.zeros(BUCKETS * WIDTH)
     for whole in batches:
         for part in chunks(whole, "text"):

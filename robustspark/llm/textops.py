@@ -6,6 +6,7 @@ by the chunk (``CHUNK`` bytes, or one document if that is longer).
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from collections.abc import Iterator
 
@@ -50,10 +51,13 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def release() -> None:
-    """Gives back what a worker process keeps from operators that ran in it before."""
+    """Gives back what a worker process, which Spark uses again for other operators, still keeps."""
     _powers[:] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
     gc.collect()
     pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim:
+        trim(0)
 
 
 def prefix_hashes(data: np.ndarray) -> np.ndarray:
