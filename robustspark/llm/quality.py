@@ -29,6 +29,8 @@ LETTERS, SHAPES, WIDTH, NONZERO = 4096, 1024, 32, 4
 BUCKETS = LETTERS + SHAPES
 SAMPLE, HIDDEN, EPOCHS, FOLDS = 20_000, 32, 400, 5
 PASS_SCORE = 0.3
+#: Bytes of text whose word vectors are held at once (some 60 bytes for each).
+POOL_BYTES = 400_000
 
 _hash = mix(np.arange(BUCKETS * NONZERO, dtype=np.uint64) + np.uint64(77)).reshape(BUCKETS, NONZERO)
 #: Places and signs of every bucket's index vector.
@@ -67,7 +69,7 @@ def _context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     release()
     total = np.zeros(BUCKETS * WIDTH)
     for whole in batches:
-        for part in chunks(whole, "text"):
+        for part in chunks(whole, "text", 2 * POOL_BYTES):
             letters, shapes, at = features(*utf8(part.column("text")))
             if len(letters) < 2:
                 continue
@@ -167,7 +169,7 @@ def fold(id_col: Column) -> Column:
 def _pool_rows(docs: DataFrame, table, with_id: str) -> DataFrame:  # noqa: ANN001
     def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for part in chunks(whole, "text"):
+            for part in chunks(whole, "text", POOL_BYTES):
                 x = pooled(table.value, *utf8(part.column("text")))
                 yield pa.RecordBatch.from_arrays([part.column(with_id), pa.array(list(x), pa.list_(pa.float64()))], [with_id, "x"])
 
@@ -195,8 +197,9 @@ def _scored(rows: DataFrame, labels: DataFrame, key: bool = False) -> DataFrame:
     name = "key" if key else "id"
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for whole in batches:
-            for part in chunks(whole, "text"):
+            for part in chunks(whole, "text", POOL_BYTES):
                 got = net.value.score(pooled(table.value, *utf8(part.column("text"))))
                 yield pa.RecordBatch.from_arrays([part.column(name), pa.array(got)], [name, "score"])
 
