@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from robustspark.operators import audit as A
 from robustspark.operators import spatial as S
-from robustspark.plans import cells
+from robustspark.plans import cells, tables
 
 QUERIES, ORACLES = {}, {}
 
@@ -96,6 +96,28 @@ def e11_grounded_values(t):
     return t.documents.select("doc_id", F.when(F.contains(F.lower("text"), F.lower(F.concat(F.lit("the "), "lang"))), F.col("lang")).alias("grounded"))
 
 
+#: The first word of what a user says stands for a finding's quote and for an extracted value.
+_FIRST = {"asked": "select conv_id, turn, regexp_extract(text, '^[^ \\n]+') as word from conversations where role = 'user'"}
+
+
+def asked(t):
+    return t.conversations.filter("role = 'user'").select("conv_id", "turn", F.regexp_extract("text", "^[^ \\n]+", 0).alias("word"))
+
+
+@query("select q.conv_id, q.turn, q.word, min(a.turn) as claim_turn from asked q join conversations a on a.conv_id = q.conv_id and a.role = 'assistant' where length(word) >= 4 and strpos(a.text, word) > 0 group by all", _FIRST)
+def e10_verbatim_quotes(t):
+    findings = asked(t).select(F.col("conv_id").alias("bundle"), F.col("turn").alias("finding"), F.col("word").alias("quote"))
+    claims = t.conversations.filter("role = 'assistant'").select(F.col("conv_id").alias("bundle"), F.col("turn").alias("position"), "text")
+    return A.verbatim(findings, claims).select(F.col("bundle").alias("conv_id"), F.col("finding").alias("turn"), F.col("quote").alias("word"), F.col("claim").alias("claim_turn"))
+
+
+@query(f"select conv_id, turn, case when folded <> '' and contains(answer, folded) then word end as grounded from (select q.conv_id, q.turn, word, {tables.folded_sql('word')} as folded, {tables.folded_sql('a.text')} as answer from asked q join conversations a on a.conv_id = q.conv_id and a.turn = q.turn + 1)", _FIRST)
+def e11_grounded_words(t):
+    answers = t.conversations.select("conv_id", (F.col("turn") - 1).alias("turn"), tables.fold(F.col("text")).alias("answer"))
+    rows = asked(t).join(answers, ["conv_id", "turn"])
+    return rows.select("conv_id", "turn", A.grounded(F.col("word"), tables.fold(F.col("word")), F.col("answer")).alias("grounded"))
+
+
 @query("select doc_id, regexp_matches(text, '[0-9]{16}') as has_number, regexp_matches(text, 'AKIA[A-Z0-9]{16}') as has_key from documents")
 def e12_identity_filter(t):
     return t.documents.select("doc_id", F.col("text").rlike("[0-9]{16}").alias("has_number"), F.col("text").rlike("AKIA[A-Z0-9]{16}").alias("has_key"))

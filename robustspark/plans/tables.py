@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from robustspark.operators import audit as A
 from robustspark.operators import tables as T
 from robustspark.plans import cells
 
@@ -116,7 +117,13 @@ def q15_banned_pattern_scan(t):
 
 
 _MARKS = ("áàâäãéèêëíìîïóòôöõúùûüñç", "aaaaaeeeeiiiiooooouuuunc")
-_FOLD = f"trim(regexp_replace(translate(lower(text), '{_MARKS[0]}', '{_MARKS[1]}'), '[ \\t\\n\\r]+', ' ', 'g'))"
+
+
+def folded_sql(text: str) -> str:
+    return f"trim(regexp_replace(translate(lower({text}), '{_MARKS[0]}', '{_MARKS[1]}'), '[ \\t\\n\\r]+', ' ', 'g'))"
+
+
+_FOLD = folded_sql("text")
 
 
 def fold(text):
@@ -178,6 +185,23 @@ def t7_indicator_rows(t):
     return lines.select("doc_id", "line_no", F.row_number().over(Window.partitionBy("doc_id").orderBy("line_no")).alias("running"))
 
 
+#: Needles looked for in every document.
+NEEDLES = ("token", "licensed under", "rights reserved")
+
+_AROUND = "trim(regexp_replace(substr(text, greatest(0, place - 90) + 1, place + length(needle) + 140 - greatest(0, place - 90)), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))"
+
+
+@query(
+    f"""select doc_id, needle, len(found) > 0 as found, found[1] as first_excerpt, [x for x in found if x <> found[1]][1] as second_excerpt from (select doc_id, needle, [{_AROUND} for place in places] as found
+    from (select doc_id, needle, text, [cast(list_sum([length(p) for p in parts[1:i]]) + (i - 1) * length(needle) as bigint) for i in range(1, len(parts))] as places
+    from (select doc_id, needle, coalesce(text, '') as text, string_split_regex(coalesce(text, ''), '(?i)' || needle) as parts from documents cross join (values {', '.join(f"('{x}')" for x in NEEDLES)}) v(needle))))"""
+)
+def t8_keyword_excerpts(t):
+    found = F.array(*(F.struct(F.lit(x).alias("needle"), A.excerpts(F.col("text"), x).alias("excerpts")) for x in NEEDLES))
+    rows = t.documents.select("doc_id", F.inline(found))
+    return rows.select("doc_id", "needle", (F.size("excerpts") > 0).alias("found"), F.get("excerpts", F.lit(0)).alias("first_excerpt"), F.get("excerpts", F.lit(1)).alias("second_excerpt"))
+
+
 @query("select doc_id, strpos(lower(text), 'token') > 0 as found, case when strpos(lower(text), 'token') > 0 then substr(text, greatest(1, strpos(lower(text), 'token') - 20), 20 + least(0, strpos(lower(text), 'token') - 21) + 45) end as snippet from documents")
 def t8_keyword_windows(t):
     at = F.instr(F.lower("text"), "token")

@@ -1,5 +1,8 @@
 """Rules that the tables do not reach: golden portfolios, strata, planted boxes, missing data, geometry."""
 
+import random
+import re
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -59,6 +62,31 @@ def test_missing_capacity_never_breaks_a_tie(spark):
     assert withheld["rec_share"] is None
 
 
+def test_excerpts_are_those_of_a_plain_search(spark):
+    def plain(text, needle):
+        found = []
+        for m in re.finditer(re.escape(needle), text or "", re.IGNORECASE):
+            snippet = " ".join(text[max(0, m.start() - 90) : m.end() + 140].split())
+            if snippet not in found:
+                found.append(snippet)
+        return found[:2]
+
+    rng = random.Random(5)
+    texts = [None, "", "token", "TOKENtoken", "a.b\n\n a.b", "axb", " token" * 60, "é" * 200 + "Token" + "\t" * 200 + "tOKEN"]
+    texts += [" ".join(rng.choice(["token", "Token.", "a.b", "a", "é\n", "word"]) for _ in range(n)) for n in (3, 40, 200)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    for needle in ("token", "a.b"):
+        got = {r["i"]: r["x"] for r in rows.select("i", audit.excerpts(F.col("t"), needle).alias("x")).collect()}
+        assert got == {i: plain(t, needle) for i, t in enumerate(texts)}
+
+
+def test_verbatim_takes_the_first_claim_and_whole_quotes(spark):
+    findings = spark.createDataFrame([(1, 0, " has it "), (1, 1, "has it not"), (1, 2, "has"), (2, 0, "has it"), (1, 3, "has it"), (1, 4, None)], "bundle int, finding int, quote string")
+    claims = spark.createDataFrame([(1, 5, "who has it"), (1, 2, "has it all"), (1, 0, "HAS IT"), (2, 0, None)], "bundle int, position int, text string")
+    got = sorted((r["bundle"], r["finding"], r["claim"]) for r in audit.verbatim(findings, claims).collect())
+    assert got == [(1, 0, 2), (1, 3, 2)]
+
+
 def test_numbers_and_rings(spark):
     row = spark.createDataFrame([("Suma 5.000 y 2,87 de 17 casos en S3-7.0",)], "t string")
     got = row.select(audit.numbers(F.col("t")).alias("n")).first()["n"]
