@@ -108,13 +108,13 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([part.column("conv"), part.column("piece"), pa.array(names, pa.binary())], ["conv", "piece", "name"])
 
 
-def _piece_tops(pieces: DataFrame, full: int) -> DataFrame:
+def _piece_tops(pieces: DataFrame, full: int, size: int) -> DataFrame:
     """(conv, piece, top): the name of the prefix before each piece but the first, and after the last if that is full.
 
     The recursion over the first cuts: names of spans of 2^k pieces upward, then names of cut prefixes downward. ``full`` is
     the most full pieces that a conversation has.
     """
-    spans = [cut(pieces.filter(F.size("names") == PIECE).mapInArrow(_digests, "conv long, piece long, name binary"))]
+    spans = [cut(pieces.filter(F.size("names") == size).mapInArrow(_digests, "conv long, piece long, name binary"))]
     while full >> len(spans):
         pairs = spans[-1].groupBy("conv", F.shiftright("piece", 1).alias("piece")).agg(F.count("*").alias("n"), F.min_by("name", "piece").alias("a"), F.max_by("name", "piece").alias("b"))
         spans.append(cut(pairs.filter("n = 2").select("conv", "piece", _both(F.col("a"), F.col("b")).alias("name"))))
@@ -126,39 +126,44 @@ def _piece_tops(pieces: DataFrame, full: int) -> DataFrame:
     return tops.filter("piece > 0")
 
 
-def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every prefix that ends within a piece: its name, its parent's, and what its last turn holds."""
-    for whole in batches:
-        for at in range(0, whole.num_rows, 1000):
-            conv, depth, node, parent, size, length = ([] for _ in range(6))
-            for r in whole.slice(at, 1000).to_pylist():
-                top, out = r["top"] or ROOT, []
-                _prefixes(r["names"], 0, PIECE, top, out)
-                if r["bottom"] is not None:
-                    out[-1] = r["bottom"]
-                n = len(out)
-                conv += [r["conv"]] * n
-                depth += range(r["piece"] * PIECE + 1, r["piece"] * PIECE + n + 1)
-                node += out
-                parent += [top, *out[:-1]]
-                size += r["sizes"]
-                length += [r["length"]] * n
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((conv, depth, node, parent, size, length), (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64()), strict=True)], ["conv", "depth", "node", "parent", "n_chars", "length"])
-
-
-def paths(convs: DataFrame, turns: DataFrame) -> DataFrame:
+def _named(size: int):  # noqa: ANN202
+    """Every prefix that ends within a piece of ``size`` turns: its name, its parent's, and what its last turn holds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                conv, depth, node, parent, chars, length = ([] for _ in range(6))
+                for r in whole.slice(at, 1000).to_pylist():
+                    top, out = r["top"] or ROOT, []
+                    _prefixes(r["names"], 0, size, top, out)
+                    if r["bottom"] is not None:
+                        out[-1] = r["bottom"]
+                    n = len(out)
+                    conv += [r["conv"]] * n
+                    depth += range(r["piece"] * size + 1, r["piece"] * size + n + 1)
+                    node += out
+                    parent += [top, *out[:-1]]
+                    chars += r["sizes"]
+                    length += [r["length"]] * n
+                columns = zip((conv, depth, node, parent, chars, length), (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64()), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in columns], ["conv", "depth", "node", "parent", "n_chars", "length"])
+
+    return run
+
+
+def paths(convs: DataFrame, turns: DataFrame, size: int = PIECE) -> DataFrame:
     """(conv, depth, node, parent, n_chars, length): every prefix of every conversation, the empty one included."""
-    pieces = turns.groupBy("conv", F.floor((F.col("place") - 1) / PIECE).alias("piece")).agg(F.array_sort(F.collect_list(F.struct("place", "name", "n_chars"))).alias("all"))
+    pieces = turns.groupBy("conv", F.floor((F.col("place") - 1) / size).alias("piece")).agg(F.array_sort(F.collect_list(F.struct("place", "name", "n_chars"))).alias("all"))
     pieces = cut(pieces.select("conv", "piece", F.col("all.name").alias("names"), F.col("all.n_chars").alias("sizes")))
-    lengths = pieces.groupBy("conv").agg(F.max(F.col("piece") * PIECE + F.size("names")).alias("length"))
-    full = pieces.filter(F.size("names") == PIECE).agg(F.max("piece")).first()[0]
+    lengths = pieces.groupBy("conv").agg(F.max(F.col("piece") * size + F.size("names")).alias("length"))
+    full = pieces.filter(F.size("names") == size).agg(F.max("piece")).first()[0]
     rows = pieces.join(lengths, "conv")
     if full is None:
         rows = rows.withColumns({"top": F.lit(None).cast("binary"), "bottom": F.lit(None).cast("binary")})
     else:
-        tops = _piece_tops(pieces, full + 1)
+        tops = _piece_tops(pieces, full + 1, size)
         rows = rows.join(tops, ["conv", "piece"], "left").join(tops.select("conv", (F.col("piece") - 1).alias("piece"), F.col("top").alias("bottom")), ["conv", "piece"], "left")
-    below = rows.select("conv", "piece", "names", "sizes", "length", "top", "bottom").mapInArrow(_named, "conv long, depth long, node binary, parent binary, n_chars long, length long")
+    below = rows.select("conv", "piece", "names", "sizes", "length", "top", "bottom").mapInArrow(_named(size), "conv long, depth long, node binary, parent binary, n_chars long, length long")
     tops = convs.join(lengths, "conv", "left").select("conv", F.lit(0).cast("long").alias("depth"), F.lit(ROOT).alias("node"), F.lit(None).cast("binary").alias("parent"), F.lit(0).cast("long").alias("n_chars"), F.coalesce("length", F.lit(0)).alias("length"))
     return tops.unionByName(below)
 
@@ -190,7 +195,7 @@ def member_lists(rows: DataFrame) -> DataFrame:
 SPAN = 16
 
 
-def grafted(nodes: DataFrame, path: DataFrame, deepest: int) -> DataFrame:
+def grafted(nodes: DataFrame, path: DataFrame, deepest: int, digits: int = SPAN) -> DataFrame:
     """(node, leaves, saved): the sums of ``nodes (node, owner, depth, leaves, saved)`` over their subtrees.
 
     A node sends its total, complete but for its own block, in the round of its depth's lowest binary digit.
@@ -199,7 +204,7 @@ def grafted(nodes: DataFrame, path: DataFrame, deepest: int) -> DataFrame:
     sums = [F.sum("leaves").alias("leaves"), F.sum("saved").alias("saved")]
     received = None
     for k in range(deepest.bit_length()):
-        low = min(k, SPAN)
+        low = min(k, digits)
         rows = nodes.select("node", "owner", "depth", "leaves", "saved")
         if received is not None:
             rows = rows.unionByName(received, allowMissingColumns=True)
@@ -214,22 +219,23 @@ def grafted(nodes: DataFrame, path: DataFrame, deepest: int) -> DataFrame:
     return (every if received is None else every.unionByName(received)).groupBy("node").agg(*sums)
 
 
-def prefix_trie(conversations: tuple[DataFrame, DataFrame]) -> DataFrame:
+def prefix_trie(conversations: tuple[DataFrame, DataFrame], size: int = PIECE, digits: int = SPAN) -> DataFrame:
     """One row per distinct prefix of the conversations: (convs ``conv``; turns ``conv, place, name, n_chars``).
 
     Columns: conv_id, the smallest conversation that starts with it; depth; parent_conv_id, that of its parent (null for
     the empty prefix); n_convs, conversations that start with it; n_children; n_leaves, nodes of its subtree without
     children; saved_tokens, code points of last turns that all but one conversation need not store, over its subtree;
     ends_sha256, the digest of the ids of the conversations that end with it. No conversations give no rows.
+    ``size`` is the number of turns that are held as one array, a power of two.
     """
-    path = cut(paths(*conversations))
+    path = cut(paths(*conversations, size))
     first = lambda c: F.any_value(c).alias(c)
     nodes = cut(path.groupBy("node").agg(F.min("conv").alias("owner"), F.count("*").alias("n_convs"), first("depth"), first("parent"), first("n_chars")))
     children = nodes.filter("parent is not null").groupBy("parent").agg(F.count("*").alias("n_children")).withColumnRenamed("parent", "node")
     nodes = cut(nodes.join(children, "node", "left").withColumn("n_children", F.coalesce("n_children", F.lit(0))))
     worth = nodes.select("node", "owner", "depth", (F.col("n_children") == 0).cast("long").alias("leaves"), ((F.col("n_convs") - 1) * F.col("n_chars")).alias("saved"))
     deepest = nodes.agg(F.max("depth")).first()[0] or 0
-    totals = grafted(worth, path, deepest)
+    totals = grafted(worth, path, deepest, digits)
     ends = member_lists(path.filter("depth = length").select("node", "conv"))
     parents = nodes.select(F.col("node").alias("parent"), F.col("owner").alias("parent_conv_id"))
     out = nodes.join(totals, "node").join(ends, "node", "left").join(parents, "parent", "left")
