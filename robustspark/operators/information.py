@@ -92,22 +92,6 @@ def entry_signal(rows: DataFrame, label: str, columns: Sequence[str], observable
     return out
 
 
-def site_change_share(worlds: DataFrame, cells: DataFrame, place: Callable[[DataFrame, tuple[str, ...]], DataFrame], least: float = 0.2) -> DataFrame:
-    """Per measure its units in World 0, the share of worlds that place it elsewhere, and whether its site is better left open.
-
-    ``worlds`` have the array ``shifted``. Placement is done once per pattern of shifts that occurs, not per world.
-    """
-    patterns = worlds.groupBy(F.array_join("shifted", ",").alias("pattern")).agg(F.count("*").alias("n"), F.first("shifted").alias("shifted"))
-    moved = cells.crossJoin(F.broadcast(patterns.select("pattern", "shifted")))  # patterns are few
-    moved = moved.select("pattern", "unit_id", "dimension_id", F.least(F.lit(5), F.col("class_no") + F.array_contains("shifted", F.col("unit_id")).cast("int")).alias("class_no"))
-    units = F.array_join(F.array_sort(F.collect_list("unit_id")), ",")
-    at = place(moved, ("pattern",)).groupBy("pattern", "measure_id").agg(units.alias("at"))
-    at0 = place(cells, ()).groupBy("measure_id").agg(units.alias("world0_units"))
-    rows = at.join(patterns.select("pattern", "n"), "pattern").join(at0, "measure_id")
-    changed = F.sum(F.when(F.col("at") != F.col("world0_units"), F.col("n")).otherwise(0)) / F.sum("n")
-    return rows.groupBy("measure_id", "world0_units").agg(changed.alias("changed")).withColumn("decide_later", F.contains("world0_units", F.lit(",")) | (F.col("changed") >= least))
-
-
 def reserve_rule(signals: DataFrame, delay_cost: float) -> DataFrame:
     """``signals`` with a decision: a value of waiting above its cost is reserved for, or watched if it is exploratory."""
     above = F.coalesce(F.col("value_of_waiting") > delay_cost, F.lit(False))

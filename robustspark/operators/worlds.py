@@ -51,19 +51,21 @@ def dirichlet(uniforms: list[Column]) -> Column:
     return F.transform(draws, lambda x: x * len(uniforms) / total)
 
 
-def world_terms(worlds: DataFrame, terms: DataFrame) -> DataFrame:
+def world_terms(worlds: DataFrame, terms: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """One row per world with the arrays, by measure_no, of vulnerability and of recurrence plus co-benefit.
 
-    ``terms`` is the small catalogue with class_no, rec_share, cob_class and mismatch.
+    ``terms`` is the small catalogue with class_no, rec_share, cob_class and mismatch; an unknown class is worth nothing.
+    With ``by``, it has a row for each measure and value of these columns, and the arrays are in that order.
     """
-    catalogue = terms.agg(F.array_sort(F.collect_list(F.struct("measure_no", "dimension_id", "class_no", "rec_share", "cob_class", "mismatch"))).alias("all"))
+    catalogue = terms.agg(F.array_sort(F.collect_list(F.struct("measure_no", *by, "dimension_id", "class_no", "rec_share", "cob_class", "mismatch"))).alias("all"))
     w = F.col
 
     def vuln(m: Column) -> Column:
         flag = (w("scenario") == 1) & ((m["measure_no"] + w("world_id")) % 3 == 0)
         weight = 0.5 + 0.1 * ((w("world_id") * 5 + F.length(m["dimension_id"])) % 11)
         effect = 0.7 + 0.03 * ((w("world_id") * 7 + m["measure_no"] * 3) % 11)
-        return micro(w("w_vuln") * weight * class_score(shifted(m["class_no"], flag), w("gamma")) * effect * F.when(m["mismatch"], w("mismatch_w")).otherwise(1.0))
+        score = class_score(shifted(m["class_no"], flag), w("gamma"))
+        return F.coalesce(micro(w("w_vuln") * weight * score * effect * F.when(m["mismatch"], w("mismatch_w")).otherwise(1.0)), F.lit(0))
 
     flat = lambda m: F.coalesce(micro(w("w_rec") * m["rec_share"]), F.lit(0)) + F.coalesce(micro(w("cob_w") * (m["cob_class"] / 5.0)), F.lit(0))
     return worlds.crossJoin(F.broadcast(catalogue)).select("world_id", "scenario", "penalty", F.transform("all", vuln).alias("vuln"), F.transform("all", flat).alias("flat"))

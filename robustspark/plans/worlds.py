@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from robustspark.operators import boxes, information
+from robustspark.operators import boxes, information, sites
 from robustspark.operators import cells as C
 from robustspark.operators import portfolios as P
 from robustspark.operators import worlds as W
@@ -431,10 +431,74 @@ _MOVES = {
 }
 
 
+def placements(t):
+    """Where each tied pattern of units that occurs in the worlds ends, by measure."""
+    patterns = sites.tied_patterns(W.with_shifts(t.worlds, t.units), t.cells())
+    return sites.placement_lookup(t.measures, patterns, t.capacity(), t.coverage(), t.matches(), t.model)
+
+
+def world0_units(t):
+    return t.placed().groupBy("measure_id").agg(F.array_join(F.array_sort(F.collect_list("unit_id")), ",").alias("world0_units"))
+
+
+@query("select measure_id, pattern, class_no, sited as candidates, count(*) as n_worlds from (select world_id, measure_id, string_agg(unit_id, ',' order by unit_id) as pattern, any_value(class_no) as class_no from m1 group by all) join moved_to using (world_id, measure_id) group by all", cells.upto("placed") | _MOVES)
+def c6_placement_lookup(t):
+    return placements(t)
+
+
 @query("select measure_id, at0 as world0_units, avg(case when sited <> at0 then 1.0 else 0.0 end) as changed, bool_or(at0 like '%,%') or avg(case when sited <> at0 then 1.0 else 0.0 end) >= 0.2 as decide_later from moved_to join at0 using (measure_id) group by all", cells.upto("placed") | _MOVES)
 def a3_site_change_share(t):
-    place = lambda cells_, by: C.place_measures(t.measures, cells_, t.capacity(), t.coverage(), t.matches(), t.model, by)
-    return information.site_change_share(W.with_shifts(t.worlds, t.units), t.cells(), place)
+    changes = sites.site_changes(placements(t), world0_units(t))
+    return changes.withColumn("decide_later", F.contains("world0_units", F.lit(",")) | (F.col("changed") >= 0.2))
+
+
+_SITES = {
+    "star_members": "select m.*, scope <> 'corridor' as free from measures m cross join star0 where (star >> measure_no) & 1 = 1",
+    "site_terms": """select m.measure_id, m.measure_no, m.dimension_id, m.free, u.unit_id, c.class_no, case when v.records >= min_records then case when denominator > 0 then coalesce(matches, 0) / denominator else 0.0 end end as rec_share, o.class_no as cob_class,
+        needed is not null and lever <> 'S+CA' and lever <> needed as mismatch from star_members m cross join units u cross join model cross join denom left join cells c on c.unit_id = u.unit_id and c.dimension_id = m.dimension_id left join coverage v on v.unit_id = u.unit_id
+        left join matches t on t.unit_id = u.unit_id and t.measure_id = m.measure_id left join cells o on o.unit_id = u.unit_id and o.dimension_id = m.cob_dim left join profiles p on p.unit_id = u.unit_id and p.dimension_id = m.dimension_id where m.free
+        union all select measure_id, measure_no, dimension_id, false, -1, f.class_no, rec_share, cob_class, mismatch from facts f join (select measure_id, free from star_members where not free) using (measure_id)""",
+    "site_base": "select w.*, f.*, least(5, class_no + case when scenario = 1 and (measure_no + world_id) % 3 = 0 then 1 else 0 end) / 5.0 as cs from worlds w cross join site_terms f",
+    "site_worlds": """select world_id, penalty, measure_id, dimension_id, free, unit_id, coalesce(cast(floor(w_vuln * (0.5::double + 0.1::double * ((world_id * 5 + length(dimension_id)) % 11)) * (case when gamma = 2 then cs * cs else cs end)
+        * (0.7::double + 0.03::double * ((world_id * 7 + measure_no * 3) % 11)) * (case when mismatch then mismatch_w else 1.0 end) * 1e6 + 0.5) as bigint), 0) as vuln,
+        coalesce(cast(floor(w_rec * rec_share * 1e6 + 0.5) as bigint), 0) + coalesce(cast(floor(cob_w * (cob_class / 5.0) * 1e6 + 0.5) as bigint), 0) as flat from site_base""",
+    "site_parts": "select *, vuln + flat as total, cast(floor(vuln * penalty + 0.5) as bigint) + flat as rest from site_worlds",
+    # a dimension has two measures at most in these bindings, so its variants are pairs of sites
+    "site_pairs": """select a.world_id, a.dimension_id, a.measure_id as m1, a.unit_id as u1, b.measure_id as m2, b.unit_id as u2, case when a.total >= b.total then a.total + b.rest else a.rest + b.total end as score from site_parts a join site_parts b on a.world_id = b.world_id and a.dimension_id = b.dimension_id and a.measure_id < b.measure_id
+        union all select world_id, dimension_id, measure_id, unit_id, null, null, total from site_parts where dimension_id in (select dimension_id from star_members group by all having count(*) = 1)""",
+    "site_tops": "select world_id, dimension_id, max(score) as top from site_pairs group by all",
+    "site_given": "select world_id, dimension_id, measure_id, unit_id, max(score) as given from (select world_id, dimension_id, m1 as measure_id, u1 as unit_id, score from site_pairs union all select world_id, dimension_id, m2, u2, score from site_pairs where m2 is not null) group by all",
+    # the other dimensions add the same to every site of a measure, so they don't decide which is best
+    "site_wins": "select g.world_id, g.measure_id, count(*) as n_best, min(unit_id) as unit_id from site_given g join site_tops t on t.world_id = g.world_id and t.dimension_id = g.dimension_id and given = top join star_members m on m.measure_id = g.measure_id and free group by all",
+    "variants": "select m.measure_id, u.unit_id, count(w.world_id) filter (where n_best = 1 and w.unit_id = u.unit_id) / count(*) as best_share, count(*) filter (where n_best > 1) / count(*) as tie_share, cast((select count(*) from units) ** (select count(*) from star_members where free) as bigint) as n_variants from star_members m cross join units u join site_wins w on w.measure_id = m.measure_id where free group by all",
+}
+
+
+def location_variants(t):
+    """The best set of World 0 with its members moved over all units."""
+    star = t.best().first()["set_id"]
+    facts = sites.site_facts(t.measures, t.units, t.cells(), t.coverage(), t.matches(), t.model, t.denominator(), t.profiles())
+    own = t.facts().withColumn("unit_id", F.lit(sites.OWN)).select(*facts.columns)
+    catalogue = cells.small(facts.unionByName(own))
+    members = [(r["measure_no"], r["measure_id"], r["dimension_id"], r["scope"] != "corridor") for r in t.measures.collect() if star >> r["measure_no"] & 1]
+    units = sorted(r["unit_id"] for r in t.units.select("unit_id").collect())
+    return sites.location_variants(W.world_terms(t.worlds, catalogue, ("unit_id",)), members, units)
+
+
+@query("select * from variants", upto("star0") | _SITES)
+def a2_location_variants(t):
+    return location_variants(t)
+
+
+@query("""select measure_id, world0_units, changed, best_elsewhere, tie_share, tied, coalesce(case when withheld then near end, at_site, 'gap-sites') as resolving_gap from (select measure_id, at0 as world0_units, at0 like '%,%' as tied, changed, sum(case when list_contains(string_split(at0, ','), cast(unit_id as varchar)) then 0.0 else best_share end) as best_elsewhere, max(tie_share) as tie_share
+    from variants join (select measure_id, at0, avg(case when sited <> at0 then 1.0 else 0.0 end) as changed from moved_to join at0 using (measure_id) group by all) using (measure_id) group by all) join (select measure_id, rec_share is null as withheld from facts) using (measure_id)
+    left join (select measure_id, min(gap_id) filter (where kind = 'dependency') as near, min(gap_id) filter (where kind = 'site') as at_site from gap_measures join gaps using (gap_id) group by all) using (measure_id) where tied or changed >= 0.2 or best_elsewhere >= 0.2""", upto("star0") | _SITES | _MOVES)
+def a3_decide_site_later(t):
+    later = sites.decide_later(sites.site_changes(placements(t), world0_units(t)), location_variants(t))
+    kinds = t.gap_measures.join(t.gaps, "gap_id").groupBy("measure_id").agg(F.min(F.when(F.col("kind") == "dependency", F.col("gap_id"))).alias("near"), F.min(F.when(F.col("kind") == "site", F.col("gap_id"))).alias("at_site"))
+    rows = later.join(t.facts().select("measure_id", F.col("rec_share").isNull().alias("withheld")), "measure_id").join(kinds, "measure_id", "left")
+    gap = F.coalesce(F.when(F.col("withheld"), F.col("near")), "at_site", F.lit("gap-sites"))
+    return rows.select("measure_id", "world0_units", "changed", "best_elsewhere", "tie_share", "tied", gap.alias("resolving_gap"))
 
 
 @query("select measure_id, parameter, corrected_pct as value_of_waiting, case when not corrected_pct > 0.0001::double then 'spend' when parameter = 'gamma' then 'watch' else 'reserve' end as decision from (select measure_id, case measure_no % 3 when 0 then 'w_vuln' when 1 then 'penalty' else 'gamma' end as parameter from measures) join evppi using (parameter)", upto("wscores") | _EVPPI)

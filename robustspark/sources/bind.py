@@ -43,14 +43,14 @@ BINDINGS = {
         case p_partkey % 3 when 0 then 'S' when 1 then 'CA' else 'S+CA' end as lever,
         case when p_partkey % 2 = 0 then {segment('(p_partkey + 1)')} end as cob_dim from part where p_partkey < 10""",
     "metric_rows": """select c_custkey as row_no, c_nationkey as unit_id, c_mktsegment as dimension_id, case when c_custkey % 3 <> 0 then c_acctbal / 10000 end as value,
-        case when c_custkey % 5 <> 0 then least(5, greatest(1, cast(floor(c_acctbal / 2000) as int) + 1)) end as class_no from customer""",
+        case when c_custkey % 5 <> 0 then greatest(1, least(5, cast(floor(c_acctbal / 2430) as int) + 1) - case c_mktsegment when 'BUILDING' then 1 when 'FURNITURE' then 2 when 'MACHINERY' then 1 else 0 end) end as class_no from customer""",
     "capacity_rows": f"select s_suppkey as row_no, s_nationkey as unit_id, {segment('s_suppkey')} as dimension_id, case when s_suppkey % 4 <> 0 then s_acctbal end as value from supplier",
     "records": """select o_orderkey as record_id, c_nationkey as unit_id, case when o_orderkey % 7 < 3 then concat('m', o_orderkey % 10) end as measure_id,
         case when o_orderstatus <> 'P' then cast(floor(o_totalprice) as bigint) end as investment, o_orderpriority as label, year(o_orderdate) as yr, o_orderstatus as plan from orders join customer on o_custkey = c_custkey""",
-    "model": "select cast(floor(count(*) / 25) as bigint) as min_records from orders",
+    "model": "select cast(floor(count(*) / 28) as bigint) as min_records from orders",
     "fund": "select cast(floor(sum(cost) * 4 / 10) as bigint) as budget from measures",
-    "readings": """select n_nationkey as unit_id, dimension_id, case when (n_nationkey + dim_no) % 3 = 0 then null else (n_nationkey * 2 + dim_no) % 5 + 1 end as s_level,
-        case when (n_nationkey + dim_no) % 4 = 0 then null else (n_nationkey + dim_no * 3) % 3 + 1 end as ca_level from nation cross join dims where (n_nationkey + dim_no) % 5 <> 0""",
+    "readings": """select n_nationkey as unit_id, dimension_id, case when (n_nationkey + dim_no) % 3 = 0 then null else (n_nationkey * 3 + dim_no) % 5 + 1 end as s_level,
+        case when (n_nationkey + dim_no) % 4 = 0 then null else (n_nationkey + dim_no) % 3 + 1 end as ca_level from nation cross join dims where (n_nationkey + dim_no) % 5 <> 0""",
     "gaps": "select concat('gap', s_suppkey) as gap_id, s_suppkey as gap_no, case s_suppkey % 3 when 0 then 'dependency' when 1 then 'site' else 'model' end as kind from supplier",
     "gap_measures": "select distinct gap_id, measure_id from (select gap_id, gap_no % 10 as m from gaps union all select gap_id, (gap_no * 7 + 3) % 10 as m from gaps) g join measures on m = measure_no",
     "spec_gaps": f"select {parameter('s_nationkey')} as parameter, concat('gap', s_suppkey) as gap_id from supplier where s_acctbal < 5000",

