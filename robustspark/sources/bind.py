@@ -34,6 +34,14 @@ def parameter(x: str) -> str:
     return f"case {x} % 3 when 0 then 'w_vuln' when 1 then 'penalty' else 'gamma' end"
 
 
+def thousands(x: str) -> str:
+    """A whole number below a million with a point for thousands."""
+    return f"concat(cast(floor(({x}) / 1000) as bigint), '.', lpad(cast(({x}) % 1000 as string), 3, '0'))"
+
+
+_TOTAL, _TENTHS = "cast(round(o_totalprice) as bigint) + case when o_orderkey % 5 = 0 then 7 else 0 end", "cast(round(o_totalprice / 1000) as bigint)"
+_NOTED = "(o_orderkey % 900000 + 1234)"
+
 BINDINGS = {
     "units": "select n_nationkey as unit_id, n_name as unit_name, n_regionkey as region_id from nation",
     "dims": f"select {segment('n_nationkey')} as dimension_id, n_nationkey as dim_no from nation where n_nationkey < 5",
@@ -57,6 +65,16 @@ BINDINGS = {
     "params": """select case r_regionkey when 0 then 'q' when 1 then 'd' when 2 then 'x' when 3 then 'p' else 'none' end as name, r_regionkey as param_no,
         case r_regionkey when 1 then 'exploratory' when 2 then 'assumption' else 'institutional' end as evidence from region""",
     "param_gaps": "select name, concat('gap', n_nationkey % 7) as gap_id, n_nationkey as gap_no from nation join params on n_regionkey = param_no",
+    "outputs": f"""select concat('run', o_custkey % 40) as run, case o_custkey % 3 when 0 then 'find' when 1 then 'compare' else 'simulate' end as tool, concat('fp', o_custkey) as fingerprint, o_custkey % 4 as label_no,
+        concat('{{"orders": [', string_agg(concat('{{"key": ', o_orderkey, ', "total": ', o_totalprice, ', "share": ', o_totalprice / 1000000, ', "note": "balance of ', {thousands(_NOTED)}, ',5 left", "open": true, "next": null}}'), ', '), '], "summary": {{"sizes": [', count(*), ', [0.25]]}}}}') as result from orders group by o_custkey""",
+    "claims": f"""select concat('prod', o_custkey % 50) as product, o_orderkey as claim, o_custkey, o_totalprice, {thousands(_TOTAL)} as shown1, {_TOTAL} as value1, concat(cast(floor(({_TENTHS}) / 10) as bigint), ',', ({_TENTHS}) % 10, ' %') as shown2, ({_TENTHS}) / 10 as value2,
+        case when o_orderkey % 13 = 0 then null when o_orderkey % 11 = 0 then concat('zz', o_custkey) when o_orderkey % 17 = 0 then 'fixture-1' else concat('fp', o_custkey) end as fingerprint,
+        case when o_orderkey % 13 = 0 and o_orderkey % 2 = 0 then concat('src', o_custkey % 30) when o_orderkey % 12 = 5 then concat('gis-', o_custkey % 30) end as source_id,
+        case o_orderkey % 4 when 1 then o_totalprice when 3 then o_totalprice + 0.2e0 end as stated1, case when o_orderkey % 2 = 1 then o_totalprice / 1000000 end as stated2,
+        case o_orderkey % 5 when 0 then null when 1 then 'Institutional' when 2 then 'Exploratory' when 3 then 'guess' else 'Assumption' end as label, case when o_orderkey % 19 = 0 then 'synthetic_demo' end as provenance,
+        case o_orderkey % 23 when 3 then ' on a synthetic site' when 7 then ' at this site by Acme Ltd' when 11 then ' and it is guaranteed' else '' end as tail from orders""",
+    "claim_texts": "select *, concat('The total was ', shown1, ' and its part ', shown2, ' in 2024', tail) as text from claims",
+    "source_list": "select concat('src', n_nationkey) as source_id, case n_nationkey % 3 when 0 then 'official' else 'press' end as kind from nation union all select concat('gis-', n_nationkey) as source_id, 'official' as kind from nation",
     "worlds": f"""select world_id, scenario, 0.5e0 + 0.4e0 * {stratum(7919, 3)} as w_vuln, 0.05e0 + 0.25e0 * {stratum(6607, 11)} as w_rec, case when {stratum(5417, 29)} < 0.5e0 then 1 else 2 end as gamma,
         0.2e0 + 0.6e0 * {stratum(4409, 5)} as penalty, 0.3e0 * {stratum(3301, 17)} as cob_w, 0.5e0 + 0.5e0 * {stratum(2207, 23)} as mismatch_w, {stratum(1103, 41)} as u_eff, {stratum(9001, 7)} as u_dim
         from (select event_id as world_id, cast(event_id % 2 as int) as scenario from events) e cross join (select count(*) as n from events) c""",
@@ -99,7 +117,7 @@ class Tables:
             return self.base(name)
         if name not in BINDINGS:
             raise AttributeError(name)
-        sql = oracle(f"select * from {name}")
+        sql = oracle(f"select * from {name}").replace("{", "{{").replace("}", "}}")  # braces of JSON texts
         used = [t for t in BASE if re.search(rf"(?:from|join) {t}\b", sql)]
         for t in used:
             sql = re.sub(rf"(from|join) {t}\b", rf"\1 {{{t}}} {t}", sql)
