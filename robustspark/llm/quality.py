@@ -22,7 +22,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from robustspark.llm.common import fresh
 from robustspark.llm.textops import LOWER, chunks, mix, prefix_hashes, range_hashes, release, utf8, words
 
 LETTERS, SHAPES, WIDTH, NONZERO = 4096, 1024, 32, 4
@@ -189,21 +188,25 @@ def train(docs: DataFrame, labels: DataFrame, table) -> Network:  # noqa: ANN001
     return fit(x, np.array([float(y[k] >= 1) for k in keys.tolist()]), mix(keys.view(np.uint64)) % np.uint64(5) == 0)
 
 
-def _scored(rows: DataFrame, labels: DataFrame, key: bool = False) -> DataFrame:
-    """The score of each of ``rows (id, text)`` beside its id, or beside a hash of its text."""
+def _fitted(rows: DataFrame, labels: DataFrame) -> tuple:
+    """The word vectors over ``rows (id, text)`` and the network, as broadcasts of fixed size."""
     context = rows.sparkSession.sparkContext
     table = context.broadcast(word_vectors(rows))
-    net = context.broadcast(train(rows, labels, table))
-    name = "key" if key else "id"
+    return table, context.broadcast(train(rows, labels, table))
+
+
+def _scored(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """The score of each of ``rows (id, text)`` beside its id."""
+    table, net = _fitted(rows, labels)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         for whole in batches:
             for part in chunks(whole, "text", POOL_BYTES):
                 got = net.value.score(pooled(table.value, *utf8(part.column("text"))))
-                yield pa.RecordBatch.from_arrays([part.column(name), pa.array(got)], [name, "score"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(got)], ["id", "score"])
 
-    return rows.select(*([F.xxhash64("text").alias("key")] if key else ["id"]), "text").mapInArrow(score, f"{name} long, score double")
+    return rows.mapInArrow(score, "id long, score double")
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
@@ -218,8 +221,13 @@ def keep_accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
     Scores depend on the text alone, so rows that repeat an id are judged each by its text, and so are rows without an id.
     """
-    key, rejected = F.xxhash64(F.col(text_col)), fresh(docs, "rejected")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    scored = _scored(texts, labels.select(F.col(id_col).cast("long").alias("id"), F.col("quality").cast("int").alias("y")), key=True)
-    gone = scored.filter(F.col("score") < PASS_SCORE).select(F.col("key").alias(rejected)).distinct()
-    return docs.join(gone, key == F.col(rejected), "left_anti")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    table, net = _fitted(rows, labels.select(F.col(id_col).cast("long").alias("id"), F.col("quality").cast("int").alias("y")))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        for whole in batches:
+            for part in chunks(whole, text_col, POOL_BYTES):
+                yield part.filter(pa.array(net.value.score(pooled(table.value, *utf8(part.column(text_col)))) >= PASS_SCORE))
+
+    return docs.mapInArrow(keep, docs.schema)
