@@ -257,13 +257,17 @@ def _search(docs: DataFrame, index: Index) -> DataFrame:
     return docs.mapInArrow(find, COLUMNS)
 
 
+def _indexes(benchmark: DataFrame, item_col: str, item_text_col: str) -> Iterator[Index]:
+    """The index of each block of ``ITEMS`` items."""
+    items = ((r[0], r[1]) for r in benchmark.filter(F.col(item_col).isNotNull()).select(F.col(item_col).cast("long"), folded(F.col(item_text_col))).toLocalIterator())
+    while block := list(islice(items, ITEMS)):
+        yield Index(block)
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row per document: id, passages queried, entries retrieved, whether an item leaks, the leaking item ids and the best match."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), folded(F.col(text_col)).alias("text")).withColumn("key", row_key())
-    items = ((r[0], r[1]) for r in benchmark.filter(F.col(item_col).isNotNull()).select(F.col(item_col).cast("long"), folded(F.col(item_text_col))).toLocalIterator())
-    parts = []
-    while block := list(islice(items, ITEMS)):
-        parts.append(_search(rows, Index(block)))
+    parts = [_search(rows, index) for index in _indexes(benchmark, item_col, item_text_col)]
     if not parts:
         parts.append(_search(rows, Index([])))
     out = parts[0]
@@ -277,8 +281,23 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return out.drop("key").withColumnRenamed("id", id_col)
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents in which no item leaks, all columns kept; null and empty texts stay, and so do repeated rows."""
-    key, leak = F.xxhash64(F.col(text_col)), fresh(docs, "leak")  # ids may be null or repeated, and a leak is a matter of the text alone
-    leaks = decontaminate(docs.select(key.alias("key"), F.col(text_col).alias("text")), benchmark, "key").filter("contaminated").select(F.col("key").alias(leak)).distinct()
-    return docs.join(leaks, key == F.col(leak), "left_anti")
+def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The documents in which no item leaks, all columns kept; null and empty texts stay, and so do repeated rows.
+
+    A leak is a matter of the text alone, so rows go where they are read and nothing is shuffled.
+    """
+    small = fresh(docs, "folded")
+    rows = docs.withColumn(small, folded(F.col(text_col)))
+
+    def clean(shipped):  # noqa: ANN001, ANN202
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for part in chunks(whole, small):
+                    found = shipped.value.hits(*word_hashes(*utf8(part.column(small)), ALNUM))
+                    yield part.filter(pa.array([not x for _, _, x in found], pa.bool_()))
+
+        return run
+
+    for index in _indexes(benchmark, item_col, item_text_col):
+        rows = rows.mapInArrow(clean(docs.sparkSession.sparkContext.broadcast(index)), rows.schema)
+    return rows.drop(small)
