@@ -32,3 +32,40 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, cell: float) -> D
     spread = spread.select("polygon_id", "ring", F.explode(across(F.col("b.x0"), F.col("b.x1"))).alias("cx"), "b").select("polygon_id", "ring", "cx", F.explode(across(F.col("b.y0"), F.col("b.y1"))).alias("cy"))
     keyed = points.withColumns({"cx": F.floor(F.col("x") / cell), "cy": F.floor(F.col("y") / cell)})
     return keyed.join(spread, ["cx", "cy"]).filter(inside(F.col("ring"), F.col("x"), F.col("y"))).select("point_id", "polygon_id")
+
+
+def interior_point(ring: Column) -> Column:
+    """A point inside a closed ring: halfway between the first two crossings of a line between its two lowest heights; null if it is flat."""
+    heights = F.array_sort(F.array_distinct(F.transform(ring, lambda p: p["y"])))
+    level = (F.get(heights, F.lit(0)) + F.get(heights, F.lit(1))) / 2
+
+    def point(y: Column) -> Column:
+        ahead = F.slice(ring, F.lit(2), F.size(ring) - 1)
+        across = F.zip_with(F.slice(ring, F.lit(1), F.size(ring) - 1), ahead, lambda a, b: F.when((a["y"] > y) != (b["y"] > y), (b["x"] - a["x"]) * (y - a["y"]) / (b["y"] - a["y"]) + a["x"]))
+        xs = F.array_sort(F.filter(across, lambda x: x.isNotNull()))
+        return F.when(F.size(xs) >= 2, F.struct(((F.get(xs, F.lit(0)) + F.get(xs, F.lit(1))) / 2).alias("x"), y.alias("y")))
+
+    return F.get(F.transform(F.array(level), point), F.lit(0))
+
+
+def assemble_polygons(rings: DataFrame) -> DataFrame:
+    """(feature_id, shell_no, ring, holes): the polygons of ``rings (feature_id, ring_no, ring)``, holes as sorted ring numbers.
+
+    Rings of under four points are no rings. A negative signed area makes a shell, any other a hole; a feature without
+    shells has its holes as shells. A hole belongs to every shell of its feature that holds a point inside it, found by a
+    join on the cells of a grid that has as many cells over a feature as it has shells; a hole in no shell is left out.
+    """
+    kept = rings.filter(F.size("ring") >= 4).select("feature_id", "ring_no", "ring", (signed_area(F.col("ring")) < 0).alias("negative"), bounds(F.col("ring")).alias("b"))
+    sizes = kept.groupBy("feature_id").agg(
+        F.bool_or("negative").alias("has_shell"), F.count_if("negative").alias("n_shells"), F.min("b.x0").alias("x0"), F.min("b.y0").alias("y0"),
+        F.greatest(F.max("b.x1") - F.min("b.x0"), F.max("b.y1") - F.min("b.y0")).alias("extent"),
+    )
+    cell = F.greatest(F.col("extent") / F.ceil(F.sqrt(F.greatest("n_shells", F.lit(1)))), F.lit(1e-12))
+    rows = kept.join(sizes.withColumn("cell", cell), "feature_id").withColumn("shell", F.col("negative") | ~F.col("has_shell"))
+    at = lambda v, low: F.floor((v - F.col(low)) / F.col("cell"))
+    shells = rows.filter("shell").select("feature_id", F.col("ring_no").alias("shell_no"), "ring", "b", "x0", "y0", "cell")
+    cells = shells.select("feature_id", "shell_no", "ring", "b", "y0", "cell", F.explode(F.sequence(at(F.col("b.x0"), "x0"), at(F.col("b.x1"), "x0"))).alias("cx")).select("feature_id", "shell_no", "ring", "cx", F.explode(F.sequence(at(F.col("b.y0"), "y0"), at(F.col("b.y1"), "y0"))).alias("cy"))
+    points = rows.filter("not shell").withColumn("p", interior_point(F.col("ring"))).filter("p is not null").select("feature_id", F.col("ring_no").alias("hole_no"), "p", at(F.col("p.x"), "x0").alias("cx"), at(F.col("p.y"), "y0").alias("cy"))
+    held = points.join(cells, ["feature_id", "cx", "cy"]).filter(inside(F.col("ring"), F.col("p.x"), F.col("p.y")))
+    holes = held.groupBy("feature_id", "shell_no").agg(F.array_sort(F.collect_list("hole_no")).alias("holes"))
+    return shells.select("feature_id", "shell_no", "ring").join(holes, ["feature_id", "shell_no"], "left").withColumn("holes", F.coalesce("holes", F.array().cast("array<int>")))

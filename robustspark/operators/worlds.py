@@ -19,29 +19,39 @@ from robustspark.operators.cells import class_score, micro, shifted
 TABLE_CELLS = 8_000_000
 
 
+#: Rounds of a keyed permutation, and the prime below which its coefficients are drawn.
+ROUNDS, PRIME = 32, 2**31 - 1
+
+
+def round_keys(key: int) -> list[tuple[int, int, int, int]]:
+    """Of each round: the sum (taken modulo n) of the values that it pairs, and the coefficients of the bit that says whether it swaps them."""
+    rng = np.random.default_rng(key)
+    return [(int(rng.integers(0, 2**62)), *(int(x) for x in rng.integers(1, PRIME, 3))) for _ in range(ROUNDS)]
+
+
 def permuted(x: Column, n: int, key: int) -> Column:
-    """A keyed bijection of 0..n-1 without a sort: Feistel rounds on the next power of four, walked until it falls inside.
+    """A keyed bijection of 0..n-1 for any ``n``, without a sort or shuffle.
 
-    The walk is unrolled; values still outside after it keep their own place through an affine step on the rest.
+    Every round pairs each value with its mirror image and swaps the two or not, as a bit of the larger one says; both
+    partners see the same bit, so a round is a bijection whatever the bits are.
     """
-    half = max(1, (max(2, n - 1).bit_length() + 1) // 2)
-    low = (1 << half) - 1
+    rounds = F.array(*(F.struct(*(F.lit(v).cast("long").alias(c) for v, c in zip(r, "kabc", strict=True))) for r in round_keys(key)))
 
-    def rounds(v: Column) -> Column:
-        left, right = F.shiftright(v, half), v.bitwiseAND(F.lit(low))
-        for r in range(4):
-            left, right = right, left.bitwiseXOR(F.xxhash64(right, F.lit(key * 4 + r)).bitwiseAND(F.lit(low)))
-        return F.shiftleft(left, half).bitwiseOR(right)
+    def swap(v: Column, r: Column) -> Column:
+        mirror = F.pmod(r["k"] % n - v, F.lit(n))
+        top = F.greatest(v, mirror)
+        bit = F.shiftright(F.pmod(F.pmod(top, F.lit(PRIME)) * r["a"] + F.floor(top / PRIME) * r["b"] + r["c"], F.lit(PRIME)), 15).bitwiseAND(F.lit(1))
+        return F.when(bit == 1, mirror).otherwise(v)
 
-    walk = F.sequence(F.lit(1), F.lit(64))
-    return F.aggregate(walk, F.struct(rounds(x).alias("v")), lambda s, _: F.struct(F.when(s["v"] >= n, rounds(s["v"])).otherwise(s["v"]).alias("v")), lambda s: s["v"])
+    return F.aggregate(rounds, x.cast("long"), swap)
 
 
 def latin_hypercube(spark: SparkSession, n: int, dims: int, seed: int) -> DataFrame:
-    """``n`` points with one in each stratum of every dimension; narrow, no sort or shuffle."""
+    """``n`` points with one in each stratum of every dimension: world_id, strata s0.. and coordinates u0..; narrow."""
     points = spark.range(n).withColumnRenamed("id", "world_id")
+    points = points.select("world_id", *(permuted(F.col("world_id"), n, seed * 100 + d).alias(f"s{d}") for d in range(dims)))
     offset = lambda d: F.pmod(F.xxhash64("world_id", F.lit(seed * 1000 + d)), F.lit(1_000_000)) / 1e6
-    return points.select("world_id", *((permuted(F.col("world_id"), n, seed * 100 + d) + offset(d)).alias(f"s{d}") for d in range(dims))).select("world_id", *((F.col(f"s{d}") / n).alias(f"u{d}") for d in range(dims)))
+    return points.select("*", *(((F.col(f"s{d}") + offset(d)) / n).alias(f"u{d}") for d in range(dims)))
 
 
 def dirichlet(uniforms: list[Column]) -> Column:
@@ -51,6 +61,25 @@ def dirichlet(uniforms: list[Column]) -> Column:
     return F.transform(draws, lambda x: x * len(uniforms) / total)
 
 
+def emphasised(uniforms: list[Column], emphasis: Column, first: int, second: int) -> Column:
+    """Weights that average 1; with emphasis the two named places take the two largest, and the others keep their order.
+
+    Of the named places the one with the larger draw (the first if equal) takes the largest weight.
+    """
+    weights = dirichlet(uniforms)
+
+    def placed(w: Column) -> Column:
+        ranked = F.array_sort(F.transform(w, lambda x, i: F.struct((-x).alias("x"), i.alias("i"))))
+        top, next_ = F.get(ranked, F.lit(0)), F.get(ranked, F.lit(1))
+        rest = F.filter(w, lambda x, i: (i != top["i"]) & (i != next_["i"]))
+        lead = F.get(w, F.lit(first)) >= F.get(w, F.lit(second))
+        own = [F.when(lead, -top["x"]).otherwise(-next_["x"]), F.when(lead, -next_["x"]).otherwise(-top["x"])]
+        others = iter(range(len(uniforms)))
+        return F.array(*(own[0] if d == first else own[1] if d == second else F.get(rest, F.lit(next(others))) for d in range(len(uniforms))))
+
+    return F.get(F.transform(F.array(weights), lambda w: F.when(emphasis, placed(w)).otherwise(w)), F.lit(0))
+
+
 def world_terms(worlds: DataFrame, terms: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """One row per world with the arrays, by measure_no, of vulnerability and of recurrence plus co-benefit.
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from robustspark.plans import audit, cells, evidence, portfolios, tables, worlds
+from robustspark.plans import audit, cells, evidence, portfolios, stored, tables, worlds
 
-PLANS = (tables, cells, portfolios, worlds, audit, evidence)
+PLANS = (tables, cells, portfolios, worlds, audit, evidence, stored)
 
 
 def queries() -> dict:

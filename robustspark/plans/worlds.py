@@ -115,6 +115,26 @@ def w1_latin_hypercube(t):
     return rows.groupBy("dim").agg(F.count("*").alias("n_points"), F.countDistinct("stratum").alias("n_strata"))
 
 
+def _round_ctes(seed: int, dims: int) -> dict[str, str]:
+    """The keyed permutations of the worlds' numbers in SQL, round by round."""
+    out = {}
+    for d in range(dims):
+        out[f"p{d}_0"] = "select event_id as x, event_id as v, n from events cross join (select count(*) as n from events)"
+        for k, (m, a, b, c) in enumerate(W.round_keys(seed * 100 + d), 1):
+            bit = f"(((t % {W.PRIME}) * {a} + (t // {W.PRIME}) * {b} + {c}) % {W.PRIME} >> 15) & 1"
+            out[f"p{d}_{k}"] = f"select x, case when {bit} = 1 then m else v end as v, n from (select x, v, n, m, greatest(v, m) as t from (select x, v, n, ({m} % n - v + n) % n as m from p{d}_{k - 1}))"
+    return out
+
+
+@query(f"select world_id, s0, s1, s2, 0.5 + 0.4 * ((s0 + 0.5) / n) as w_vuln, 0.05 + 0.25 * ((s1 + 0.5) / n) as w_rec, case when (s2 + 0.5) / n < 0.5 then 1 else 2 end as gamma from (select x as world_id, v as s0, n from p0_{W.ROUNDS}) join (select x as world_id, v as s1 from p1_{W.ROUNDS}) using (world_id) join (select x as world_id, v as s2 from p2_{W.ROUNDS}) using (world_id)", _round_ctes(11, 3))
+def w1_sampled_design(t):
+    """As many worlds as events, each with its own stratum of every parameter."""
+    n = t.events.count()
+    points = W.latin_hypercube(t.spark, n, 3, 11)
+    mid = lambda d: (F.col(f"s{d}") + 0.5) / n
+    return points.select("world_id", "s0", "s1", "s2", (0.5 + 0.4 * mid(0)).alias("w_vuln"), (0.05 + 0.25 * mid(1)).alias("w_rec"), F.when(mid(2) < 0.5, 1).otherwise(2).alias("gamma"))
+
+
 @query("select world_id, w_vuln, w_rec, gamma, penalty, cob_w, mismatch_w from worlds")
 def w2_scale_params(t):
     n = t.events.count()
@@ -129,6 +149,21 @@ def w3_dirichlet_weights(t):
     return t.worlds.select("world_id", weights.alias("d")).select("world_id", *(F.col("d")[k].alias(f"d{k}") for k in range(3)))
 
 
+_FIVE = ("u_eff", "u_dim", "w_vuln", "penalty", "mismatch_w")
+_EMPHASIS = {
+    "draws": f"select world_id, scenario, [{', '.join(f'-ln(1 - {c})' for c in _FIVE)}] as e from worlds",
+    "weights": "select world_id, scenario, list_transform(e, lambda x: 5 * x / list_sum(e)) as w from draws",
+    "ordered": "select *, list_sort(list_transform(w, lambda x, i: {'x': -x, 'i': i})) as o from weights",
+    "named": "select *, list_filter(w, lambda x, i: i <> o[1].i and i <> o[2].i) as rest, w[2] >= w[4] as lead from ordered",
+}
+
+
+@query("select world_id, unnest([0, 1, 2, 3, 4]) as place, unnest(case when scenario = 1 then [rest[1], case when lead then -o[1].x else -o[2].x end, rest[2], case when lead then -o[2].x else -o[1].x end, rest[3]] else w end) as weight from named", _EMPHASIS)
+def w3_emphasis_weights(t):
+    weights = W.emphasised([F.col(c) for c in _FIVE], F.col("scenario") == 1, 1, 3)
+    return t.worlds.select("world_id", F.posexplode(weights).alias("place", "weight"))
+
+
 _SHIFTS = "scenario = 1 and (u_dim < 0.3 * u_eff + 0.01 * unit_id or unit_id = 0)"
 
 
