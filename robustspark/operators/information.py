@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from robustspark.operators import boxes
+from robustspark.operators import boxes, ranks
 from robustspark.operators.portfolios import member
 from robustspark.operators.worlds import Space, score_worlds
 
@@ -37,6 +37,62 @@ def world0_switching(measures: DataFrame, best: DataFrame, containing: DataFrame
     return out.select("measure_id", "inside", "delta", "own", F.when(F.col("own") > 0, F.col("delta") / F.col("own")).alias("distance"))
 
 
+#: What switching tells of a world and measure, by the worlds that count.
+READINGS = ("distance", "out_distance", "in_distance", "delta", "star_delta", "star_distance")
+
+
+def switching_rows(terms: DataFrame, space: Space, star: int) -> DataFrame:
+    """(measure_no, reading, value): how far each measure is from entering or leaving the best set of each world.
+
+    ``delta`` is what the best set without (or with) the measure falls behind, ``distance`` that as a ratio of the measure's
+    own contribution (null unless positive), ``out_`` and ``in_`` its worlds outside and inside; ``star_`` the same against
+    the set ``star``. Reading ``inside`` is 1 or 0, ``star_beaten`` whether another set is best.
+    """
+    names = (*READINGS, "inside", "star_beaten")
+
+    def reduce(space: Space, part: pa.RecordBatch, table: np.ndarray) -> pa.RecordBatch:
+        vuln, flat = (part.column(c).flatten().to_numpy().reshape(part.num_rows, -1) for c in ("vuln", "flat"))
+        penalty, row = part.column("penalty").to_numpy(), np.arange(part.num_rows)
+        best, at = space.best(table), int(np.flatnonzero(space.set_id == star)[0])
+        top, own_star = table[row, best], table[:, at]
+        out: list[tuple[int, int, np.ndarray]] = []
+        for k in range(space.members.shape[1]):
+            has, none = space.members[:, k] == 1, np.full(part.num_rows, np.nan)
+            with_k = space.best(table, has) if has.any() else None
+            without = space.best(table, ~has) if not has.all() else None
+            score = lambda x: none if x is None else table[row, x].astype(float)
+            adds = lambda x: none if x is None else space.contribution(vuln, flat, penalty, x, k).astype(float)
+            inside, in_star = has[best], bool(has[at])
+            delta = top - np.where(inside, score(without), score(with_k))
+            own = np.where(inside, adds(best), adds(with_k))
+            star_delta = own_star - score(without if in_star else with_k)
+            star_own = adds(np.full(part.num_rows, at) if in_star else with_k)
+            ratio = lambda d, c: np.divide(d, c, out=np.full(len(d), np.nan), where=c > 0)
+            distance = ratio(delta, own)
+            values = (distance, np.where(inside, np.nan, distance), np.where(inside, distance, np.nan), delta, star_delta, ratio(star_delta, star_own), inside.astype(float), (best != at).astype(float))
+            out += [(k, i, v) for i, v in enumerate(values)]
+        column = np.concatenate([v for _, _, v in out])
+        reading = pa.DictionaryArray.from_arrays(pa.array(np.repeat([i for _, i, _ in out], part.num_rows), pa.int32()), pa.array(names)).cast(pa.string())
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat([k for k, _, _ in out], part.num_rows)), reading, pa.array(column, mask=np.isnan(column))], ["measure_no", "reading", "value"])
+
+    return score_worlds(terms, space, reduce, "measure_no long, reading string, value double")
+
+
+def switching_values(rows: DataFrame, measures: DataFrame, star: int) -> DataFrame:
+    """A row per measure from ``switching_rows``: shares and exact quantiles, without sorting or gathering a column."""
+    rows = rows.withColumn("k", F.concat_ws(":", "measure_no", "reading")).persist()
+    means = {r["k"]: r["m"] for r in rows.filter("reading in ('inside', 'star_beaten')").groupBy("k").agg(F.avg("value").alias("m")).collect()}
+    found = ranks.quantiles(rows.filter(F.col("reading").isin(*READINGS)), "k", "value", (0.05, 0.5, 0.95))
+    rows.unpersist()
+    names = [f"{r}_{n}" for r in READINGS for n in ("p5", "median", "p95")]
+    out = []
+    for m in measures.select("measure_id", "measure_no").collect():  # the catalogue
+        k = m["measure_no"]
+        quantile = [found.get((f"{k}:{r}", q)) for r in READINGS for q in (0.05, 0.5, 0.95)]
+        out.append((m["measure_id"], bool(star >> k & 1), means.get(f"{k}:inside"), means.get(f"{k}:star_beaten"), *quantile))
+    return rows.sparkSession.createDataFrame(out, "measure_id string, in_star boolean, share_in_best double, star_beaten_share double, " + ", ".join(f"{n} double" for n in names))
+
+
 def evppi_corrected(terms: DataFrame, space: Space, n: int, bins: dict[str, tuple[int, int, int]]) -> DataFrame:
     """Per parameter (a, b and number of bins of its stratum) the value of knowing it, less the mean over shuffled worlds.
 

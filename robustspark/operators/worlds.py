@@ -135,9 +135,20 @@ class Space:
             table += bonus[:, pattern]
         return table
 
-    def best(self, table: np.ndarray) -> np.ndarray:
-        """Per world the winning set: highest score, then cost, then ids."""
-        return (table * len(self.set_id) - self.tie_rank).argmax(1)
+    def best(self, table: np.ndarray, among: np.ndarray | None = None) -> np.ndarray:
+        """Per world the winning set (of the sets ``among``): highest score, then cost, then ids."""
+        if among is None:
+            return (table * len(self.set_id) - self.tie_rank).argmax(1)
+        own = np.flatnonzero(among)
+        return own[(table[:, own] * len(self.set_id) - self.tie_rank[own]).argmax(1)]
+
+    def contribution(self, vuln: np.ndarray, flat: np.ndarray, penalty: np.ndarray, chosen: np.ndarray, k: int) -> np.ndarray:
+        """What member k adds to the set chosen in each world."""
+        group = next(g for g in self.groups if k in g)
+        there = self.members[chosen][:, group] == 1
+        total = np.where(there, (vuln + flat)[:, group], np.iinfo(np.int64).min)
+        first = np.array(group)[total.argmax(1)] == k
+        return np.where(first, vuln[:, k], np.floor(vuln[:, k] * penalty + 0.5).astype(np.int64)) + flat[:, k]
 
 
 def score_worlds(terms: DataFrame, space: Space, reduce: Callable[[Space, pa.RecordBatch, np.ndarray], pa.RecordBatch | None], schema: str) -> DataFrame:

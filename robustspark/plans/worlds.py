@@ -392,6 +392,23 @@ def v1_switching_values(t):
     return rows.groupBy("measure_id").agg(F.count_if(F.col("delta") >= 0).alias("worlds_in"), exact(0.5).alias("median_delta"), exact(0.05).alias("p5"), exact(0.95).alias("p95"))
 
 
+_READINGS = {"distance": "distance", "out_distance": "case when not inside then distance end", "in_distance": "case when inside then distance end", "delta": "delta", "star_delta": "star_delta", "star_distance": "star_distance"}
+_SWITCHED = {
+    "alternatives": """select world_id, m.measure_id, max(score) filter (where has) as with_score, max(score) filter (where not has) as without_score, arg_min(set_id, {'s': -score, 'c': cost, 'i': ids}) filter (where has) as with_set
+        from (select *, (set_id >> measure_no) & 1 = 1 as has from wscores cross join (select measure_id, measure_no from measures)) m group by all""",
+    "moves": """select a.*, b.best_set, b.best_score, (b.best_set >> m.measure_no) & 1 = 1 as inside, (star >> m.measure_no) & 1 = 1 as in_star, star, s.score as star_score from alternatives a join measures m using (measure_id) join wbest b using (world_id) cross join star0 join wscores s on s.world_id = a.world_id and s.set_id = star""",
+    "gains": """select v.*, best_score - case when inside then without_score else with_score end as delta, p.part as own, star_score - case when in_star then without_score else with_score end as star_delta, q.part as star_own from moves v
+        left join wparts p on p.world_id = v.world_id and p.measure_id = v.measure_id and p.set_id = case when inside then best_set else with_set end left join wparts q on q.world_id = v.world_id and q.measure_id = v.measure_id and q.set_id = case when in_star then star else with_set end""",
+    "switched": "select *, case when own > 0 then delta / own end as distance, case when star_own > 0 then star_delta / star_own end as star_distance from gains",
+}
+
+
+@query("select measure_id, bool_or(in_star) as in_star, avg(inside::int) as share_in_best, avg((best_set <> star)::int) as star_beaten_share, " + ", ".join(f"quantile_cont(({x})::double, {q}::double) as {r}_{n}" for r, x in _READINGS.items() for n, q in (("p5", 0.05), ("median", 0.5), ("p95", 0.95))) + " from switched group by measure_id", upto("star0") | _SWITCHED)
+def v1_switching_readings(t):
+    star = t.best().first()["set_id"]
+    return information.switching_values(information.switching_rows(t.world_terms(), t.space(), star), t.measures, star)
+
+
 _W0 = {"w0": """select m.measure_id, inside, b.score - case when inside then o.score else c.score end as delta, p.part as own from (select measure_id, (b.set_id >> measure_no) & 1 = 1 as inside from measures cross join best b) m
     cross join best b left join containing c on c.measure_id = m.measure_id left join without o on o.measure_id = m.measure_id left join parts p on p.measure_id = m.measure_id and p.set_id = case when inside then b.set_id else c.set_id end"""}
 
