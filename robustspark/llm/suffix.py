@@ -352,7 +352,7 @@ def _kept_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for part in chunks(whole, "text"):
             rows = []
-            for key, text, ranges in zip(part.column("given").to_pylist(), part.column("text").to_pylist(), part.column("ranges").to_pylist(), strict=True):
+            for key, text, ranges in zip(part.column("id").to_pylist(), part.column("text").to_pylist(), part.column("ranges").to_pylist(), strict=True):
                 raw = (text or "").encode()
                 kept, at, removed, spans = hashlib.sha256(), 0, 0, 0
                 end = -1
@@ -370,26 +370,27 @@ def _kept_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.string() if c == "kept_sha256" else pa.int64()) for c, x in zip(names, zip(*rows, strict=True), strict=True)], names)
 
 
-def _numbered(rows: DataFrame) -> DataFrame:
-    """``rows (given, text)`` with a number ``id`` of each document, in the order of the given ids.
+def _numbered(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """``rows (id, text)`` with a number of each document for its id, in the order of the ids; and (id, given) of the numbers.
 
-    Where no id is null or repeated, it is the id. Else documents, told apart by id and text, are numbered in the order of
-    id (null last), then of the text's digest; a checkpoint fixes the numbers, so that all uses of them agree.
+    Where no id is null or repeated, ids stay and there is no second table. Else documents, told apart by id and text, are
+    numbered in the order of id (null last), then of the text's digest; a checkpoint fixes the numbers, so that all uses of
+    them agree.
     """
-    counts = rows.groupBy("given").agg(F.count("*").alias("n"))
-    if counts.filter("given is null or n > 1").isEmpty():
-        return rows.select(F.col("given").alias("id"), "given", "text")
-    rows = rows.withColumn("digest", F.sha2(F.coalesce("text", F.lit("")), 256))
+    if rows.groupBy("id").agg(F.count("*").alias("n")).filter("id is null or n > 1").isEmpty():
+        return rows, None
+    rows = rows.withColumnRenamed("id", "given").withColumn("digest", F.sha2(F.coalesce("text", F.lit("")), 256))
     order = [F.col("given").asc_nulls_last(), F.col("digest")]
     documents = rows.select("given", "digest").distinct().repartitionByRange(*order).sortWithinPartitions(*order)
     numbers = cut(documents.select(F.col("given").alias("same"), F.col("digest").alias("own"), F.monotonically_increasing_id().alias("id")))
-    return rows.join(numbers, F.col("given").eqNullSafe(F.col("same")) & (F.col("digest") == F.col("own"))).select("id", "given", "text")
+    numbered = rows.join(numbers, F.col("given").eqNullSafe(F.col("same")) & (F.col("digest") == F.col("own"))).select("id", "text")
+    return numbered, numbers.select("id", F.col("same").alias("given"))
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_bytes, n_removed, n_spans, and the digest of the bytes that stay."""
-    # a number that is never null lets both joins below share one exchange of the texts
-    rows = _numbered(docs.select(F.col(id_col).cast("long").alias("given"), F.col(text_col).alias("text")))
+    # an id that is never null lets the joins below share one exchange of the texts
+    rows, numbers = _numbered(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")))
     anchors = rows.filter(f"octet_length(text) >= {WINDOW}").mapInArrow(_anchor_rows, "gram long, id long, times int")
     shared = cut(anchors.groupBy("gram").agg(F.sum("times").alias("n")).filter("n > 1").select("gram", (F.col("n") > HOT).alias("hot")))
     mine = anchors.select("gram", "id").join(shared, "gram").groupBy("id").agg(F.collect_list(F.struct("gram", "hot")).alias("s"))
@@ -400,4 +401,6 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ranges = segments.repartition("gram").sortWithinPartitions("gram").mapInArrow(_sort_groups, "id long, low long, high long")
     ranges = ranges.groupBy("id").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
     out = rows.join(ranges, "id", "left").mapInArrow(_kept_rows, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    if numbers is not None:
+        out = out.join(numbers, "id").select(F.col("given").alias("id"), *(c for c in out.columns if c != "id"))
     return out.withColumnRenamed("id", id_col)
