@@ -1,4 +1,5 @@
-"""Boxes that hold a label (the patient rule induction method): every step is one or two global aggregates over columns.
+"""Boxes that hold a label (the patient rule induction method): a step counts all columns of the box in ranges, mostly in two
+passes over the rows for all labels that are peeled together. No column is sorted or gathered.
 
 A box keeps, by column and in the order in which columns were first restricted, a pair of strict limits; a pair of equal
 limits is the one value of a binary column that is left. Nothing but one row per candidate comes to the driver.
@@ -7,9 +8,11 @@ limits is the one value of a binary column that is left. Nothing but one row per
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
-from dataclasses import dataclass
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,32 +38,145 @@ def box_stats(rows: DataFrame, box: Box, label: str) -> DataFrame:
     return out.select("n", "inside", "hits", (F.col("hits") / F.col("all")).alias("coverage"), (F.col("hits") / F.col("inside")).alias("density"))
 
 
-def order_statistic(n: int, share: float, up: bool) -> float:
-    """The fraction at which ``percentile_disc`` returns the value of place (n - 1) * share, rounded down or up."""
-    place = (n - 1) * share
-    return ((math.ceil(place - 1e-9) if up else math.floor(place + 1e-9)) + 0.5) / n
+#: Parts in which a pass counts the values of a column's range.
+PARTS = 256
 
 
-def peel_candidates(rows: DataFrame, columns: Sequence[str], label: str, alpha: float, n: int, binary: Sequence[str] = ()) -> DataFrame:
-    """Per column and side of ``n`` rows: where a peel would cut, and the count and mean of what it keeps.
+@dataclass
+class Peeling:
+    """One label that is peeled for: its columns, the box so far, and what the steps took."""
+
+    label: str
+    columns: Sequence[str]
+    binary: Sequence[str] = ()
+    box: Box = field(default_factory=dict)
+    kept: int = 0
+    hits: float = 0.0
+    ends: dict[str, tuple[float, float]] = field(default_factory=dict)
+
+
+@dataclass
+class _Cut:
+    """A place sought in a column of a peeling: the range that holds it, and the rows and hits below the range."""
 
-    A column is cut at its order statistics; a binary column loses one of its two values (side ``drop``).
+    owner: int
+    column: str
+    place: int
+    low: float
+    high: float
+    below: int = 0
+    below_hits: float = 0.0
+    count: int = 0
+    count_hits: float = 0.0
+
+
+def _counted(rows: DataFrame, owners: Sequence[Peeling], ranges: Sequence[tuple[int, str, float, float]]) -> dict[int, list[tuple[int, int, float, float, float]]]:
+    """Per range (owner, column, low, high) the rows of the owner's box in it, by part: part, rows, hits, least and greatest value.
+
+    The rows are read once for all ranges; a task sends a row for each part that it meets.
     """
-    if not n:
-        return rows.sparkSession.createDataFrame([], "name string, side string, limit_value double, kept long, mean double")
-    cut = lambda c, q: F.expr(f"percentile_disc({q!r}d) within group (order by `{c}`)")
-    shares = {"low": order_statistic(n, alpha, False), "high": order_statistic(n, 1 - alpha, True)}
-    limits = []
-    for c in columns:
-        limits += [F.min(c).alias(f"{c}_low"), F.max(c).alias(f"{c}_high")] if c in binary else [cut(c, q).alias(f"{c}_{side}") for side, q in shares.items()]
-    wide = rows.select(*dict.fromkeys([*columns, label])).crossJoin(F.broadcast(rows.agg(*limits)))  # one row of limits
-    kept = []
-    for c in columns:
-        for side in shares:
-            limit = F.col(f"{c}_{side}")
-            keep = F.col(c) != limit if c in binary else F.col(c) > limit if side == "low" else F.col(c) < limit
-            kept.append(F.struct(F.lit(c).alias("name"), F.lit("drop" if c in binary else side).alias("side"), F.first(limit).cast("double").alias("limit_value"), F.count_if(keep).alias("kept"), F.avg(F.when(keep, F.col(label))).alias("mean")))
-    return wide.agg(F.array(*kept).alias("all")).select(F.inline("all"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = len(ranges) * PARTS
+        n, hits, least, most = np.zeros(size, np.int64), np.zeros(size), np.full(size, np.inf), np.full(size, -np.inf)
+        for batch in batches:
+            columns = {c: batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in batch.schema.names}
+            for k, owner in enumerate(owners):
+                there = np.ones(batch.num_rows, bool)
+                for name, (low, high) in owner.box.items():
+                    v = columns[name]
+                    there &= v == low if low is not None and low == high else (v > (-np.inf if low is None else low)) & (v < (np.inf if high is None else high))
+                y = columns[owner.label]
+                for r, (own, name, low, high) in enumerate(ranges):
+                    if own != k:
+                        continue
+                    v = columns[name]
+                    at = np.flatnonzero(there & (v >= low) & (v <= high))
+                    v = v[at]
+                    part = np.minimum(PARTS - 1, (v / 2 - low / 2) / (high / 2 - low / 2) * PARTS).astype(np.int64) if low < high else np.zeros(len(v), np.int64)
+                    part += r * PARTS
+                    n += np.bincount(part, minlength=size)
+                    hits += np.bincount(part, y[at], size)
+                    np.minimum.at(least, part, v)
+                    np.maximum.at(most, part, v)
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some]), pa.array(hits[some]), pa.array(least[some]), pa.array(most[some])], ["slot", "n", "hits", "least", "most"])
+
+    parts = rows.mapInArrow(run, "slot long, n long, hits double, least double, most double").groupBy("slot").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"), F.min("least").alias("least"), F.max("most").alias("most"))
+    out: dict[int, list[tuple[int, int, float, float, float]]] = {}
+    for r in sorted(parts.collect(), key=lambda r: r["slot"]):  # at most PARTS for each range
+        out.setdefault(r["slot"] // PARTS, []).append((r["slot"] % PARTS, r["n"], r["hits"], r["least"], r["most"]))
+    return out
+
+
+def candidates(rows: DataFrame, owners: Sequence[Peeling], alpha: float) -> list[list[tuple[str, str, float, int, float]]]:
+    """Per peeling the peels it may take: column, side, where it cuts, and the rows and hits that stay.
+
+    A column is cut at its order statistics within the box; a binary column loses one of its two values (side ``drop``).
+    All peelings share each pass over the rows; a range is counted again only where a place still lies among several values.
+    """
+    first = [(k, c, *o.ends[c]) for k, o in enumerate(owners) for c in o.columns if c in o.ends and o.kept]
+    counted = _counted(rows, owners, first)
+    out: list[list] = [[] for _ in owners]
+    cuts: dict[tuple[int, str, str], _Cut] = {}
+    totals: dict[tuple[int, str], tuple[int, float]] = {}
+    whole: dict[tuple[int, str], list] = {}
+    for r, (k, c, low, high) in enumerate(first):
+        parts = counted.get(r, [])
+        n, hits = sum(p[1] for p in parts), sum(p[2] for p in parts)
+        if not n:
+            continue
+        totals[k, c], whole[k, c] = (n, hits), parts
+        owners[k].ends[c] = (parts[0][3], parts[-1][4])
+        if c in owners[k].binary:
+            continue
+        for side, place in (("low", math.floor((n - 1) * alpha + 1e-9)), ("high", math.ceil((n - 1) * (1 - alpha) - 1e-9))):
+            cuts[k, c, side] = _narrowed(_Cut(k, c, place, low, high), parts)
+    while open_ := sorted({(x.owner, x.column, x.low, x.high) for x in cuts.values() if x.low < x.high}):
+        counted = _counted(rows, owners, open_)
+        number = {r: i for i, r in enumerate(open_)}
+        cuts = {key: _narrowed(x, counted[number[x.owner, x.column, x.low, x.high]]) if x.low < x.high else x for key, x in cuts.items()}
+    for k, c, *_ in first:
+        if (k, c) not in totals:
+            continue
+        n, hits = totals[k, c]
+        if c in owners[k].binary:
+            # the two values are the first and the last part
+            out[k] += [(c, "drop", p[3], n - p[1], hits - p[2]) for p in sorted({whole[k, c][0], whole[k, c][-1]})]
+            continue
+        low, high = cuts[k, c, "low"], cuts[k, c, "high"]
+        out[k].append((c, "low", low.low, n - low.below - low.count, hits - low.below_hits - low.count_hits))
+        out[k].append((c, "high", high.low, high.below, high.below_hits))
+    return out
+
+
+def _narrowed(x: _Cut, parts: Sequence[tuple[int, int, float, float, float]]) -> _Cut:
+    """The cut with the part that holds its place for a range."""
+    below, below_hits = x.below, x.below_hits
+    for _, n, hits, least, most in parts:
+        if x.place < below + n:
+            return _Cut(x.owner, x.column, x.place, least, most, below, below_hits, n, hits)
+        below, below_hits = below + n, below_hits + hits
+    raise AssertionError("a place lies within its range")
+
+
+def peel_candidates(rows: DataFrame, columns: Sequence[str], label: str, alpha: float, n: int, binary: Sequence[str] = ()) -> DataFrame:
+    """Per column and side of ``n`` rows: where a peel would cut, and the count and mean of what it keeps."""
+    one = _started(rows, [Peeling(label, columns, binary)])
+    found = candidates(rows.select(*dict.fromkeys([*columns, label])), one, alpha)[0] if n else []
+    return rows.sparkSession.createDataFrame([(c, s, float(x), k, h / k if k else None) for c, s, x, k, h in found], "name string, side string, limit_value double, kept long, mean double")
+
+
+def _started(rows: DataFrame, owners: list[Peeling]) -> list[Peeling]:
+    """The peelings with the counts of all rows and the ends of their columns, from one pass."""
+    names = list(dict.fromkeys(c for o in owners for c in o.columns))
+    labels = list(dict.fromkeys(o.label for o in owners))
+    ends = [F.struct(F.min(F.col(c).cast("double")).alias("lo"), F.max(F.col(c).cast("double")).alias("hi")).alias(f"e{i}") for i, c in enumerate(names)]
+    r = rows.agg(F.count("*").alias("n"), *ends, *(F.sum(F.col(y).cast("double")).alias(f"h{i}") for i, y in enumerate(labels))).first()
+    for o in owners:
+        o.kept, o.hits = r["n"], r[f"h{labels.index(o.label)}"] or 0.0
+        o.ends = {c: (e["lo"], e["hi"]) for c in o.columns if (e := r[f"e{names.index(c)}"])["lo"] is not None}
+    return owners
 
 
 @dataclass(frozen=True)
@@ -80,40 +196,52 @@ def measured(rows: DataFrame, box: Box, label: str, n: int, hits: float) -> Foun
     return Found(box, r["kept"], r["kept"] / n if n else 0.0, (r["hits"] or 0) / hits if hits else 0.0, (r["hits"] or 0) / r["kept"] if r["kept"] else 0.0)
 
 
-def prim(rows: DataFrame, columns: Sequence[str], label: str, alpha: float = 0.05, least_support: float = 0.05, binary: Sequence[str] = (), n: int | None = None, hits: float | None = None) -> list[dict]:
-    """The trajectory of peels: each takes the largest gain in mean per removed row, then the most rows kept, then the first column.
+def prim_all(rows: DataFrame, owners: Sequence[Peeling], alpha: float = 0.05, least_support: float = 0.05, n: int | None = None, hits: Sequence[float] | None = None) -> list[list[dict]]:
+    """The trajectories of peels of some labels over the same kept rows, one pass or few for each step of all.
 
-    ``n`` and ``hits`` are the totals that support and coverage refer to, if not those of ``rows``. Some 60 peels end it.
+    A peel takes the largest gain in mean per removed row, then the most rows kept, then the first column. ``n`` and ``hits``
+    (a number for each label) are the totals that support and coverage refer to, if not those of ``rows``. Some 60 peels end it.
     """
-    total = rows.agg(F.count("*").alias("n"), F.avg(label).alias("mean"), F.sum(label).alias("hits")).first()
-    n, hits = (total["n"] if n is None else n), (total["hits"] or 0.0 if hits is None else hits)
-    box: Box = {}
-    now, out = (total["n"], total["mean"] or 0.0), []
-    while True:
-        best = None
-        for r in peel_candidates(rows.filter(inside(box)), columns, label, alpha, now[0], binary).collect():
-            if r["mean"] is None or not 0 < r["kept"] < now[0] or (r["side"] != "drop" and r["kept"] < math.ceil(least_support * n)):
+    rows = rows.select(*dict.fromkeys([c for o in owners for c in (*o.columns, o.label)]))
+    owners = _started(rows, list(owners))
+    base = owners[0].kept if n is None else n
+    all_hits = [o.hits for o in owners] if hits is None else list(hits)
+    out: list[list[dict]] = [[] for _ in owners]
+    live = [k for k, o in enumerate(owners) if o.kept]
+    while live:
+        found = candidates(rows, [owners[k] for k in live], alpha)
+        going = []
+        for k, choices in zip(live, found, strict=True):
+            o, best = owners[k], None
+            mean = o.hits / o.kept
+            for name, side, limit, kept, own_hits in choices:
+                if not 0 < kept < o.kept or (side != "drop" and kept < math.ceil(least_support * base)):
+                    continue
+                key = ((own_hits / kept - mean) / (o.kept - kept), kept)
+                if best is None or key > best[0]:
+                    best = (key, name, side, limit, kept, own_hits)
+            if best is None or best[0][0] <= 0:
                 continue
-            key = ((r["mean"] - now[1]) / (now[0] - r["kept"]), r["kept"])
-            if best is None or key > best[0]:
-                best = (key, r)
-        if best is None or best[0][0] <= 0:
-            break
-        r = best[1]
-        low, high = box.get(r["name"], (None, None))
-        if r["side"] == "drop":
-            left = rows.filter(inside(box) & (F.col(r["name"]) != r["limit_value"])).agg(F.min(r["name"])).first()[0]
-            low = high = float(left)
-        elif r["side"] == "low":
-            low = r["limit_value"]
-        else:
-            high = r["limit_value"]
-        box = {**box, r["name"]: (low, high)}
-        now = (r["kept"], r["mean"])
-        out.append({"step": len(out) + 1, "name": r["name"], "side": r["side"], "limit_value": float(r["limit_value"]), "kept": r["kept"], "density": r["mean"], "coverage": r["kept"] * r["mean"] / hits if hits else 0.0, "box": box, "support": r["kept"] / n})
+            _, name, side, limit, kept, own_hits = best
+            low, high = o.box.get(name, (None, None))
+            if side == "drop":
+                low = high = next(x for x in o.ends[name] if x != limit)
+            elif side == "low":
+                low = limit
+            else:
+                high = limit
+            o.box, o.kept, o.hits = {**o.box, name: (low, high)}, kept, own_hits
+            out[k].append({"step": len(out[k]) + 1, "name": name, "side": side, "limit_value": float(limit), "kept": kept, "density": own_hits / kept, "coverage": own_hits / all_hits[k] if all_hits[k] else 0.0, "box": o.box, "support": kept / base})
+            going.append(k)
+        live = going
     return out
 
 
+def prim(rows: DataFrame, columns: Sequence[str], label: str, alpha: float = 0.05, least_support: float = 0.05, binary: Sequence[str] = (), n: int | None = None, hits: float | None = None) -> list[dict]:
+    """The trajectory of one label."""
+    return prim_all(rows, [Peeling(label, columns, binary)], alpha, least_support, n, None if hits is None else [hits])[0]
+
+
 def pick_box(trajectory: list[dict], most_columns: int = 3) -> Found | None:
     """The densest box of a trajectory with at most ``most_columns`` restricted columns, then the one of most coverage."""
     fit = [x for x in trajectory if len(x["box"]) <= most_columns]

@@ -138,14 +138,32 @@ def gap_ranking(gaps: DataFrame, gap_measures: DataFrame, distances: DataFrame,
     return rows.withColumn("place", F.row_number().over(Window.partitionBy("kind").orderBy(key, "gap_id")))
 
 
-def entry_signal(rows: DataFrame, label: str, columns: Sequence[str], observable: Sequence[str], binary: Sequence[str] = ()) -> DataFrame:
-    """The boxes that drive a label: over all columns (``driver``), and over those that information could settle (``signal``)."""
-    spark, out = rows.sparkSession, None
-    for role, own in (("driver", columns), ("signal", observable)):
-        found = boxes.find_boxes(rows, own, label, binary=[c for c in binary if c in own], most_boxes=1)
-        one = boxes.boxes_as_rows(spark, found).withColumn("role", F.lit(role)).drop("box_no")
-        out = one if out is None else out.unionByName(one)
-    return out
+def entry_signals(rows: DataFrame, labels: dict[str, str], columns: Sequence[str], observable: Sequence[str], binary: Sequence[str] = ()) -> DataFrame:
+    """The boxes that drive labels: (name, role, place, parameter, low, high, kept, support, coverage, density).
+
+    ``labels`` maps a name to its 0/1 column of ``rows``. Role ``driver`` is the first box over all columns, ``signal`` the
+    one over those that information could settle; all are peeled over the same passes. A label has no box where it is too
+    rare, or where none is denser than all rows.
+    """
+    spark = rows.sparkSession
+    kept = rows.select(*dict.fromkeys([*columns, *labels.values()])).persist()
+    owners = [(name, role, boxes.Peeling(label, own, [c for c in binary if c in own])) for name, label in labels.items() for role, own in (("driver", list(columns)), ("signal", list(observable))) if own]
+    out = []
+    totals = kept.agg(F.count("*").alias("n"), *(F.sum(y).alias(y) for y in dict.fromkeys(labels.values()))).first() if owners else None
+    trails = boxes.prim_all(kept, [o for *_, o in owners]) if owners else []
+    for (name, role, owner), trail in zip(owners, trails, strict=True):
+        n, hits = totals["n"], float(totals[owner.label] or 0)
+        picked = boxes.pick_box(trail) if hits >= 1 else None
+        found = picked and boxes.prune_box(kept, picked, owner.label, n, hits)
+        if found and found.density > hits / n:
+            out += [(name, role, k + 1, c, low, high, found.kept, found.support, found.coverage, found.density) for k, (c, (low, high)) in enumerate(found.box.items())]
+    kept.unpersist()
+    return spark.createDataFrame(out, "name string, role string, place int, parameter string, low double, high double, kept long, support double, coverage double, density double")
+
+
+def reserve_lists(decided: DataFrame) -> DataFrame:
+    """(decision, n, measures): the measures to reserve for, to watch, and to spend on, of ``reserve_rule``; a catalogue's rows."""
+    return decided.groupBy("decision").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("measure_id")), ",").alias("measures"))
 
 
 def reserve_rule(signals: DataFrame, delay_cost: float) -> DataFrame:

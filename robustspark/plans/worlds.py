@@ -459,6 +459,57 @@ def v7_gap_ranking(t):
     return information.gap_ranking(t.gaps, t.gap_measures, world0_switching(t).select("measure_id", "distance"), information.gap_links(t.gaps, t.gap_measures, t.spec_gaps), evppi(t))
 
 
+#: Every parameter's stratum (its multiplier and shift in the bindings) and number of bins.
+STRATA = {"w_vuln": (7919, 3, 10), "w_rec": (6607, 11, 10), "gamma": (5417, 29, 2), "penalty": (4409, 5, 10), "cob_w": (3301, 17, 10), "mismatch_w": (2207, 23, 10), "u_eff": (1103, 41, 10), "u_dim": (9001, 7, 10)}
+_RANKED = _EVPPI | {
+    "labels": "select world_id, shuffle_no, unnest([" + ", ".join(f"'{x}'" for x in STRATA) + "]) as parameter, unnest([" + ", ".join(f"cast(floor((({a} * w + {b}) % n) * {k} / n) as bigint)" for a, b, k in STRATA.values()) + "]) as bin from moved",
+}
+
+
+def ranked_evppi(t):
+    """What each parameter is worth knowing, with its place."""
+    values = information.evppi_corrected(t.world_terms(), t.space(), t.events.count(), STRATA)
+    return values.withColumn("place", F.row_number().over(Window.orderBy(F.desc("corrected"), "parameter")))  # a row for each parameter
+
+
+@query("select *, row_number() over (order by corrected desc, parameter) as place from evppi", upto("wscores") | _RANKED)
+def v5_evppi_ranked(t):
+    return ranked_evppi(t)
+
+
+DELAY_COST = 0.002
+
+
+def signals(t):
+    """Driver and signal of every contingent measure (in 20 to 80 percent of the winning sets), with what waiting for the signal is worth."""
+    best = t.best_per_world().select("world_id", "best_set")
+    member = {r["measure_id"]: P.member(F.col("best_set"), F.lit(r["measure_no"])).cast("int").alias(f"y{r['measure_no']}") for r in t.measures.collect()}
+    rows = t.worlds.select("world_id", *STRATA).join(best, "world_id").select(*STRATA, *member.values()).persist()
+    names = {m: f"y{m[1:]}" for m in member}
+    shares = rows.agg(*(F.avg(y).alias(y) for y in names.values())).first()
+    contingent = {m: y for m, y in names.items() if 0.2 <= shares[y] < 0.8}
+    gaps = {r["parameter"]: r["g"] for r in t.spec_gaps.groupBy("parameter").agg(F.array_join(F.slice(F.array_sort(F.collect_set("gap_id")), 1, 3), ",").alias("g")).collect()}
+    found = information.entry_signals(rows, contingent, list(STRATA), [c for c in STRATA if c in gaps], binary=("gamma",))
+    rows.unpersist()
+    known = t.spark.createDataFrame([(c, gaps.get(c), "exploratory" if c == "gamma" else "assumption") for c in STRATA], "parameter string, gaps string, evidence string")
+    share = t.spark.createDataFrame([(m, float(shares[y])) for m, y in contingent.items()], "name string, share_in_best double")
+    worth = ranked_evppi(t).select("parameter", F.col("corrected_pct").alias("value_of_waiting"))
+    first = found.filter("place = 1").join(found.groupBy("name", "role").agg(F.count("*").alias("n_conditions")), ["name", "role"])
+    return first.join(share, "name").join(known, "parameter").join(worth, "parameter", "left").drop("place").withColumnRenamed("name", "measure_id")
+
+
+@query(None)
+def a1_entry_signals(t):
+    return signals(t)
+
+
+@query(None)
+def a4_reserve_lists(t):
+    """Which signals are worth a reserve: what waiting is worth beyond its cost, and is not exploratory."""
+    rows = signals(t).filter("role = 'signal'").withColumn("exploratory", F.col("evidence") == "exploratory")
+    return information.reserve_lists(information.reserve_rule(rows, DELAY_COST))
+
+
 @query(None)
 def a1_entry_signal(t):
     """What drives the measure whose place is most open (share of wins nearest to one half) into the best set."""
@@ -468,9 +519,9 @@ def a1_entry_signal(t):
     labelled_worlds = rows.withColumn("y", P.member(F.col("best_set"), F.lit(most_open["measure_no"])).cast("int"))
     columns = ["w_vuln", "w_rec", "gamma", "penalty", "cob_w", "mismatch_w", "u_eff", "u_dim"]
     known = {r["parameter"] for r in t.spec_gaps.select("parameter").distinct().collect()}
-    out = information.entry_signal(labelled_worlds, "y", columns, [c for c in columns if c in known], binary=("gamma",))
+    out = information.entry_signals(labelled_worlds, {most_open["measure_id"]: "y"}, columns, [c for c in columns if c in known], binary=("gamma",))
     rows.unpersist()
-    return out.select(F.lit(most_open["measure_id"]).alias("measure_id"), F.lit(most_open["share"]).alias("share_in_best"), "*")
+    return out.select(F.col("name").alias("measure_id"), F.lit(most_open["share"]).alias("share_in_best"), "role", "place", F.col("parameter").alias("name"), "low", "high", "kept", "support", "coverage", "density")
 
 
 _MOVES = {

@@ -33,7 +33,10 @@ def written(df: DataFrame, path: str, form: str = "parquet", by: Sequence[str] =
 
 
 def binary_files(spark: SparkSession, path: str, skipped: Sequence[str] = SKIPPED) -> DataFrame:
-    """(path, content) of all files below ``path``, but for those whose path below it matches a pattern of ``skipped``."""
+    """(path, content) of all files below ``path``, but for those whose path below it matches a pattern of ``skipped``.
+
+    A file is one row, so it must fit a task; Spark's source leaves empty files out.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     below = F.substring_index("path", path.rstrip("/").rsplit("/", 1)[-1] + "/", -1)
     rows = files.select(F.concat(F.lit("/"), below).alias("path"), "content")
