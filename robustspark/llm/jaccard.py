@@ -120,8 +120,12 @@ def parity(items: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+#: Bytes of text whose word hashes are held at once (some 60 bytes for each).
+TEXT_BYTES = 500_000
+
+
 def _sets(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
-    for part in chunks(batch, "text"):
+    for part in chunks(batch, "text", TEXT_BYTES):
         yield part, shingle_sets(*utf8(part.column("text")))
 
 
