@@ -235,6 +235,10 @@ class Index:
 COLUMNS = "key long, id long, n_passages long, n_retrieved long, contaminated boolean, item_ids array<long>, best_score double, best_question double, best_answer double"
 
 
+#: Bytes of text whose word hashes are held at once (some 60 bytes for each).
+TEXT_BYTES = 500_000
+
+
 def folded(text: Column) -> Column:
     """A text without case: in small letters, with ß as its capitals SS give it."""
     return F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
@@ -245,7 +249,7 @@ def _search(docs: DataFrame, index: Index) -> DataFrame:
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for part in chunks(whole, "text"):
+            for part in chunks(whole, "text", TEXT_BYTES):
                 found = shipped.value.hits(*word_hashes(*utf8(part.column("text")), ALNUM))
                 top = [max(((s, q, a) for _, s, q, a in x), default=(None, None, None)) for _, _, x in found]
                 columns = [
@@ -292,7 +296,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     def clean(shipped):  # noqa: ANN001, ANN202
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for whole in batches:
-                for part in chunks(whole, small):
+                for part in chunks(whole, small, TEXT_BYTES):
                     found = shipped.value.hits(*word_hashes(*utf8(part.column(small)), ALNUM))
                     yield part.filter(pa.array([not x for _, _, x in found], pa.bool_()))
 
