@@ -1,13 +1,15 @@
 """Byte-level BPE encoding and decoding.
 
-1. A task cuts its texts into pretokens and numbers the distinct ones of a chunk of ``CHUNK_BYTES``: a chunk is a row of
-   document ids, codes and distinct words, each word a string of one character per byte.
+1. A task cuts its texts into pretokens and numbers the distinct ones of a chunk of ``CHUNK_BYTES``. A chunk is some rows
+   of at most ``SLICE`` distinct words each, as they are met, a word being a string of one character per byte, and then
+   rows of at most ``SLICE`` documents with their ids and codes. So no row is large, however many words a chunk has.
 2. Spark's higher-order functions fold the ranked merges over every distinct word. A word is an array of its pairs of
    neighbours, each packed as rank, left id and right id. A step takes the first pair of least rank, drops it, and looks
    the two pairs beside it up again. Ranks come from a literal map of all pairs that merge: a map literal would be scanned
    entry by entry, so it is laid out as two literal arrays in which every pair has one place of two; the pairs of single
    bytes, with which every word starts, are looked up directly.
-3. A task puts the ids of the words in the places of the codes, and decodes by concatenating the ids' binary pieces.
+3. The same task gathers the ids of a chunk's words, which come in their order, puts them in the places of the codes, and
+   decodes by concatenating the ids' binary pieces.
 
 Nothing is shuffled. A pretoken that is a piece as a whole needs no merges. The fold costs the square of a word's length;
 a pretoken of over ``LONG`` bytes (no word of a language) merges by a heap in the first task, with the same result.
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 
 from robustspark.llm.textops import chunks, release
 
-CHUNK_BYTES = 4_000_000
+CHUNK_BYTES, SLICE = 16_000_000, 1000
 LONG = 512
 #: In a packed pair the rank's place, and the rank of pairs that don't merge (ranks and ids take 16 bits).
 NONE = 0xFFFF << 32
@@ -193,21 +195,26 @@ class Coder(dict):
 
     def __init__(self, ranks: Ranks, first: int) -> None:
         super().__init__()
-        self.ranks, self.first, self.words, self.long = ranks, first, [], {}
+        self.ranks, self.next = ranks, first
+        #: Words that no row has taken yet, and the long ones with their numbers.
+        self.words, self.long = [], {}
 
     def __missing__(self, token: str) -> int:
         raw = token.encode()
         code = self.ranks.ranks.get(raw)
         if code is None:
-            code = self.first + len(self.words)
+            code = self.next
+            self.next += 1
             if len(raw) > LONG:
-                self.long[len(self.words)] = raw
+                self.long[code] = raw
+                raw = b""
             self.words.append(raw.decode("latin-1"))
         self[token] = code
         return code
 
 
-CHUNK_ROW = "ids array<long>, codes array<binary>, words array<string>, long array<binary>"
+CHUNK_ROW = "ids array<long>, codes array<binary>, words array<string>, long array<binary>, last boolean"
+_ROW = pa.schema([("ids", pa.list_(pa.int64())), ("codes", pa.list_(pa.binary())), ("words", pa.list_(pa.string())), ("long", pa.list_(pa.binary())), ("last", pa.bool_())])
 
 
 def bpe_columns(docs: DataFrame, rank_path: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:
@@ -222,17 +229,22 @@ def bpe_columns(docs: DataFrame, rank_path: str, id_col: str = "doc_id", text_co
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         model, pairs = shipped.value, None
-        ids, codes, size = [], [], 0
-        coder = Coder(model, len(model.ends) - 1)
+        first = len(model.ends) - 1
+        ids, codes, size, coder = [], [], 0, Coder(model, first)
+
+        def row(**columns) -> pa.RecordBatch:  # noqa: ANN003
+            columns = {"ids": [], "codes": [], "words": [], "long": [], "last": False} | columns
+            return pa.RecordBatch.from_arrays([pa.array([columns[f.name]], f.type) for f in _ROW], schema=_ROW)
 
-        def row() -> pa.RecordBatch:
+        def chunk_end() -> Iterator[pa.RecordBatch]:
             nonlocal pairs
+            if coder.words:
+                yield row(words=coder.words)
             if coder.long and pairs is None:
                 pairs = model.pairs()
             long = [np.array([k, *merge_long(raw, model.byte_id, pairs)], "<i4").tobytes() for k, raw in coder.long.items()]
-            words = ["" if k in coder.long else x for k, x in enumerate(coder.words)]
-            columns = [pa.array([ids], pa.list_(pa.int64())), pa.array([codes], pa.list_(pa.binary())), pa.array([words], pa.list_(pa.string())), pa.array([long], pa.list_(pa.binary()))]
-            return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in CHUNK_ROW.split(", ")])
+            for lo in range(0, len(ids), SLICE):
+                yield row(ids=ids[lo : lo + SLICE], codes=codes[lo : lo + SLICE], long=long if lo == 0 else [], last=lo + SLICE >= len(ids))
 
         for whole in batches:
             for part in chunks(whole, "text"):
@@ -240,12 +252,14 @@ def bpe_columns(docs: DataFrame, rank_path: str, id_col: str = "doc_id", text_co
                     ids.append(key)
                     codes.append(np.fromiter(map(coder.__getitem__, pretokens(text or "")), "<i4").tobytes())
                     size += len(text or "")
+                    while len(coder.words) >= SLICE:
+                        yield row(words=coder.words[:SLICE])
+                        del coder.words[:SLICE]
                 if size >= CHUNK_BYTES:
-                    yield row()
-                    ids, codes, size = [], [], 0
-                    coder = Coder(model, len(model.ends) - 1)
+                    yield from chunk_end()
+                    ids, codes, size, coder = [], [], 0, Coder(model, first)
         if ids:
-            yield row()
+            yield from chunk_end()
         del ids, codes, coder
         release()
 
@@ -253,32 +267,48 @@ def bpe_columns(docs: DataFrame, rank_path: str, id_col: str = "doc_id", text_co
         release()
         model = shipped.value
         first = len(model.ends) - 1
+        flats, sizes, table = [], [], None
+
+        def built(long: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """All ids one after the other, and where those of each code start and end."""
+            ends = np.concatenate([[0], np.cumsum(np.concatenate([np.zeros(0, np.int64), *sizes]))]).astype(np.int64)
+            low, high = np.concatenate([np.arange(first), first + ends[:-1]]), np.concatenate([np.arange(1, first + 1), first + ends[1:]])
+            data = [np.arange(first, dtype=np.int32), *flats]
+            at = first + int(ends[-1])
+            for x in long:
+                got = np.frombuffer(x, "<i4")
+                low[got[0]], high[got[0]] = at, at + len(got) - 1
+                at += len(got) - 1
+                data.append(got[1:])
+            return np.concatenate(data), low, high
+
         for whole in batches:
             for k in range(whole.num_rows):
-                ids, codes, lists, long = (whole.column(c)[k].values for c in ("ids", "codes", "merged", "long"))
-                flat, ends = lists.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int64)
-                low, high = np.concatenate([np.arange(first), first + ends[:-1]]), np.concatenate([np.arange(1, first + 1), first + ends[1:]])
-                data = np.concatenate([np.arange(first, dtype=np.int32), flat.astype(np.int32)])
-                for x in long.to_pylist():
-                    got = np.frombuffer(x, "<i4")
-                    low[first + got[0]], high[first + got[0]] = len(data), len(data) + len(got) - 1
-                    data = np.concatenate([data, got[1:]])
-                for lo in range(0, len(ids), 10_000):
-                    rows = []
-                    for raw in codes.slice(lo, 10_000).to_pylist():
-                        own = np.frombuffer(raw, "<i4")
-                        out = gathered(data, low[own], high[own])
-                        rows.append((len(out), hashlib.sha256(out.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(model.decode(out)).hexdigest(), *((out,) if keep_ids else ())))
-                    columns = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32())))]
-                    yield pa.RecordBatch.from_arrays([ids.slice(lo, 10_000), *columns], NAMES)
-                del ids, codes, lists, long, flat, data, columns, rows
-            del whole
+                lists = whole.column("merged")[k].values
+                if len(lists):
+                    flats.append(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int32))
+                    sizes.append(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+                ids, codes = (whole.column(c)[k].values for c in ("ids", "codes"))
+                if not len(ids):
+                    continue
+                if table is None:
+                    table = built(whole.column("long")[k].values.to_pylist())
+                data, low, high = table
+                rows = []
+                for raw in codes.to_pylist():
+                    own = np.frombuffer(raw, "<i4")
+                    out = gathered(data, low[own], high[own])
+                    rows.append((len(out), hashlib.sha256(out.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(model.decode(out)).hexdigest(), *((out,) if keep_ids else ())))
+                columns = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32())))]
+                yield pa.RecordBatch.from_arrays([ids, *columns], NAMES)
+                if whole.column("last")[k].as_py():
+                    flats, sizes, table = [], [], None
         release()
 
     NAMES = ["id", "n_tokens", "ids_sha256", "decoded_sha256", *(("token_ids",) if keep_ids else ())]
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     coded = rows.mapInArrow(code, CHUNK_ROW)
     words = F.when(F.size("words") > 0, merged(F.col("words"), ranks)).otherwise(F.array().cast("array<array<int>>"))
-    folded = coded.select("ids", "codes", words.alias("merged"), "long")
+    folded = coded.select("ids", "codes", words.alias("merged"), "long", "last")
     schema = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>" * keep_ids
     return folded.mapInArrow(assemble, schema).withColumnRenamed("id", id_col)
