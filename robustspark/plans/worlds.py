@@ -140,7 +140,7 @@ def w2_scale_params(t):
     n = t.events.count()
     u = lambda a, b: (((F.lit(a) * F.col("world_id") + b) % n) + 0.5) / n
     w = t.events.select(F.col("event_id").alias("world_id"))
-    return w.select("world_id", (0.5 + 0.4 * u(7919, 3)).alias("w_vuln"), (0.05 + 0.25 * u(6607, 11)).alias("w_rec"), F.when(u(5417, 29) < 0.5, 1).otherwise(2).alias("gamma"), (0.2 + 0.6 * u(4409, 5)).alias("penalty"), (0.3 * u(3301, 17)).alias("cob_w"), (0.5 + 0.5 * u(2207, 23)).alias("mismatch_w"))
+    return w.select("world_id", (0.1 + 0.8 * u(7919, 3)).alias("w_vuln"), (0.6 * u(6607, 11)).alias("w_rec"), F.when(u(5417, 29) < 0.5, 1).otherwise(2).alias("gamma"), u(4409, 5).alias("penalty"), (0.5 * u(3301, 17)).alias("cob_w"), (0.5 + 0.5 * u(2207, 23)).alias("mismatch_w"))
 
 
 @query("select world_id, 3 * -ln(1 - u_eff) / (-ln(1 - u_eff) - ln(1 - u_dim) - ln(1 - w_vuln)) as d0, 3 * -ln(1 - u_dim) / (-ln(1 - u_eff) - ln(1 - u_dim) - ln(1 - w_vuln)) as d1, 3 * -ln(1 - w_vuln) / (-ln(1 - u_eff) - ln(1 - u_dim) - ln(1 - w_vuln)) as d2 from worlds")
@@ -233,6 +233,36 @@ def r3_robust_choice(t):
     return top.select("set_id", (F.col("n5") / F.col("n")).alias("near_5"), (F.col("wins") / F.col("n")).alias("rank1"), F.col("score").alias("world0"))
 
 
+_STABLE = {"ranked_sets": "select t as threshold, set_id, row_number() over (partition by t order by case t when 0.01 then n1 when 0.02 then n2 else n5 end desc, wins desc, s.score desc, s.cost, s.ids) as place from nears join scored s using (set_id) cross join (values (0.01), (0.02), (0.05)) v(t) where scenario_name = 'all'"}
+
+
+@query("select threshold::double as threshold, set_id, s.ids, count(distinct set_id) over () = 1 as stable from (select *, (select count(distinct set_id) from ranked_sets where place = 1) as k from ranked_sets where place = 1) join scored s using (set_id)".replace("count(distinct set_id) over () = 1", "k = 1"), upto("nears") | _STABLE)
+def r3_choice_by_threshold(t):
+    """The robust set at each threshold of nearness, and whether all thresholds choose the same."""
+    rows = t.near_counts().filter("scenario_name = 'all'").join(t.scored().drop("n"), "set_id")
+    each = F.explode(F.array(*(F.struct(F.lit(x).alias("threshold"), F.col(c).alias("near")) for x, c in zip(NEAR, ("n1", "n2", "n5"), strict=True)))).alias("e")
+    order = F.struct((-F.col("e.near")).alias("a"), (-F.col("wins")).alias("b"), (-F.col("score")).alias("c"), "cost", "ids")
+    chosen = cells.small(rows.select("*", each).groupBy(F.col("e.threshold").alias("threshold")).agg(F.min_by(F.struct("set_id", "ids"), order).alias("s")).select("threshold", "s.set_id", "s.ids"))
+    return chosen.crossJoin(F.broadcast(chosen.agg((F.countDistinct("set_id") == 1).alias("stable"))))  # one row
+
+
+@query("""select scenario_name, measure_id, avg(share) as incl_near, avg(inside::int) as incl_best from (select world_id, b.scenario, measure_id, any_value((best_set >> measure_no) & 1) as inside, count(*) filter (where (set_id >> measure_no) & 1 = 1) / count(*) as share
+    from wscores s join wbest b using (world_id) cross join (select measure_id, measure_no from measures) where (best_score - s.score) / best_score <= 0.05::double + 1e-12 group by all) join scen on scenario_name = 'all' or scenario_name = cast(scenario as varchar) group by all""", upto("wbest", "scen"))
+def r4_inclusion_near(t):
+    """Per scenario and measure the mean share of near-best sets that have it, and the share of best sets."""
+
+    def reduce(space, part, table):
+        best, top = space.best(table), table.max(1)
+        near = (top[:, None] - table) / top[:, None] <= NEAR[-1] + 1e-12
+        share = (near.astype(float) @ space.members) / near.sum(1)[:, None]
+        k = space.members.shape[1]
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column("scenario").to_numpy(), k)), pa.array(np.tile(np.arange(k), len(best))), pa.array(share.ravel()), pa.array(space.members[best].ravel())], ["scenario", "measure_no", "near", "best"])
+
+    rows = W.score_worlds(t.world_terms(), t.space(), reduce, "scenario int, measure_no long, near double, best long")
+    means = rows.select("measure_no", "near", "best", F.explode(F.array(F.lit("all"), F.col("scenario").cast("string"))).alias("scenario_name")).groupBy("scenario_name", "measure_no").agg(F.avg("near").alias("incl_near"), F.avg("best").alias("incl_best"))
+    return means.join(F.broadcast(t.measures.select("measure_no", "measure_id")), "measure_no").drop("measure_no")
+
+
 @query("select scenario_name, measure_id, share, case when share >= 0.8 then 'core' when share >= 0.2 then 'contingent' else 'rarely' end as role from (select scenario_name, measure_id, cast(sum(case when (set_id >> measure_no) & 1 = 1 then wins else 0 end) as bigint) / cast(sum(wins) as bigint) as share from nears cross join measures group by all)", upto("nears"))
 def r4_inclusion(t):
     rows = t.near_counts().crossJoin(F.broadcast(t.measures.select("measure_id", "measure_no")))
@@ -477,7 +507,26 @@ def v5_evppi_ranked(t):
     return ranked_evppi(t)
 
 
-DELAY_COST = 0.002
+_MEDIANS = {"medians": "select measure_id, quantile_cont(distance::double, 0.5::double) as distance from switched where distance is not null group by measure_id"}
+
+
+@query("""select gap_id, kind, closest_measure, closest_distance, top_parameter, top_pct, row_number() over (partition by kind order by case when kind = 'model' then -coalesce(top_pct, 0) else coalesce(closest_distance, 1e300) end, gap_id) as place from gaps
+    left join (select gap_id, arg_min(measure_id, {'d': distance, 'm': measure_id}) as closest_measure, min(distance) as closest_distance from gap_measures join medians using (measure_id) group by gap_id) using (gap_id)
+    left join (select gap_id, arg_min(parameter, {'c': -corrected, 'p': parameter}) as top_parameter, max(corrected_pct) as top_pct from links join evppi using (parameter) join gaps using (gap_id) where kind = 'model' group by gap_id) using (gap_id)""", upto("star0") | _SWITCHED | _MEDIANS | _RANKED | _LINKS)
+def v7_gaps_by_median(t):
+    """Gaps in order within their kind, by the median distances of the measures they touch and the worth of all parameters."""
+    star = t.best().first()["set_id"]
+    distances = information.switching_values(information.switching_rows(t.world_terms(), t.space(), star), t.measures, star).select("measure_id", F.col("distance_median").alias("distance"))
+    return information.gap_ranking(t.gaps, t.gap_measures, distances, information.gap_links(t.gaps, t.gap_measures, t.spec_gaps), ranked_evppi(t))
+
+
+@query("select parameter, corrected_pct, place from (select *, row_number() over (order by corrected desc, parameter) as place from evppi) where parameter not in (select parameter from spec_gaps)", upto("wscores") | _RANKED)
+def v7_preferences(t):
+    """Parameters that no gap informs: what they are worth is a matter of preference."""
+    return ranked_evppi(t).join(t.spec_gaps.select("parameter").distinct(), "parameter", "left_anti").select("parameter", "corrected_pct", "place")
+
+
+DELAY_COST = 0.007
 
 
 def signals(t):
@@ -491,7 +540,7 @@ def signals(t):
     gaps = {r["parameter"]: r["g"] for r in t.spec_gaps.groupBy("parameter").agg(F.array_join(F.slice(F.array_sort(F.collect_set("gap_id")), 1, 3), ",").alias("g")).collect()}
     found = information.entry_signals(rows, contingent, list(STRATA), [c for c in STRATA if c in gaps], binary=("gamma",))
     rows.unpersist()
-    known = t.spark.createDataFrame([(c, gaps.get(c), "exploratory" if c == "gamma" else "assumption") for c in STRATA], "parameter string, gaps string, evidence string")
+    known = t.spark.createDataFrame([(c, gaps.get(c), "exploratory" if c in ("gamma", "w_vuln") else "assumption") for c in STRATA], "parameter string, gaps string, evidence string")
     share = t.spark.createDataFrame([(m, float(shares[y])) for m, y in contingent.items()], "name string, share_in_best double")
     worth = ranked_evppi(t).select("parameter", F.col("corrected_pct").alias("value_of_waiting"))
     first = found.filter("place = 1").join(found.groupBy("name", "role").agg(F.count("*").alias("n_conditions")), ["name", "role"])

@@ -26,12 +26,12 @@ def stratum(a: int, b: int) -> str:
 
 
 #: Parameters that information could settle, by the remainder of a number.
-PARAMETERS = ("w_vuln", "penalty", "gamma")
+PARAMETERS = ("w_vuln", "penalty", "gamma", "cob_w")
 
 
 def parameter(x: str) -> str:
     """The parameter of a whole-number expression."""
-    return f"case {x} % 3 when 0 then 'w_vuln' when 1 then 'penalty' else 'gamma' end"
+    return f"case {x} % 4 " + " ".join(f"when {k} then '{p}'" for k, p in enumerate(PARAMETERS)) + " end"
 
 
 def thousands(x: str) -> str:
@@ -75,8 +75,8 @@ BINDINGS = {
         case o_orderkey % 23 when 3 then ' on a synthetic site' when 7 then ' at this site by Acme Ltd' when 11 then ' and it is guaranteed' else '' end as tail from orders""",
     "claim_texts": "select *, concat('The total was ', shown1, ' and its part ', shown2, ' in 2024', tail) as text from claims",
     "source_list": "select concat('src', n_nationkey) as source_id, case n_nationkey % 3 when 0 then 'official' else 'press' end as kind from nation union all select concat('gis-', n_nationkey) as source_id, 'official' as kind from nation",
-    "worlds": f"""select world_id, scenario, 0.5e0 + 0.4e0 * {stratum(7919, 3)} as w_vuln, 0.05e0 + 0.25e0 * {stratum(6607, 11)} as w_rec, case when {stratum(5417, 29)} < 0.5e0 then 1 else 2 end as gamma,
-        0.2e0 + 0.6e0 * {stratum(4409, 5)} as penalty, 0.3e0 * {stratum(3301, 17)} as cob_w, 0.5e0 + 0.5e0 * {stratum(2207, 23)} as mismatch_w, {stratum(1103, 41)} as u_eff, {stratum(9001, 7)} as u_dim
+    "worlds": f"""select world_id, scenario, 0.1e0 + 0.8e0 * {stratum(7919, 3)} as w_vuln, 0.6e0 * {stratum(6607, 11)} as w_rec, case when {stratum(5417, 29)} < 0.5e0 then 1 else 2 end as gamma,
+        {stratum(4409, 5)} as penalty, 0.5e0 * {stratum(3301, 17)} as cob_w, 0.5e0 + 0.5e0 * {stratum(2207, 23)} as mismatch_w, {stratum(1103, 41)} as u_eff, {stratum(9001, 7)} as u_dim
         from (select event_id as world_id, cast(event_id % 2 as int) as scenario from events) e cross join (select count(*) as n from events) c""",
 }
 
