@@ -195,10 +195,10 @@ def c12_fixed_site_terms(t):
     return rows.select("measure_id", F.col("unit_id").alias("site"), C.micro(F.lit(0.7) * C.class_score(F.col("class_no"))).alias("vuln"), F.when(F.col("records") >= F.col("min_records"), C.micro(F.lit(0.15) * share)).alias("rec"))
 
 
-@query("""select m.measure_id, case when m.dimension_id = 'BUILDING' and (bool_or(unit_id = 3) or any_value(scope) = 'corridor') then cast(floor(0.7 * (least(1.0, (max(class_no) + 1) / 5.0) - max(class_no) / 5.0) * 1e6 + 0.5) as bigint) else 0 end as urgency_micro
+@query("""select m.measure_id, case when m.dimension_id = 'FURNITURE' and (bool_or(unit_id = 3) or any_value(scope) = 'corridor') then cast(floor(0.7 * (least(1.0, (max(class_no) + 1) / 5.0) - max(class_no) / 5.0) * 1e6 + 0.5) as bigint) else 0 end as urgency_micro
     from placed p join measures m using (measure_id) group by m.measure_id, m.dimension_id""", upto("placed"))
 def c13_urgency_term(t):
-    return C.urgency_term(t.placed(), t.measures, 3, "BUILDING", 0.7)
+    return C.urgency_term(t.placed(), t.measures, 3, "FURNITURE", 0.7)
 
 
 @query("select lever, count(*) as n_cells, count(*) filter (where needed is not null and lever <> 'S+CA' and lever <> needed) as n_mismatch from measures m join profiles f on m.dimension_id = f.dimension_id group by all", upto("profiles"))

@@ -52,7 +52,8 @@ BINDINGS = {
         case when p_partkey % 2 = 0 then {segment('(p_partkey + 1)')} end as cob_dim from part where p_partkey < 10""",
     "metric_rows": """select c_custkey as row_no, c_nationkey as unit_id, c_mktsegment as dimension_id, case when c_custkey % 3 <> 0 then c_acctbal / 10000 end as value,
         case when c_custkey % 5 <> 0 then greatest(1, least(5, cast(floor(c_acctbal / 2430) as int) + 1) - case c_mktsegment when 'BUILDING' then 1 when 'FURNITURE' then 2 when 'MACHINERY' then 1 else 0 end) end as class_no from customer""",
-    "capacity_rows": f"select s_suppkey as row_no, s_nationkey as unit_id, {segment('s_suppkey')} as dimension_id, case when s_suppkey % 4 <> 0 then s_acctbal end as value from supplier",
+    "capacity_rows": f"""select s_suppkey as row_no, s_nationkey as unit_id, {segment('s_suppkey')} as dimension_id, case when s_suppkey % 4 <> 0 then s_acctbal end as value from supplier
+        union all select c_custkey + 1000000 as row_no, c_nationkey as unit_id, c_mktsegment as dimension_id, case when c_nationkey % 11 <> 1 then floor(c_acctbal / 500) end as value from customer""",
     "records": """select o_orderkey as record_id, c_nationkey as unit_id, case when o_orderkey % 7 < 3 then concat('m', o_orderkey % 10) end as measure_id,
         case when o_orderstatus <> 'P' then cast(floor(o_totalprice) as bigint) end as investment, o_orderpriority as label, year(o_orderdate) as yr, o_orderstatus as plan from orders join customer on o_custkey = c_custkey""",
     "model": "select cast(floor(count(*) / 28) as bigint) as min_records from orders",
