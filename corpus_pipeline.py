@@ -48,7 +48,8 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", accepted), ("near_duplicates", near_duplicates), ("decontamination", decontaminated), ("pii", redacted), ("bpe", encode)]
 
-#: Jaccard links, a trained classifier and merges are beyond SQL; tests hold each stage's rows against plain versions.
+#: Jaccard links, a trained classifier and merges are beyond SQL; tests hold near duplicates, personal data and encoding
+#: against plain versions, and all stages against planted cases.
 ORACLE_SQL = None
 
 
