@@ -8,7 +8,7 @@ Viterbi. Kept blocks are joined in page order by an empty line.
 
 Null and empty pages, and pages cut off anywhere, give what there is; character references are decoded; white space in a
 block is one space; script, style, title and the like are never text, and neither is a form, unless it holds a main or
-article element; null and repeated ids are kept row by row; no rows give no rows; extra columns are ignored. Pages of any
+article element or all text of the page; null and repeated ids are kept row by row; no rows give no rows; extra columns are ignored. Pages of any
 size are read whole.
 """
 
@@ -45,12 +45,18 @@ NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", r
 WORD = re.compile(r"[a-z]+|\d+")
 #: Names that begin alike share a feature.
 STEM = 5
-#: How names of classes, ids and roles begin that are commonly given to what surrounds a text, and to texts.
-AROUND = re.compile(
-    "ad$|ads|advert|alert|announce|banner|bottom|breadcrumb|byline|comment|complementary|consent|contentinfo|cookie|copyright|dialog|discuss|disqus|feedback|foot|gdpr|hero$|legal|login|masthead|menu|modal|most|nav|newsletter|"
-    "notice|pagina|popular|popup|privacy|promo|read$|recommend|related|repl|respon|search|share|sharing|sidebar|signup|site$|social|sponsor|subscri|tags$|toolbar|top$|topbar|warning|widget"
+#: Whole words in classes, ids and roles that are commonly given to what surrounds a text, and to texts.
+AROUND = frozenset(
+    "ad ads advert adverts advertisement advertising alert alerts announce announcement announcements banner banners bottom breadcrumb breadcrumbs byline comment comments commentlist complementary consent contentinfo cookie cookies copyright dialog "
+    "discuss discussion disqus feedback foot footer gdpr hero legal login masthead menu menus menubar modal most nav navbar navi navigation newsletter notice notices notification pager pagination paginator popular popup popups privacy promo promos "
+    "promotion read recommend recommended recommendation recommendations related replies reply respond responses search searchbar searchform share shares sharing sharebar sidebar sidebars signup site social sponsor sponsored sponsors subscribe "
+    "subscription tags toolbar top topbar warning widget widgets".split()
 )
-TEXTUAL = re.compile("article|blog|body|content$|entry|main$|page|post|story|text")
+TEXTUAL = frozenset("article articlebody articles blog body content entry main page post postbody posts story text textbody".split())
+#: First words of names that say what a page or text is about or how it looks, not what a block is for.
+ABOUT = frozenset("category cat tag topic has is no with without type format status layout template theme lang single".split())
+#: Names on these elements are about the page.
+WHOLE = frozenset({"html", "body"})
 KINDS = frozenset({"near around", "near textual"})
 
 
@@ -68,6 +74,7 @@ class Leaf:
 def leaves(page: str) -> list[Leaf]:
     """The leaf blocks of a page in order."""
     out: list[Leaf] = []
+    in_form: list[Leaf] = []
     stack: list[tuple[str, frozenset[str], bool]] = []
     path, known = [frozenset()], {}
     buffer: list[str] = []
@@ -82,8 +89,7 @@ def leaves(page: str) -> list[Leaf]:
             if text:
                 tag = next((t for t, _, _ in reversed(stack) if t in BLOCK), "")
                 inner = next((t for t, _, _ in reversed(stack) if t in ("form", "main", "article")), "")
-                if inner != "form":
-                    out.append(Leaf(text, path[-1], tag, linked, int(any(y for _, _, y in stack))))
+                (in_form if inner == "form" else out).append(Leaf(text, path[-1], tag, linked, int(any(y for _, _, y in stack))))
         linked = 0
 
     def pop(to: int) -> None:
@@ -132,15 +138,16 @@ def leaves(page: str) -> list[Leaf]:
             continue
         key = (tag, m[3])
         if key not in known:
-            names = {w for v in NAMES.findall(m[3]) for w in WORD.findall(v.lower())}
-            kind = {"near around"} if any(AROUND.match(w) for w in names) else {"near textual"} if any(TEXTUAL.match(w) for w in names) else set()
+            tokens = [WORD.findall(x) for v in NAMES.findall(m[3]) for x in v.lower().split()] if tag not in WHOLE else []
+            names = {w for x in tokens if x and x[0] not in ABOUT for w in x}
+            kind = {"near around"} if names & AROUND else {"near textual"} if names & TEXTUAL else set()
             known[key] = frozenset(kind | {f"in {tag}"} | {f"name {w}" for w in names} | {f"stem {w[:STEM]}" for w in names}), "data-y" in m[3]
         own, y = known[key]
         stack.append((tag, own, y))
         path.append((path[-1] - KINDS if own & KINDS else path[-1]) | own if tag in BLOCK or len(own) > 1 else path[-1])
         links += tag == "a"
     flush()
-    return out
+    return out or in_form  # a form around the whole page is no form of it
 
 
 def observed(blocks: list[Leaf]) -> list[list[str]]:
