@@ -378,7 +378,7 @@ def _numbered(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     them agree.
     """
     if rows.groupBy("id").agg(F.count("*").alias("n")).filter("id is null or n > 1").isEmpty():
-        return rows, None
+        return rows.select(F.coalesce("id", F.lit(0).cast("long")).alias("id"), "text"), None  # for Spark, never null: the joins can share an exchange
     rows = rows.withColumnRenamed("id", "given").withColumn("digest", F.sha2(F.coalesce("text", F.lit("")), 256))
     order = [F.col("given").asc_nulls_last(), F.col("digest")]
     documents = rows.select("given", "digest").distinct().repartitionByRange(*order).sortWithinPartitions(*order)
@@ -389,7 +389,6 @@ def _numbered(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_bytes, n_removed, n_spans, and the digest of the bytes that stay."""
-    # an id that is never null lets the joins below share one exchange of the texts
     rows, numbers = _numbered(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")))
     anchors = rows.filter(f"octet_length(text) >= {WINDOW}").mapInArrow(_anchor_rows, "gram long, id long, times int")
     shared = cut(anchors.groupBy("gram").agg(F.sum("times").alias("n")).filter("n > 1").select("gram", (F.col("n") > HOT).alias("hot")))
