@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from robustspark.llm.textops import chunks, release
 
-CHUNK_BYTES, SLICE = 16_000_000, 1000
+CHUNK_BYTES, SLICE = 24_000_000, 1000
 LONG = 512
 #: In a packed pair the rank's place, and the rank of pairs that don't merge (ranks and ids take 16 bits).
 NONE = 0xFFFF << 32
