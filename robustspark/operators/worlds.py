@@ -6,6 +6,7 @@ small and sent to the tasks) and only what is asked for leaves the batch. Scores
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,8 +16,8 @@ from pyspark.sql import functions as F
 
 from robustspark.operators.cells import class_score, micro, shifted
 
-#: Scores held at once by a batch: 64 MB.
-TABLE_CELLS = 8_000_000
+#: Scores held at once by a batch: 8 MB.
+TABLE_CELLS = 1_000_000
 
 
 #: Rounds of a keyed permutation, and the prime below which its coefficients are drawn.
@@ -100,6 +101,51 @@ def world_terms(worlds: DataFrame, terms: DataFrame, by: tuple[str, ...] = ()) -
     return worlds.crossJoin(F.broadcast(catalogue)).select("world_id", "scenario", "penalty", F.transform("all", vuln).alias("vuln"), F.transform("all", flat).alias("flat"))
 
 
+class Terms:
+    """Worlds with the catalogue of ``world_terms``, whose arrays are worked out by the tasks that use them, a batch at a time.
+
+    The same figures as ``world_terms`` gives, in the same order of operations; neither expressions are interpreted for each
+    world and measure, nor are the arrays sent from Spark to Python.
+    """
+
+    COLUMNS = ("world_id", "scenario", "penalty", "w_vuln", "w_rec", "gamma", "cob_w", "mismatch_w")
+
+    def __init__(self, worlds: DataFrame, terms: DataFrame, by: tuple[str, ...] = ()) -> None:
+        rows = terms.select("measure_no", *by, "dimension_id", "class_no", "rec_share", "cob_class", "mismatch").collect()  # a row for each measure and value of ``by``
+        rows.sort(key=lambda r: tuple(r[: 1 + len(by)]))
+        number = lambda c: np.array([np.nan if r[c] is None else float(r[c]) for r in rows])
+        self.worlds = worlds.select(*self.COLUMNS)
+        self.measure = np.array([r["measure_no"] for r in rows], np.int64)
+        self.length = np.array([len(r["dimension_id"]) for r in rows], np.int64)
+        self.class_no, self.rec_share, self.cob_class = number("class_no"), number("rec_share"), number("cob_class")
+        self.mismatch = np.array([bool(r["mismatch"]) for r in rows])
+
+    def split(self) -> tuple[DataFrame, Terms]:
+        """The worlds, and what the tasks take along."""
+        catalogue = copy.copy(self)
+        catalogue.worlds = None
+        return self.worlds, catalogue
+
+    def arrays(self, part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        """Worlds by terms: vulnerability, and recurrence plus co-benefit, in micro-units; unknown shares are worth nothing."""
+        world, scenario, _, w_vuln, w_rec, gamma, cob_w, mismatch_w = (part.column(c).to_numpy(zero_copy_only=False)[:, None] for c in self.COLUMNS)
+        micros = lambda x: np.nan_to_num(np.floor(x * 1e6 + 0.5)).astype(np.int64)
+        flag = (scenario == 1) & ((self.measure + world) % 3 == 0)
+        score = np.fmin(5.0, self.class_no + flag) / 5.0  # as least() in the SQL, an unknown class counts as the highest
+        score = np.where(gamma == 2, score * score, score)
+        weight = 0.5 + 0.1 * ((world * 5 + self.length) % 11)
+        effect = 0.7 + 0.03 * ((world * 7 + self.measure * 3) % 11)
+        vuln = micros(w_vuln * weight * score * effect * np.where(self.mismatch, mismatch_w, 1.0))
+        return vuln, micros(w_rec * self.rec_share) + micros(cob_w * (self.cob_class / 5.0))
+
+
+def term_arrays(part: pa.RecordBatch, terms: Terms | None) -> tuple[np.ndarray, np.ndarray]:
+    """A row for each world of a batch: of its own arrays, or worked out."""
+    if terms is not None:
+        return terms.arrays(part)
+    return tuple(part.column(c).flatten().to_numpy().reshape(part.num_rows, -1) for c in ("vuln", "flat"))
+
+
 def with_shifts(worlds: DataFrame, units: DataFrame) -> DataFrame:
     """The worlds with the units whose cells rise one class there, as an array; the units are few and go along as one row."""
     every = units.agg(F.array_sort(F.collect_list("unit_id")).alias("units"))
@@ -124,7 +170,8 @@ class Space:
     def scores(self, vuln: np.ndarray, flat: np.ndarray, penalty: np.ndarray) -> np.ndarray:
         """Worlds by sets: the first of a dimension by total, then id, keeps its full term."""
         kept = np.floor(vuln * penalty[:, None] + 0.5).astype(np.int64)
-        table = (flat + kept) @ self.members.T
+        table = (flat + kept).astype(float) @ self.members.T.astype(float)  # whole numbers below 2^53, so exact
+        table = table.astype(np.int64)
         total, gain, row = vuln + flat, vuln - kept, np.arange(len(vuln))
         for group, pattern in zip(self.groups, self.patterns, strict=True):
             bonus = np.zeros((len(vuln), 1 << len(group)), np.int64)
@@ -151,18 +198,23 @@ class Space:
         return np.where(first, vuln[:, k], np.floor(vuln[:, k] * penalty + 0.5).astype(np.int64)) + flat[:, k]
 
 
-def score_worlds(terms: DataFrame, space: Space, reduce: Callable[[Space, pa.RecordBatch, np.ndarray], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """Applies ``reduce`` to the score table of each bounded batch of worlds."""
-    shipped = terms.sparkSession.sparkContext.broadcast(space)
+def score_worlds(terms: DataFrame | Terms, space: Space, reduce: Callable[[Space, pa.RecordBatch, np.ndarray], pa.RecordBatch | None], schema: str) -> DataFrame:
+    """Applies ``reduce`` to the score table of each bounded batch of worlds; ``reduce`` finds the arrays in its batch."""
+    rows, own = terms.split() if isinstance(terms, Terms) else (terms, None)
     step = max(1, TABLE_CELLS // max(1, len(space.set_id)))
+    shipped = rows.sparkSession.sparkContext.broadcast((space, own))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        space, own = shipped.value
         for whole in batches:
             for lo in range(0, whole.num_rows, step):
                 part = whole.slice(lo, step)
-                vuln, flat = (part.column(c).flatten().to_numpy().reshape(part.num_rows, -1) for c in ("vuln", "flat"))
-                out = reduce(shipped.value, part, shipped.value.scores(vuln, flat, part.column("penalty").to_numpy()))
+                vuln, flat = term_arrays(part, own)
+                if own:
+                    lists = [pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]) for x in (vuln, flat)]
+                    part = pa.RecordBatch.from_arrays([*(part.column(c) for c in ("world_id", "scenario", "penalty")), *lists], ["world_id", "scenario", "penalty", "vuln", "flat"])
+                out = reduce(space, part, space.scores(vuln, flat, part.column("penalty").to_numpy()))
                 if out is not None:
                     yield out
 
-    return terms.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)

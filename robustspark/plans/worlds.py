@@ -50,8 +50,9 @@ class Many(portfolios.Sets):
         rows = self.measures.select("measure_id", "measure_no", "dimension_id").join(top, "measure_id").join(C.recurrence_term(placed, self.model, self.denominator()), "measure_id", "left")
         return cells.small(rows.join(C.cobenefit_term(placed, self.measures, self.cells()), "measure_id", "left").join(C.lever_fit(placed, self.measures, self.profiles()), "measure_id", "left"))
 
+    @cells.once
     def world_terms(self):
-        return W.world_terms(self.worlds, self.facts())
+        return W.Terms(self.worlds, self.facts())
 
     def space(self):
         """The sets as arrays on the driver; a catalogue with more than ``MOST_SETS`` of them is refused, not cut."""
@@ -203,7 +204,7 @@ def w8_best_per_world(t):
 
 @query("select p.world_id, p.measure_id, p.part from wparts p join wbest b on p.world_id = b.world_id and p.set_id = b.best_set", upto("wbest"))
 def w9_contributions(t):
-    arrays = t.world_terms().join(t.best_per_world().select("world_id", "best_set"), "world_id")
+    arrays = W.world_terms(t.worlds, t.facts()).join(t.best_per_world().select("world_id", "best_set"), "world_id")
     names = F.broadcast(t.measures.select("measure_no", "measure_id", "dimension_id"))
     rows = arrays.select("world_id", "best_set", "penalty", F.posexplode(F.arrays_zip("vuln", "flat")).alias("measure_no", "x")).join(names, "measure_no").filter(P.member(F.col("best_set"), F.col("measure_no")))
     place = F.row_number().over(Window.partitionBy("world_id", "dimension_id").orderBy((F.col("x.vuln") + F.col("x.flat")).desc(), "measure_id"))
@@ -634,7 +635,7 @@ def location_variants(t):
     catalogue = cells.small(facts.unionByName(own))
     members = [(r["measure_no"], r["measure_id"], r["dimension_id"], r["scope"] != "corridor") for r in t.measures.collect() if star >> r["measure_no"] & 1]
     units = sorted(r["unit_id"] for r in t.units.select("unit_id").collect())
-    return sites.location_variants(W.world_terms(t.worlds, catalogue, ("unit_id",)), members, units)
+    return sites.location_variants(W.Terms(t.worlds, catalogue, ("unit_id",)), members, units)
 
 
 @query("select * from variants", upto("star0") | _SITES)

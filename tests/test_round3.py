@@ -5,8 +5,9 @@ import time
 
 import pytest
 
-from robustspark.operators import sites
+from robustspark.operators import sites, worlds
 from robustspark.plans import registry
+from robustspark.plans import worlds as plans
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -25,3 +26,16 @@ def test_tied_patterns_of_many_units(spark):
     got = sites.tied_patterns(worlds, cells).groupBy("dimension_id").sum("n_worlds").collect()
     assert {r[1] for r in got} == {40_000} and len(got) == 4
     assert time.time() - began < 30
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
+def test_terms_in_tasks_equal_the_columns(spark):
+    """Also where classes, shares and fits are unknown."""
+    t = plans.Many(spark, FOLDER)
+    rows = [(k, f"d{k % 3}" * (k % 4), None if k % 4 == 1 else k % 6, None if k % 3 else k / 7, None if k % 5 == 2 else k % 5, None if k % 2 else k % 4 == 0) for k in range(12)]
+    catalogue = spark.createDataFrame(rows, "measure_no int, dimension_id string, class_no int, rec_share double, cob_class int, mismatch boolean")
+    want = {r["world_id"]: (r["vuln"], r["flat"]) for r in worlds.world_terms(t.worlds, catalogue).collect()}
+    frame, own = worlds.Terms(t.worlds, catalogue).split()
+    part = frame.toArrow().combine_chunks().to_batches()[0]
+    vuln, flat = own.arrays(part)
+    assert {w: (v, f) for w, v, f in zip(part.column("world_id").to_pylist(), vuln.tolist(), flat.tolist(), strict=True)} == want
