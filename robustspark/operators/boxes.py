@@ -7,7 +7,9 @@ limits is the one value of a binary column that is left. Nothing but one row per
 
 from __future__ import annotations
 
+import functools
 import math
+import operator
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -76,29 +78,46 @@ def _counted(rows: DataFrame, owners: Sequence[Peeling], ranges: Sequence[tuple[
     The rows are read once for all ranges; a task sends a row for each part that it meets.
     """
 
+    own_ranges: dict[int, list[tuple[int, str, float, float]]] = {k: [] for k in range(len(owners))}
+    for r, (k, name, low, high) in enumerate(ranges):
+        own_ranges[k].append((r, name, low, high))
+    used = dict.fromkeys(c for k, own in own_ranges.items() if own for c in (*owners[k].box, owners[k].label, *(name for _, name, _, _ in own)))
+    # rows that no box holds stay in Spark
+    rows = rows.filter(functools.reduce(operator.or_, [inside(owners[k].box) for k, own in own_ranges.items() if own], F.lit(False))).select(*used)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = len(ranges) * PARTS
         n, hits, least, most = np.zeros(size, np.int64), np.zeros(size), np.full(size, np.inf), np.full(size, -np.inf)
         for batch in batches:
             columns = {c: batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in batch.schema.names}
             for k, owner in enumerate(owners):
+                if not own_ranges[k]:
+                    continue
                 there = np.ones(batch.num_rows, bool)
                 for name, (low, high) in owner.box.items():
                     v = columns[name]
                     there &= v == low if low is not None and low == high else (v > (-np.inf if low is None else low)) & (v < (np.inf if high is None else high))
-                y = columns[owner.label]
-                for r, (own, name, low, high) in enumerate(ranges):
-                    if own != k:
+                if not there.any():
+                    continue
+                kept_rows = np.flatnonzero(there)
+                y = columns[owner.label][kept_rows]
+                taken: dict[str, np.ndarray] = {}
+                for r, name, low, high in own_ranges[k]:
+                    if name not in taken:
+                        taken[name] = columns[name][kept_rows]
+                    v, hit = taken[name], y
+                    within = (v >= low) & (v <= high)
+                    if not within.all():
+                        v, hit = v[within], y[within]
+                    if not len(v):
                         continue
-                    v = columns[name]
-                    at = np.flatnonzero(there & (v >= low) & (v <= high))
-                    v = v[at]
                     part = np.minimum(PARTS - 1, (v / 2 - low / 2) / (high / 2 - low / 2) * PARTS).astype(np.int64) if low < high else np.zeros(len(v), np.int64)
-                    part += r * PARTS
-                    n += np.bincount(part, minlength=size)
-                    hits += np.bincount(part, y[at], size)
-                    np.minimum.at(least, part, v)
-                    np.maximum.at(most, part, v)
+                    # only the range's own parts are touched
+                    own = slice(r * PARTS, (r + 1) * PARTS)
+                    n[own] += np.bincount(part, minlength=PARTS)
+                    hits[own] += np.bincount(part, hit, PARTS)
+                    np.minimum.at(least[own], part, v)
+                    np.maximum.at(most[own], part, v)
         some = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some]), pa.array(hits[some]), pa.array(least[some]), pa.array(most[some])], ["slot", "n", "hits", "least", "most"])
 
