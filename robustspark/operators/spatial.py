@@ -25,13 +25,27 @@ def inside(ring: Column, x: Column, y: Column) -> Column:
     return F.aggregate(crosses, F.lit(0), lambda s, c: s + F.when(c, 1).otherwise(0)) % 2 == 1
 
 
+#: Parts into which the points of one ring are dealt.
+DEALT = 16
+
+
 def points_in_polygons(points: DataFrame, polygons: DataFrame, cell: float) -> DataFrame:
-    """(point_id, polygon_id) by an equi-join on grid cells and the exact test; a polygon is in the cells of its bounds."""
-    spread = polygons.withColumn("b", bounds(F.col("ring")))
+    """(point_id, polygon_id) by an equi-join on grid cells and the exact test; a polygon is in the cells of its bounds.
+
+    Each place is tested once against each ring, however many points and polygons are there; plain joins then give the
+    pairs, so that a pair costs a row and no test. Rings are told apart by 128 bits of hash. The points of a ring are dealt
+    into ``DEALT`` parts, and these over a fixed number of tasks: rows out grow by points times polygons, not by rows in.
+    """
+    keyed = polygons.select("polygon_id", "ring", F.xxhash64("ring").alias("ring_a"), F.xxhash64(F.lit(1), "ring").alias("ring_b"))
+    spread = keyed.select("ring", "ring_a", "ring_b").distinct().withColumn("b", bounds(F.col("ring")))
     across = lambda lo, hi: F.sequence(F.floor(lo / cell), F.floor(hi / cell))
-    spread = spread.select("polygon_id", "ring", F.explode(across(F.col("b.x0"), F.col("b.x1"))).alias("cx"), "b").select("polygon_id", "ring", "cx", F.explode(across(F.col("b.y0"), F.col("b.y1"))).alias("cy"))
-    keyed = points.withColumns({"cx": F.floor(F.col("x") / cell), "cy": F.floor(F.col("y") / cell)})
-    return keyed.join(spread, ["cx", "cy"]).filter(inside(F.col("ring"), F.col("x"), F.col("y"))).select("point_id", "polygon_id")
+    spread = spread.withColumn("cx", F.explode(across(F.col("b.x0"), F.col("b.x1")))).withColumn("cy", F.explode(across(F.col("b.y0"), F.col("b.y1"))))
+    places = points.select("x", "y").distinct().withColumns({"cx": F.floor(F.col("x") / cell), "cy": F.floor(F.col("y") / cell)})
+    hits = places.join(spread, ["cx", "cy"]).filter(inside(F.col("ring"), F.col("x"), F.col("y"))).select("x", "y", "ring_a", "ring_b")
+    on, tasks = ["ring_a", "ring_b", "part"], int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = points.join(hits, ["x", "y"]).select("point_id", "ring_a", "ring_b", F.pmod(F.xxhash64("point_id"), F.lit(DEALT)).cast("int").alias("part"))
+    held = keyed.select("polygon_id", "ring_a", "ring_b", F.explode(F.sequence(F.lit(0), F.lit(DEALT - 1))).alias("part"))
+    return met.repartition(tasks, *on).join(held, on).select("point_id", "polygon_id")
 
 
 def interior_point(ring: Column) -> Column:
