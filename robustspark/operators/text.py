@@ -6,6 +6,8 @@ import json
 import unicodedata
 
 import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -19,10 +21,23 @@ def fold_one(text: str | None) -> str:
     return " ".join(text.lower().split())
 
 
-@F.pandas_udf(StringType())
-def fold_text(text: pd.Series) -> pd.Series:
+#: Bytes of text, about, that a task's Python takes apart at once.
+PIECE = 1_000_000
+
+
+@F.arrow_udf(StringType())
+def fold_text(text: pa.Array) -> pa.Array:
     """``fold_one`` of a column."""
-    return text.map(fold_one)
+    rows = max(1, PIECE * len(text) // max(1, text.nbytes))
+    parts = [pa.array([fold_one(x) for x in text.slice(k, rows).to_pylist()], pa.string()) for k in range(0, len(text), rows)]
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
+
+
+def folded(text: Column) -> Column:
+    """``fold_one`` of a column: in Spark where the text is of ASCII characters, so that only other texts go to Python."""
+    plain = F.trim(F.regexp_replace(F.lower(text), "[\\x09-\\x0D\\x1C-\\x1F ]+", " "))
+    ascii_only = F.octet_length(text) == F.length(text)
+    return F.when(text.isNull(), "").when(ascii_only, plain).otherwise(fold_text(F.when(~ascii_only, text)))
 
 
 def sorted_json(text: str | None) -> str | None:

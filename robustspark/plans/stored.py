@@ -54,7 +54,7 @@ def e14_logged_calls(t):
 
 @query(f"select doc_id, sha256({tables._FOLD}) as folded, length({tables._FOLD}) as n_chars from documents")
 def t1_fold_unicode(t):
-    folded = t.documents.select("doc_id", X.fold_text(F.col("text")).alias("f"))
+    folded = t.documents.select("doc_id", X.folded(F.col("text")).alias("f"))
     return folded.select("doc_id", F.sha2("f", 256).alias("folded"), F.length("f").cast("long").alias("n_chars"))
 
 

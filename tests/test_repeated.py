@@ -4,6 +4,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from robustspark.operators import spatial as S
+from robustspark.operators import text as X
 
 
 def square(x, y, side):
@@ -35,3 +36,12 @@ def test_a_place_is_tested_once_against_a_ring(spark, monkeypatch):
     polygons = spark.createDataFrame([(k, square(0.0, 0.0, 6.0)) for k in range(200)], "polygon_id long, ring array<struct<x: double, y: double>>")
     assert S.points_in_polygons(points, polygons, 100.0).agg(F.count("point_id"), F.sum("polygon_id")).first() == (60_000, 300 * 199 * 100)
     assert tests.value == 12
+
+
+def test_plain_texts_are_folded_without_python(spark):
+    """Only texts with other than ASCII characters go to a task's Python, and these in small pieces."""
+    texts = [" A\tB\x0b\x0c\r\n c ", "", None, "\x1c x\x1dy\x1e\x1f", "z\x00\x7f Z", "É  Ü", "ﬁn\u3000x", "a\x85b", "\x85"]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    assert [r["f"] for r in rows.select("k", X.folded(F.col("t")).alias("f")).orderBy("k").collect()] == [X.fold_one(t) for t in texts]
+    big = spark.createDataFrame([(k, f"É{k} " * (k % 7)) for k in range(3000)], "k int, t string").coalesce(1)
+    assert all(r["f"] == X.fold_one(r["t"]) for r in big.select("t", X.folded(F.col("t")).alias("f")).collect())
