@@ -1,8 +1,11 @@
 """Steps whose inputs repeat the same places, rings, leaves or texts very often."""
 
+import re
+
 import pandas as pd
 from pyspark.sql import functions as F
 
+from robustspark.operators import evidence as E
 from robustspark.operators import spatial as S
 from robustspark.operators import text as X
 
@@ -38,6 +41,25 @@ def test_a_place_is_tested_once_against_a_ring(spark, monkeypatch):
     assert tests.value == 12
 
 
+def test_no_step_deals_the_figures_by_what_they_cite_alone(spark):
+    """All data is one pool, and claims without an output have no key: neither may come to one task."""
+    words = E.Wording((), "", "")
+    rows = [("p", k, "It is 2,5 and 7", None if k % 3 else "s", "f1" if k % 3 == 1 else None, [2.5] if k % 2 else None) for k in range(30)]
+    claims = spark.createDataFrame(rows, "product string, claim int, text string, source_id string, fingerprint string, numbers array<double>")
+    leaves, known = spark.createDataFrame([("f1", 2.5)], "fingerprint string, value double"), spark.createDataFrame([("f1",)], "fingerprint string")
+    data = spark.createDataFrame([(2.5,), (7.0,), (7.0,)], "value double")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found, status = E.check_numbers(claims, leaves, known, data, words)
+        plans = [df._jdf.queryExecution().executedPlan().toString() for df in (found, status)]
+        assert "Exchange hashpartitioning" in plans[0] and not [x for p in plans for x in re.findall(r"hashpartitioning\((?:pool|leaf_key)#\d+, \d+", p)]
+        assert sorted(r["claim"] for r in status.collect() if r["verified"]) == [k for k in range(30) if k % 6 == 0]
+        assert {(r["claim"] % 3, r["check_name"]) for r in found.collect()} == {(0, "figure not in output"), (1, "figure not in output"), (2, "figures without citation")}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
 def test_plain_texts_are_folded_without_python(spark):
     """Only texts with other than ASCII characters go to a task's Python, and these in small pieces."""
     texts = [" A\tB\x0b\x0c\r\n c ", "", None, "\x1c x\x1dy\x1e\x1f", "z\x00\x7f Z", "É  Ü", "ﬁn\u3000x", "a\x85b", "\x85"]
