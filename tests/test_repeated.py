@@ -67,3 +67,13 @@ def test_plain_texts_are_folded_without_python(spark):
     assert [r["f"] for r in rows.select("k", X.folded(F.col("t")).alias("f")).orderBy("k").collect()] == [X.fold_one(t) for t in texts]
     big = spark.createDataFrame([(k, f"É{k} " * (k % 7)) for k in range(3000)], "k int, t string").coalesce(1)
     assert all(r["f"] == X.fold_one(r["t"]) for r in big.select("t", X.folded(F.col("t")).alias("f")).collect())
+
+
+def test_answers_that_repeat_an_id_keep_their_own_values(spark):
+    """A row is judged by its own value, and each row of an id that needs a label lacks it; figures are read once."""
+    answers = "answer int, run string, text string, figures array<struct<text: string, value: double, tool: string, fingerprint: string>>, labels array<string>"
+    rows = [(1, "r", "It is 2,5.", [("2,5", 2.5, "t", "f")], ["B"]), (1, "r", "It is 3.", [("3", 3.0, "t", "f")], ["B"]), (1, "r", "None.", None, ["B"]), (2, "r", "None.", [], ["B"])]
+    leaves = spark.createDataFrame([("r", "t", "f", 0, "a", 2.5)], "run string, tool string, fingerprint string, place long, path string, value double")
+    outputs = spark.createDataFrame([("r", "t", "f", {"a": "A"})], "run string, tool string, fingerprint string, labels map<string, string>")
+    out = E.verify_answers(spark.createDataFrame(rows, answers), leaves, outputs, E.Wording(("A", "B"), "B", "A"), {})
+    assert sorted(tuple(r) for r in out.fillna("").collect()) == [(1, "exploratory label missing", "")] * 3 + [(1, "value not in output", "3")]
