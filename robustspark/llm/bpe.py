@@ -1,18 +1,19 @@
 """Byte-level BPE encoding and decoding.
 
-1. A task cuts its texts into pretokens and numbers the distinct ones of a chunk of ``CHUNK_BYTES``. A chunk is some rows
-   of at most ``SLICE`` distinct words each, as they are met, a word being a string of one character per byte, and then
-   rows of at most ``SLICE`` documents with their ids and codes. So no row is large, however many words a chunk has.
-2. Spark's higher-order functions fold the ranked merges over every distinct word. A word is an array of its pairs of
-   neighbours, each packed as rank, left id and right id. A step takes the first pair of least rank, drops it, and looks
-   the two pairs beside it up again. Ranks come from a literal map of all pairs that merge: a map literal would be scanned
-   entry by entry, so it is laid out as two literal arrays in which every pair has one place of two; the pairs of single
-   bytes, with which every word starts, are looked up directly.
-3. The same task gathers the ids of a chunk's words, which come in their order, puts them in the places of the codes, and
-   decodes by concatenating the ids' binary pieces.
-
-Nothing is shuffled. A pretoken that is a piece as a whole needs no merges. The fold costs the square of a word's length;
-a pretoken of over ``LONG`` bytes (no word of a language) merges by a heap in the first task, with the same result.
+1. A task cuts its texts into pretokens and numbers the distinct ones, as long as it knows fewer than ``WORDS``. It sends
+   rows of at most ``SLICE`` distinct words each, as they are met, with the places where pieces occur in them, and after
+   every ``CHUNK_BYTES`` of text rows of at most ``SLICE`` documents with their ids and codes. So no row is large, however
+   many words a task has, and a word is merged once for all chunks of a task.
+2. Spark's higher-order functions fold the ranked merges over every distinct word. A literal map gives each occurrence its
+   piece's rank and how long the piece's two parts are; sorted by rank and place, an occurrence is merged if just these two
+   parts stand there. The state is a string with a 1 where a piece starts. One pass is enough, as ranks never fall from one
+   merge to the next (``Ranks.merges`` checks that of a rank file).
+3. The same task gathers the ids of the pieces that are left, puts them in the places of the codes, and decodes by
+   concatenating the ids' binary pieces.
+
+Nothing is shuffled. A pretoken that is a piece as a whole needs no merges. The fold costs a word's length times its
+occurrences; a pretoken of over ``LONG`` bytes (no word of a language) merges by a heap in the first task, with the same
+result.
 
 Null texts are empty and have no ids; a text is never cut (one longer than a chunk is a chunk of its own); null and
 repeated ids are kept row by row; no rows give no rows; extra columns are ignored.
@@ -23,6 +24,7 @@ from __future__ import annotations
 import base64
 import heapq
 import hashlib
+import itertools
 import json
 import re
 from collections.abc import Iterator
@@ -33,15 +35,12 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from robustspark.llm.textops import chunks, release
+from robustspark.llm.textops import chunks, release, utf8
 
-CHUNK_BYTES, SLICE = 24_000_000, 1000
+CHUNK_BYTES, SLICE, WORDS = 8_000_000, 1000, 500_000
 LONG = 512
-#: In a packed pair the rank's place, and the rank of pairs that don't merge (ranks and ids take 16 bits).
-NONE = 0xFFFF << 32
-LOW, PAIR = 0xFFFF, 0xFFFFFFFF
-#: Each half of the literal map has 2^17 places; a pair's place in a half is bits 30 to 46 of its product with a multiplier.
-PLACES, MULTIPLIERS = 1 << 17, (1640531527, 1131110399)
+#: An occurrence's start in its word takes ``PLACE`` bits; ranks and ids take 16.
+PLACE, LOW = 9, 0xFFFF
 
 
 def _ranges(*codes: tuple[int, int]) -> str:
@@ -93,6 +92,32 @@ class Ranks:
                     out[a, b] = rank
         return out
 
+    def parts(self, piece: bytes, rank: int) -> list[bytes]:
+        """What merges of less than a rank make of a piece."""
+        parts = [bytes([b]) for b in piece]
+        while len(parts) > 1:
+            ranks = [self.ranks.get(a + b, LOW) for a, b in itertools.pairwise(parts)]
+            if (least := min(ranks)) >= rank:
+                break
+            k = ranks.index(least)
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+        return parts
+
+    def merges(self) -> list[tuple[bytes, int, int]]:
+        """Pieces that merges make, in the order of their bytes, with their ranks and the bytes of their left parts.
+
+        A piece is made from the same two parts wherever it is made, as nothing beside it matters until then. If no
+        part has a greater rank than the piece, ranks never fall from one merge to the next.
+        """
+        out = []
+        for piece, rank in sorted(self.ranks.items()):
+            parts = self.parts(piece, rank)
+            if len(parts) == 2:
+                out.append((piece, rank, len(parts[0])))
+            elif len(parts) > 2 and self.parts(piece, LOW) == [piece]:
+                raise ValueError("a piece has a lower rank than its parts")
+        return out
+
     def decode(self, ids: np.ndarray) -> bytes:
         """The pieces of the ids, concatenated."""
         return gathered(self.bytes, self.ends[ids], self.ends[ids + 1]).tobytes()
@@ -105,20 +130,44 @@ def gathered(data: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return data[np.repeat(low - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
 
 
-def rank_map(pairs: dict[tuple[int, int], int]) -> list[list[int]]:
-    """The packed pairs in two arrays; each has its place in one of them, found by moving others to their second place."""
-    halves = [[-1] * PLACES, [-1] * PLACES]
-    for (a, b), rank in pairs.items():
-        entry, half = rank << 32 | a << 16 | b, 0
-        for _ in range(500):
-            place = (entry & PAIR) * MULTIPLIERS[half] >> 30 & PLACES - 1
-            entry, halves[half][place] = halves[half][place], entry
-            if entry < 0:
-                break
-            half = 1 - half
-        else:
-            raise ValueError("the pairs don't fit the map")
-    return halves
+class Occurrences:
+    """Finds the pieces of ``Ranks.merges`` in words, by a tree of their bytes; a piece's number is its place in that list."""
+
+    def __init__(self, merges: list[tuple[bytes, int, int]]) -> None:
+        self.rank = np.array([rank for _, rank, _ in merges], np.int32)
+        self.length = np.array([len(piece) for piece, _, _ in merges], np.int64)
+        nodes, number = {}, {}
+        for k, (piece, _, _) in enumerate(merges):
+            node = 0
+            for b in piece:
+                node = nodes.setdefault(node << 8 | b, len(nodes) + 1)
+            number[node] = k
+        self.steps = np.array(sorted(nodes) or [-1])
+        self.node = np.array([nodes.get(step, 0) for step in self.steps.tolist()])
+        self.number = np.array([number.get(node, -1) for node in range(len(nodes) + 1)])
+
+    def found(self, data: np.ndarray, size: np.ndarray) -> pa.Array:
+        """The occurrences in each word of ``size`` bytes: the piece's number and the place where it starts, in ``PLACE`` bits."""
+        ends = np.cumsum(size)
+        word = np.repeat(np.arange(len(size)), size)
+        left = ends[word] - np.arange(len(data))
+        at, node, length, places, numbers = np.arange(len(data)), np.zeros(len(data), np.int64), 0, [], []
+        while len(at):
+            step = node << 8 | data[at + length]
+            k = np.minimum(np.searchsorted(self.steps, step), len(self.steps) - 1)
+            hit = self.steps[k] == step
+            at, node, length = at[hit], self.node[k[hit]], length + 1
+            ends_here = self.number[node] >= 0
+            places.append(at[ends_here])
+            numbers.append(self.number[node[ends_here]])
+            more = left[at] > length
+            at, node = at[more], node[more]
+        place, number = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (places, numbers))
+        order = np.argsort(word[place], kind="stable")
+        place, number = place[order], number[order]
+        offsets = np.concatenate([[0], np.cumsum(np.bincount(word[place], minlength=len(size)))])
+        values = number << PLACE | place - (ends - size)[word[place]]
+        return pa.ListArray.from_arrays(offsets.astype(np.int32), pa.array(values.astype(np.int32)))
 
 
 def _literal(values: list, kind: str) -> Column:
@@ -126,46 +175,26 @@ def _literal(values: list, kind: str) -> Column:
     return F.from_json(F.lit(json.dumps(values, separators=(",", ":"))), f"array<{kind}>")
 
 
-def _let(value: Column, use) -> Column:  # noqa: ANN001
-    """``use`` of a value that is computed once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
+def merged(words: Column, sizes: Column, merges: list[tuple[bytes, int, int]]) -> Column:
+    """Where pieces start (1, also at the end; else 0) in each word of an array, by folding ranked merges over its occurrences."""
+    shapes = [(left, len(piece) - left) for piece, _, left in merges]
+    kinds = {shape: k for k, shape in enumerate(sorted(set(shapes)))}
+    ranks = [rank << 16 | kinds[shape] for (_, rank, _), shape in zip(merges, shapes, strict=True)]
+    parts = ["1".ljust(a, "0") + "1".ljust(b, "0") + "1" for a, b in kinds]
+    tables = F.struct(_literal(ranks, "bigint").alias("ranks"), _literal(parts, "string").alias("parts"), _literal([a for a, _ in kinds], "int").alias("left"))
 
-def merged(words: Column, ranks: Ranks) -> Column:
-    """The ids of each word (a string of one character per byte, at least two) of an array, by folding ranked merges."""
-    pairs = ranks.pairs()
-    one, two = rank_map(pairs)
-    first = [pairs.get((a, b), LOW) for a in ranks.byte_id for b in ranks.byte_id]
-    tables = F.struct(_literal(one, "bigint").alias("one"), _literal(two, "bigint").alias("two"), _literal(first, "int").alias("first"), _literal(ranks.byte_id, "int").alias("byte"))
+    def fold(t: Column, word: Column, size: Column) -> Column:
+        def ranked(x: Column) -> Column:
+            return F.shiftleft(t["ranks"][F.shiftright(x, PLACE)], PLACE) + x.bitwiseAND(F.lit((1 << PLACE) - 1))
 
-    def fold(t: Column, word: Column) -> Column:
-        def packed(key: Column) -> Column:
-            at = [F.get(t[name], F.shiftright(key * m, 30).bitwiseAND(F.lit(PLACES - 1)).cast("int")) for name, m in zip(("one", "two"), MULTIPLIERS, strict=True)]
-            hit = [x.bitwiseAND(F.lit(PAIR)) == key for x in at]
-            return F.when(hit[0], at[0]).when(hit[1], at[1]).otherwise(key + F.lit(NONE))
+        def step(starts: Column, x: Column) -> Column:
+            place, kind = x.bitwiseAND(F.lit((1 << PLACE) - 1)).cast("int"), F.shiftright(x, PLACE).bitwiseAND(F.lit(LOW))
+            parts = t["parts"][kind]
+            return F.call_function("if", F.substring(starts, place + 1, F.length(parts)) == parts, F.overlay(starts, F.lit("0"), place + t["left"][kind] + 1, F.lit(1)), starts)
 
-        def pair(a: Column, b: Column) -> Column:
-            ids = [F.get(t["byte"], x).cast("bigint") for x in (a, b)]
-            return F.shiftleft(F.get(t["first"], F.shiftleft(a, 8) + b).cast("bigint"), 32) + F.shiftleft(ids[0], 16) + ids[1]
+        return F.aggregate(F.sort_array(F.transform(word, ranked)), F.repeat(F.lit("1"), size + 1), step)
 
-        def merge(pairs: Column, place: Column, rank: Column) -> Column:
-            def beside(pair: Column, i: Column) -> Column:
-                left = packed(pair.bitwiseAND(F.lit(LOW << 16)) + rank)
-                right = packed(F.shiftleft(rank, 16) + pair.bitwiseAND(F.lit(LOW)))
-                return F.when(i == place - 2, left).when(i == place, right).otherwise(pair)
-
-            return F.filter(F.transform(pairs, beside), lambda _, i: i != place - 1)
-
-        def step(pairs: Column, _: Column) -> Column:
-            return _let(F.array_min(pairs), lambda least: F.when(least >= NONE, pairs).otherwise(_let(F.array_position(pairs, least).cast("int"), lambda place: merge(pairs, place, F.shiftright(least, 32)))))
-
-        size = F.length(word)
-        codes = F.transform(F.split(word, ""), lambda c: F.ascii(c))
-        start = _let(codes, lambda x: F.transform(F.sequence(F.lit(1), size - 1), lambda i: pair(F.get(x, i - 1), F.get(x, i))))
-        finish = lambda pairs: F.concat(F.array(F.shiftright(F.get(pairs, F.lit(0)), 16).bitwiseAND(F.lit(LOW)).cast("int")), F.transform(pairs, lambda p: p.bitwiseAND(F.lit(LOW)).cast("int")))
-        return F.aggregate(F.sequence(F.lit(2), size), start, step, finish)
-
-    return _let(tables, lambda t: F.transform(words, lambda word: fold(t, word)))
+    return F.get(F.transform(F.array(tables), lambda t: F.transform(words, lambda word, k: fold(t, word, sizes[k]))), F.lit(0))
 
 
 def merge_long(raw: bytes, byte_id: list[int], pairs: dict[tuple[int, int], int]) -> list[int]:
@@ -208,13 +237,13 @@ class Coder(dict):
             if len(raw) > LONG:
                 self.long[code] = raw
                 raw = b""
-            self.words.append(raw.decode("latin-1"))
+            self.words.append(raw)
         self[token] = code
         return code
 
 
-CHUNK_ROW = "ids array<long>, codes array<binary>, words array<string>, long array<binary>, last boolean"
-_ROW = pa.schema([("ids", pa.list_(pa.int64())), ("codes", pa.list_(pa.binary())), ("words", pa.list_(pa.string())), ("long", pa.list_(pa.binary())), ("last", pa.bool_())])
+CHUNK_ROW = "ids array<long>, codes array<binary>, bytes binary, sizes array<int>, words array<array<int>>, long array<binary>, last boolean"
+_ROW = pa.schema([("ids", pa.list_(pa.int64())), ("codes", pa.list_(pa.binary())), ("bytes", pa.binary()), ("sizes", pa.list_(pa.int32())), ("words", pa.list_(pa.list_(pa.int32()))), ("long", pa.list_(pa.binary())), ("last", pa.bool_())])
 
 
 def bpe_columns(docs: DataFrame, rank_path: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:
@@ -224,27 +253,36 @@ def bpe_columns(docs: DataFrame, rank_path: str, id_col: str = "doc_id", text_co
     """
     with open(rank_path, "rb") as file:
         ranks = Ranks(file.read())
-    shipped = docs.sparkSession.sparkContext.broadcast(ranks)
+    merges = ranks.merges()
+    shipped = docs.sparkSession.sparkContext.broadcast((ranks, Occurrences(merges)))
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
-        model, pairs = shipped.value, None
+        (model, pieces), pairs = shipped.value, None
         first = len(model.ends) - 1
         ids, codes, size, coder = [], [], 0, Coder(model, first)
 
         def row(**columns) -> pa.RecordBatch:  # noqa: ANN003
-            columns = {"ids": [], "codes": [], "words": [], "long": [], "last": False} | columns
+            columns = {"ids": [], "codes": [], "bytes": b"", "sizes": [], "words": [], "long": [], "last": False} | columns
             return pa.RecordBatch.from_arrays([pa.array([columns[f.name]], f.type) for f in _ROW], schema=_ROW)
 
-        def chunk_end() -> Iterator[pa.RecordBatch]:
+        def word_row() -> pa.RecordBatch:
+            joined, sizes = b"".join(coder.words[:SLICE]), list(map(len, coder.words[:SLICE]))
+            del coder.words[:SLICE]
+            found = pieces.found(np.frombuffer(joined, np.uint8), np.array(sizes))
+            words = pa.ListArray.from_arrays(pa.array([0, len(found)], pa.int32()), found)
+            return row(bytes=joined, sizes=sizes).set_column(_ROW.get_field_index("words"), _ROW.field("words"), words)
+
+        def chunk_end(last: bool) -> Iterator[pa.RecordBatch]:
             nonlocal pairs
             if coder.words:
-                yield row(words=coder.words)
+                yield word_row()
             if coder.long and pairs is None:
                 pairs = model.pairs()
             long = [np.array([k, *merge_long(raw, model.byte_id, pairs)], "<i4").tobytes() for k, raw in coder.long.items()]
+            coder.long.clear()
             for lo in range(0, len(ids), SLICE):
-                yield row(ids=ids[lo : lo + SLICE], codes=codes[lo : lo + SLICE], long=long if lo == 0 else [], last=lo + SLICE >= len(ids))
+                yield row(ids=ids[lo : lo + SLICE], codes=codes[lo : lo + SLICE], long=long if lo == 0 else [], last=last and lo + SLICE >= len(ids))
 
         for whole in batches:
             for part in chunks(whole, "text"):
@@ -253,21 +291,37 @@ def bpe_columns(docs: DataFrame, rank_path: str, id_col: str = "doc_id", text_co
                     codes.append(np.fromiter(map(coder.__getitem__, pretokens(text or "")), "<i4").tobytes())
                     size += len(text or "")
                     while len(coder.words) >= SLICE:
-                        yield row(words=coder.words[:SLICE])
-                        del coder.words[:SLICE]
-                if size >= CHUNK_BYTES:
-                    yield from chunk_end()
-                    ids, codes, size, coder = [], [], 0, Coder(model, first)
+                        yield word_row()
+                full = len(coder) >= WORDS
+                if full or size >= CHUNK_BYTES:
+                    yield from chunk_end(full)
+                    ids, codes, size = [], [], 0
+                if full:
+                    coder = Coder(model, first)
         if ids:
-            yield from chunk_end()
+            yield from chunk_end(True)
         del ids, codes, coder
         release()
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
-        model = shipped.value
+        model, pieces = shipped.value
         first = len(model.ends) - 1
-        flats, sizes, table = [], [], None
+        byte_id = np.array(model.byte_id, np.int32)
+        flats, sizes, longs, table = [], [], [], None
+
+        def spelled(data: np.ndarray, size: np.ndarray, starts: pa.Array, found: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+            """The ids of words, one after the other, and how many each has."""
+            flags, off = utf8(starts)
+            at = np.flatnonzero(np.delete(flags, off[1:] - 1) == ord("1"))
+            length, ids = np.zeros(len(data), np.int64), byte_id[data]
+            length[at] = np.diff(at, append=len(data))
+            values = found.flatten().to_numpy()
+            word = np.repeat(np.arange(len(size)), found.value_lengths().to_numpy())
+            place, number = (np.cumsum(size) - size)[word] + (values & (1 << PLACE) - 1), values >> PLACE
+            hit = length[place] == pieces.length[number]
+            ids[place[hit]] = pieces.rank[number[hit]]
+            return ids[at], np.bincount(np.repeat(np.arange(len(size)), size)[at], minlength=len(size))
 
         def built(long: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             """All ids one after the other, and where those of each code start and end."""
@@ -284,15 +338,21 @@ def bpe_columns(docs: DataFrame, rank_path: str, id_col: str = "doc_id", text_co
 
         for whole in batches:
             for k in range(whole.num_rows):
-                lists = whole.column("merged")[k].values
-                if len(lists):
-                    flats.append(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int32))
-                    sizes.append(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+                size = whole.column("sizes")[k].values.to_numpy().astype(np.int64)
+                if len(size):
+                    data = np.frombuffer(whole.column("bytes")[k].as_py(), np.uint8)
+                    flat, own = spelled(data, size, whole.column("starts")[k].values, whole.column("words")[k].values)
+                    flats.append(flat)
+                    sizes.append(own)
+                    table = None
                 ids, codes = (whole.column(c)[k].values for c in ("ids", "codes"))
                 if not len(ids):
                     continue
+                if len(long := whole.column("long")[k].values):
+                    longs += long.to_pylist()
+                    table = None
                 if table is None:
-                    table = built(whole.column("long")[k].values.to_pylist())
+                    table = built(longs)
                 data, low, high = table
                 rows = []
                 for raw in codes.to_pylist():
@@ -302,13 +362,12 @@ def bpe_columns(docs: DataFrame, rank_path: str, id_col: str = "doc_id", text_co
                 columns = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32())))]
                 yield pa.RecordBatch.from_arrays([ids, *columns], NAMES)
                 if whole.column("last")[k].as_py():
-                    flats, sizes, table = [], [], None
+                    flats, sizes, longs, table = [], [], [], None
         release()
 
     NAMES = ["id", "n_tokens", "ids_sha256", "decoded_sha256", *(("token_ids",) if keep_ids else ())]
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     coded = rows.mapInArrow(code, CHUNK_ROW)
-    words = F.when(F.size("words") > 0, merged(F.col("words"), ranks)).otherwise(F.array().cast("array<array<int>>"))
-    folded = coded.select("ids", "codes", words.alias("merged"), "long", "last")
+    folded = coded.select(*_ROW.names, merged(F.col("words"), F.col("sizes"), merges).alias("starts"))
     schema = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>" * keep_ids
     return folded.mapInArrow(assemble, schema).withColumnRenamed("id", id_col)

@@ -294,6 +294,44 @@ def test_op10_bpe(spark, rows):
         assert got[i]["decoded_sha256"] == hashlib.sha256((t or "").encode()).hexdigest()
 
 
+def plain_bpe(text, ranks):
+    """One pretoken's ids by merging the first pair of least rank again and again."""
+    parts = [bytes([b]) for b in text]
+    while len(parts) > 1 and (best := min((ranks.get(a + b, 1 << 16), i) for i, (a, b) in enumerate(itertools.pairwise(parts))))[0] < 1 << 16:
+        parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
+    return [ranks[p] for p in parts]
+
+
+def rank_file(tmp_path, pieces):
+    path = tmp_path / "own.tiktoken"
+    path.write_bytes(b"".join(base64.b64encode(p) + b" %d\n" % k for k, p in enumerate(pieces)))
+    return str(path)
+
+
+def test_op10_folds_occurrences_in_the_order_of_ranks(spark, tmp_path, monkeypatch):
+    """Overlapping and repeated pieces, one that merges never make, and words that later chunks and new dictionaries meet again."""
+    pieces = [bytes([b]) for b in range(256)] + [b"ab", b"aa", b"ba", b"aab", b"abab", b"aaaa", b"bab", b"cb", b"bcca", b"aaab", b"abc"]
+    ranks = {p: k for k, p in enumerate(pieces)}
+    model = bpe.Ranks(open(path := rank_file(tmp_path, pieces), "rb").read())
+    made = [p for p, _, _ in model.merges()]
+    assert b"abc" in made and b"bab" in made and b"bcca" not in made
+    rng = random.Random(12)
+    words = ["".join(rng.choice("aaabbc") for _ in range(n)) for n in (*range(1, 40), 61, 62, 63, 64, 65, 200, 511, 512, 513)]
+    texts = [" ".join(rng.choice(words) for _ in range(6)) for _ in range(60)] + [*words, "", None]
+    for chunk, known in ((8_000_000, 500_000), (300, 500_000), (300, 9), (1, 1)):
+        monkeypatch.setattr(bpe, "CHUNK_BYTES", chunk)
+        monkeypatch.setattr(bpe, "WORDS", known)
+        got = {r["doc_id"]: r["token_ids"] for r in bpe.bpe_columns(frame(spark, list(enumerate(texts))).coalesce(1), path).collect()}
+        for i, t in enumerate(texts):
+            assert got[i] == [k for p in bpe.pretokens(t or "") for k in ([ranks[p.encode()]] if p.encode() in ranks else plain_bpe(p.encode(), ranks))]
+
+
+def test_op10_refuses_falling_ranks(tmp_path):
+    path = rank_file(tmp_path, [bytes([b]) for b in range(256)] + [b"abc", b"ab"])
+    with open(path, "rb") as file, pytest.raises(ValueError, match="lower rank"):
+        bpe.Ranks(file.read()).merges()
+
+
 def test_op5_media_round_trip(docs, rows):
     got = {r["doc_id"]: r for r in media.media_columns(docs).collect()}
     for i, t in rows:
