@@ -52,7 +52,10 @@ class Many(portfolios.Sets):
 
     @cells.once
     def world_terms(self):
-        return W.Terms(self.worlds, self.facts())
+        # a small file has fewer splits than there are cores
+        cores = self.spark.sparkContext.defaultParallelism
+        spread = self.worlds if self.events.rdd.getNumPartitions() >= cores else self.worlds.repartition(cores)
+        return W.Terms(spread, self.facts())
 
     def space(self):
         """The sets as arrays on the driver; a catalogue with more than ``MOST_SETS`` of them is refused, not cut."""
