@@ -44,6 +44,8 @@ def box_stats(rows: DataFrame, box: Box, label: str) -> DataFrame:
 
 #: Parts in which a pass counts the values of a column's range, and the distinct values that a task lists of a short one.
 PARTS, LISTED = 256, 4096
+#: Parts of a column whose cuts are guessed.
+FEW = 32
 #: Rows that are stored as one.
 BLOCK = 16_384
 
@@ -100,13 +102,14 @@ def packed(rows: DataFrame, names: Sequence[str]) -> DataFrame:
 
 @dataclass(frozen=True)
 class _Range:
-    """Values of a column of a peeling that a pass counts, in ``PARTS`` parts or, if ``listed``, one by one."""
+    """Values of a column of a peeling that a pass counts, in parts or, if ``listed``, one by one."""
 
     owner: int
     column: str
     low: float
     high: float
     listed: bool = False
+    n_parts: int = PARTS
 
 
 @dataclass
@@ -181,7 +184,7 @@ def _counted(rows: DataFrame, owners: Sequence[Peeling], ranges: Sequence[_Range
                             if sum(len(v) for v, _ in waiting[r]) > 4 * LISTED:
                                 merge(r)
                         continue
-                    part = np.minimum(PARTS - 1, (v / 2 - x.low / 2) / (x.high / 2 - x.low / 2) * PARTS).astype(np.int64) if x.low < x.high else np.zeros(len(v), np.int64)
+                    part = np.minimum(x.n_parts - 1, (v / 2 - x.low / 2) / (x.high / 2 - x.low / 2) * x.n_parts).astype(np.int64) if x.low < x.high else np.zeros(len(v), np.int64)
                     # only the range's own parts are touched
                     own = slice(r * slots, r * slots + PARTS)
                     n[own] += np.bincount(part, minlength=PARTS)
@@ -249,7 +252,8 @@ def candidates(rows: DataFrame, owners: Sequence[Peeling], alpha: float) -> list
     ``rows`` are ``packed``. All peelings share each pass over them; a range is counted again only where a place still lies among several values,
     which are listed then if they are few.
     """
-    first = [_Range(k, c, *o.ends[c]) for k, o in enumerate(owners) for c in o.columns if c in o.ends and o.kept]
+    # with a guess at hand, the parts of a whole column only serve the next guess
+    first = [_Range(k, c, *o.ends[c], n_parts=FEW if o.last else PARTS) for k, o in enumerate(owners) for c in o.columns if c in o.ends and o.kept]
     places = lambda n: {"low": math.floor((n - 1) * alpha + 1e-9), "high": math.ceil((n - 1) * (1 - alpha) - 1e-9)}
     guessed = {(x.owner, x.column, side): g for x in first if x.column not in owners[x.owner].binary for side, place in places(owners[x.owner].kept).items() if (g := _guess(owners[x.owner], x.column, place))}
     near = [_Range(k, c, *g, True) for (k, c, _), g in guessed.items()]
@@ -303,6 +307,29 @@ def _narrowed(x: _Cut, parts: Sequence[tuple[int, int, float, float, float]]) ->
     raise AssertionError("a place lies within its range")
 
 
+def medians(rows: DataFrame, names: Sequence[str]) -> dict[str, float]:
+    """The exact median of each column of numbers, NaN and null left out; between the middle two in proportion. A column without numbers has none."""
+    blocks = packed(rows.withColumn("y", F.lit(0.0)), [*names, "y"])
+    one = [Peeling("y", list(names))]
+    # the ends of the range are the finite ones; a pass then tells what occurs
+    counted = _counted(blocks, one, ranges := [_Range(0, c, -1.7e308, 1.7e308) for c in names])
+    cuts = {}
+    for x, found in zip(ranges, counted, strict=True):
+        if n := sum(p[1] for p in found.parts):
+            for place in {(n - 1) // 2, n // 2}:
+                cuts[x.column, place] = _narrowed(_Cut(0, x.column, place, x.low, x.high), found.parts)
+    while open_ := sorted({(0, x.column, x.low, x.high, x.count <= LISTED) for x in cuts.values() if x.low < x.high}):
+        counted = _counted(blocks, one, [_Range(*x) for x in open_])
+        number = {x[1:4]: i for i, x in enumerate(open_)}
+        cuts = {key: _narrowed(x, counted[number[x.column, x.low, x.high]].parts) if x.low < x.high else x for key, x in cuts.items()}
+    out = {}
+    for c in names:
+        own = [x.low for (name, _), x in sorted(cuts.items()) if name == c]
+        if own:
+            out[c] = own[0] + (own[-1] - own[0]) * (0.5 if len(own) > 1 else 0.0)
+    return out
+
+
 def peel_candidates(rows: DataFrame, columns: Sequence[str], label: str, alpha: float, n: int, binary: Sequence[str] = ()) -> DataFrame:
     """Per column and side of ``n`` rows: where a peel would cut, and the count and mean of what it keeps."""
     one = _started(rows, [Peeling(label, columns, binary)])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from robustspark.operators import boxes, ranks
 from robustspark.operators.portfolios import member
-from robustspark.operators.worlds import Space, score_worlds
+from robustspark.operators.worlds import Space, fold_worlds, score_worlds
 
+#: Worlds whose labels are held at once, a row for each bin.
+LABELLED = 2048
 #: Labelings of worlds: the first is their own, the others are affine bijections of their numbers.
 SHUFFLES = ((1, 0), (7351, 13), (6529, 26), (5869, 39), (4877, 52), (3911, 65))
 
@@ -93,26 +95,60 @@ def switching_values(rows: DataFrame, measures: DataFrame, star: int) -> DataFra
     return rows.sparkSession.createDataFrame(out, "measure_id string, in_star boolean, share_in_best double, star_beaten_share double, " + ", ".join(f"{n} double" for n in names))
 
 
+def median_distances(terms: DataFrame, space: Space, measures: DataFrame) -> DataFrame:
+    """(measure_id, distance): the medians of the reading ``distance`` of ``switching_rows``, without its other readings.
+
+    A world is one row with a column for each measure, stored as packed blocks, which each pass over all measures reads.
+    """
+    k = space.members.shape[1]
+
+    def reduce(space: Space, part: pa.RecordBatch, table: np.ndarray) -> pa.RecordBatch:
+        vuln, flat = (part.column(c).flatten().to_numpy().reshape(part.num_rows, -1) for c in ("vuln", "flat"))
+        penalty, row = part.column("penalty").to_numpy(), np.arange(part.num_rows)
+        best = space.best(table)
+        out = []
+        for j in range(k):
+            has = space.members[:, j] == 1
+            inside = has[best]
+            with_j, without = (None if not x.any() else space.best(table, x) for x in (has, ~has))
+            score = lambda x: np.full(part.num_rows, np.nan) if x is None else table[row, x].astype(float)
+            adds = lambda x: np.full(part.num_rows, np.nan) if x is None else space.contribution(vuln, flat, penalty, x, j).astype(float)
+            delta = table[row, best] - np.where(inside, score(without), score(with_j))
+            own = np.where(inside, adds(best), adds(with_j))
+            out.append(np.divide(delta, own, out=np.full(len(delta), np.nan), where=own > 0))
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in out], names)
+
+    names = [f"d{j}" for j in range(k)]
+    found = boxes.medians(score_worlds(terms, space, reduce, ", ".join(f"{c} double" for c in names)), names)
+    rows = [(m["measure_id"], found.get(f"d{m['measure_no']}")) for m in measures.select("measure_id", "measure_no").collect()]  # the catalogue
+    return measures.sparkSession.createDataFrame(rows, "measure_id string, distance double")
+
+
 def evppi_corrected(terms: DataFrame, space: Space, n: int, bins: dict[str, tuple[int, int, int]]) -> DataFrame:
     """Per parameter (a, b and number of bins of its stratum) the value of knowing it, less the mean over shuffled worlds.
 
-    A batch of worlds sends sums per labeling, bin and set; they are whole micro-units, so their order does not matter.
+    A task sends sums per labeling, bin and set; they are whole micro-units, so their order does not matter.
     """
+    labelings = [(shuffle_no, x, y, name, a, b, k) for shuffle_no, (x, y) in enumerate(SHUFFLES) for name, (a, b, k) in bins.items()]
+    starts = np.cumsum([0, *(k for *_, k in labelings)])
 
-    def reduce(space: Space, part: pa.RecordBatch, table: np.ndarray) -> pa.RecordBatch:
+    def add(space: Space, part: pa.RecordBatch, table: np.ndarray, sums: np.ndarray) -> None:
+        """A product with the worlds of each bin; the sums of a part are whole numbers below 2^53, so exact."""
         world = part.column("world_id").to_numpy()
-        out: list[tuple[np.ndarray, ...]] = []
-        for shuffle_no, (x, y) in enumerate(SHUFFLES):
-            moved = (x * world + y) % n
-            for name, (a, b, k) in bins.items():
-                label = ((a * moved + b) % n) * k // n
-                order = np.argsort(label, kind="stable")
-                own, first = np.unique(label[order], return_index=True)
-                sums = np.add.reduceat(table[order], first, axis=0)
-                out.append((np.full(sums.size, name), np.full(sums.size, shuffle_no), np.repeat(own, sums.shape[1]), np.tile(space.set_id, len(own)), sums.ravel()))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["parameter", "shuffle_no", "bin", "set_id", "s"])
-
-    sums = score_worlds(terms, space, reduce, "parameter string, shuffle_no long, bin long, set_id long, s long").groupBy("parameter", "shuffle_no", "bin", "set_id").agg(F.sum("s").alias("s"))
+        for lo in range(0, len(world), LABELLED):
+            own = world[lo : lo + LABELLED]
+            there = np.zeros((starts[-1], len(own)))
+            for start, (_, x, y, _, a, b, k) in zip(starts, labelings, strict=False):
+                there[start + ((a * ((x * own + y) % n) + b) % n) * k // n, np.arange(len(own))] = 1.0
+            sums += (there @ table[lo : lo + LABELLED].astype(float)).astype(np.int64)
+
+    def emit(space: Space, sums: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for start, (shuffle_no, _, _, name, _, _, k) in zip(starts, labelings, strict=False):
+            own = sums[start : start + k]
+            yield pa.RecordBatch.from_arrays([pa.array([name] * own.size), pa.array(np.full(own.size, shuffle_no)), pa.array(np.repeat(np.arange(k), own.shape[1])), pa.array(np.tile(space.set_id, k)), pa.array(own.ravel())], ["parameter", "shuffle_no", "bin", "set_id", "s"])
+
+    start = lambda space: np.zeros((starts[-1], len(space.set_id)), np.int64)
+    sums = fold_worlds(terms, space, start, add, emit, "parameter string, shuffle_no long, bin long, set_id long, s long").groupBy("parameter", "shuffle_no", "bin", "set_id").agg(F.sum("s").alias("s"))
     # one labeling of one parameter holds every world once, so its sums per set are the overall sums
     whole = sums.groupBy("parameter", "shuffle_no", "set_id").agg(F.sum("s").alias("s")).groupBy("parameter", "shuffle_no").agg(F.max("s").alias("u"))
     informed = sums.groupBy("parameter", "shuffle_no", "bin").agg(F.max("s").alias("m")).groupBy("parameter", "shuffle_no").agg(F.sum("m").alias("i")).join(whole, ["parameter", "shuffle_no"])
@@ -151,11 +187,10 @@ def entry_signals(rows: DataFrame, labels: dict[str, str], columns: Sequence[str
     out = []
     totals = kept.agg(F.count("*").alias("n"), *(F.sum(y).alias(y) for y in dict.fromkeys(labels.values()))).first() if owners else None
     trails = boxes.prim_all(kept, [o for *_, o in owners]) if owners else []
-    for (name, role, owner), trail in zip(owners, trails, strict=True):
-        n, hits = totals["n"], float(totals[owner.label] or 0)
-        picked = boxes.pick_box(trail) if hits >= 1 else None
-        found = picked and boxes.prune_box(kept, picked, owner.label, n, hits)
-        if found and found.density > hits / n:
+    picked = [(name, role, box, owner.label, float(totals[owner.label])) for (name, role, owner), trail in zip(owners, trails, strict=True) if (totals[owner.label] or 0) >= 1 and (box := boxes.pick_box(trail))]
+    n = totals["n"] if totals else 0
+    for (name, role, *_, hits), found in zip(picked, boxes.prune_all(kept, [x[2:] for x in picked], n), strict=True):
+        if found.density > hits / n:
             out += [(name, role, k + 1, c, low, high, found.kept, found.support, found.coverage, found.density) for k, (c, (low, high)) in enumerate(found.box.items())]
     kept.unpersist()
     return spark.createDataFrame(out, "name string, role string, place int, parameter string, low double, high double, kept long, support double, coverage double, density double")

@@ -198,23 +198,46 @@ class Space:
         return np.where(first, vuln[:, k], np.floor(vuln[:, k] * penalty + 0.5).astype(np.int64)) + flat[:, k]
 
 
+def scored_parts(batches: Iterator[pa.RecordBatch], space: Space, own: Terms | None) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Bounded parts of a task's worlds, with their arrays, and the score table of each."""
+    step = max(1, TABLE_CELLS // max(1, len(space.set_id)))
+    for whole in batches:
+        for lo in range(0, whole.num_rows, step):
+            part = whole.slice(lo, step)
+            vuln, flat = term_arrays(part, own)
+            if own:
+                lists = [pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]) for x in (vuln, flat)]
+                part = pa.RecordBatch.from_arrays([*(part.column(c) for c in ("world_id", "scenario", "penalty")), *lists], ["world_id", "scenario", "penalty", "vuln", "flat"])
+            yield part, space.scores(vuln, flat, part.column("penalty").to_numpy())
+
+
+def fold_worlds(terms: DataFrame | Terms, space: Space, state: Callable[[Space], np.ndarray], add: Callable[[Space, pa.RecordBatch, np.ndarray, np.ndarray], None], emit: Callable[[Space, np.ndarray], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """Folds the score tables of all worlds of a task into one state: ``add`` takes a part's table in, ``emit`` gives the task's rows."""
+    rows, own = terms.split() if isinstance(terms, Terms) else (terms, None)
+    shipped = rows.sparkSession.sparkContext.broadcast((space, own))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        space, own = shipped.value
+        held = None
+        for part, table in scored_parts(batches, space, own):
+            held = state(space) if held is None else held
+            add(space, part, table, held)
+        if held is not None:
+            yield from emit(space, held)
+
+    return rows.mapInArrow(run, schema)
+
+
 def score_worlds(terms: DataFrame | Terms, space: Space, reduce: Callable[[Space, pa.RecordBatch, np.ndarray], pa.RecordBatch | None], schema: str) -> DataFrame:
     """Applies ``reduce`` to the score table of each bounded batch of worlds; ``reduce`` finds the arrays in its batch."""
     rows, own = terms.split() if isinstance(terms, Terms) else (terms, None)
-    step = max(1, TABLE_CELLS // max(1, len(space.set_id)))
     shipped = rows.sparkSession.sparkContext.broadcast((space, own))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         space, own = shipped.value
-        for whole in batches:
-            for lo in range(0, whole.num_rows, step):
-                part = whole.slice(lo, step)
-                vuln, flat = term_arrays(part, own)
-                if own:
-                    lists = [pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]) for x in (vuln, flat)]
-                    part = pa.RecordBatch.from_arrays([*(part.column(c) for c in ("world_id", "scenario", "penalty")), *lists], ["world_id", "scenario", "penalty", "vuln", "flat"])
-                out = reduce(space, part, space.scores(vuln, flat, part.column("penalty").to_numpy()))
-                if out is not None:
-                    yield out
+        for part, table in scored_parts(batches, space, own):
+            out = reduce(space, part, table)
+            if out is not None:
+                yield out
 
     return rows.mapInArrow(run, schema)
