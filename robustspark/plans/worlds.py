@@ -519,8 +519,7 @@ _MEDIANS = {"medians": "select measure_id, quantile_cont(distance::double, 0.5::
     left join (select gap_id, arg_min(parameter, {'c': -corrected, 'p': parameter}) as top_parameter, max(corrected_pct) as top_pct from links join evppi using (parameter) join gaps using (gap_id) where kind = 'model' group by gap_id) using (gap_id)""", upto("star0") | _SWITCHED | _MEDIANS | _RANKED | _LINKS)
 def v7_gaps_by_median(t):
     """Gaps in order within their kind, by the median distances of the measures they touch and the worth of all parameters."""
-    star = t.best().first()["set_id"]
-    distances = information.switching_values(information.switching_rows(t.world_terms(), t.space(), star), t.measures, star).select("measure_id", F.col("distance_median").alias("distance"))
+    distances = information.median_distances(t.world_terms(), t.space(), t.measures)
     return information.gap_ranking(t.gaps, t.gap_measures, distances, information.gap_links(t.gaps, t.gap_measures, t.spec_gaps), ranked_evppi(t))
 
 
